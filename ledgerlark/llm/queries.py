@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, urlfilter, warc
+from . import chat, decontaminate, idtable, packing, tokens, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,21 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idtable.read(idtable.write(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
+    "op5_token_ids": op5_token_ids,
+    "op9_packing": op9_packing,
 }
 
 _CHAT_SQL = """
