@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, idtable, packing, tokens, urlfilter, warc
+from . import chat, decontaminate, idtable, neardup, packing, tokens, urlfilter, vectordup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idtable.read(idtable.write(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.label(_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.label(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_token_ids": op5_token_ids,
+    "op7_minhash": op7_minhash,
+    "op8_embedding_neardup": op8_embedding_neardup,
     "op9_packing": op9_packing,
 }
 
