@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_FOLDER: list[str] = []
@@ -43,6 +44,17 @@ def drop_stored(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Ids that may be broadcast: 8 bytes each, so a few megabytes.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids`` (one column); few ids are broadcast, more are joined by shuffle."""
+    gone = stored(ids.toDF("__gone"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("__gone"), "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep an Arrow batch of whole texts to a few megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

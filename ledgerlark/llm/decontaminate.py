@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, utf8
+from .common import map_batches, utf8, without
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
@@ -236,5 +236,4 @@ def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> Da
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The documents that ``judge`` doesn't find contaminated, with all their columns (needs distinct doc_ids)."""
-    bad = judge(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs[options.get("doc_id", "doc_id")] == F.col("__bad"), "left_anti")
+    return without(docs, options.get("doc_id", "doc_id"), judge(docs, benchmark, **options).where("contaminated").select("doc_id"))

@@ -21,16 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_batches, mix64, space_words, stored, utf8
+from .common import BROADCAST_IDS, map_batches, mix64, space_words, stored, utf8, without
 from .components import components
 
 BANDS, ROWS = 30, 6
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _SKETCH = "doc_id long, n_shingles long, node long, print binary, bands array<bigint>, sig binary"
-#: Candidate ids that may be broadcast when their texts are fetched: 8 bytes each.
-BROADCAST_IDS = 200_000
-
-
 def _permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
     """A bijection of 32-bit words."""
     x = x ^ (x >> np.uint32(16))
@@ -207,5 +203,5 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
 
 def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
     """One document of each component, with all its columns (needs distinct doc_ids)."""
-    copies = stored(label(docs, **options).where("not kept").select(F.col("doc_id").alias("__copy")), "copies")
-    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, docs[options.get("doc_id", "doc_id")] == F.col("__copy"), "left_anti")
+    doc_id = options.get("doc_id", "doc_id")
+    return without(docs, doc_id, label(docs, **options).where("not kept").select("doc_id"))
