@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate
+from ledgerlark.llm import decontaminate, neardup, packing, quality
 from ledgerlark.llm.common import stored
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled documents among these."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents contaminated by benchmark passages go."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality_classifier), ("MinHash near-dedup", minhash_neardup), ("benchmark decontamination", decontamination), ("packing", pack)]
+#: No SQL: fitted models and token ids; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
