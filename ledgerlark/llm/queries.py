@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, idtable, neardup, packing, quality, tokens, urlfilter, vectordup, warc
+from . import chat, decontaminate, idtable, langmodel, neardup, packing, quality, tokens, urlfilter, vectordup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idtable.read(idtable.write(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json")))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.label(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_url_filter": op4_url_filter,
     "op5_token_ids": op5_token_ids,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_minhash": op7_minhash,
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_packing": op9_packing,
