@@ -127,7 +127,7 @@ def label(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     per = named.join(lowest, "comp").join(counts, "node", "left").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = rows.select("vec_id", "node").join(per, "node", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _join(classes: DataFrame, count: int, dims: int, cosine: float) -> tuple[DataFrame, DataFrame]:
