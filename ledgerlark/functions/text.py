@@ -114,3 +114,20 @@ def us_abbreviation(a: Column, b: Column) -> Column:
     """OP-STR-16: alike but for *u.s.* and *united states*."""
     long = lambda x: F.replace(F.replace(x, F.lit("u.s. "), F.lit("united states ")), F.lit("u.s."), F.lit("united states"))
     return (a != b) & (long(a) == long(b))
+
+
+def congress_of(file_name: Column) -> Column:
+    """OP-PRJ-13: the number after ``BILLS-``, else null."""
+    return F.regexp_extract(file_name, r"BILLS-(\d+)", 1).try_cast("int")
+
+
+def xml_context(xml: Column, wanted: Column, before: int = 800, after: int = 400, lines: int = 8) -> Column:
+    """OP-STR-13: what stands around the first place of ``wanted`` in marked-up text: headers marked, tags removed, the
+    last ``lines`` lines that aren't blank; null where it isn't found."""
+    at = F.call_function("instr", xml, wanted)
+    start = F.greatest(at - before, F.lit(1))
+    cut = F.substring(xml, start, at + after - start)
+    marked = F.regexp_replace(F.regexp_replace(cut, r"<header[^>]*>", "\n## "), r"</header>", "\n")
+    bare = F.regexp_replace(F.regexp_replace(marked, r"^[^<>]*>|<[^<>]*$", ""), r"<[^>]*>", " ")
+    kept = F.filter(F.transform(F.split(bare, "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    return F.when(at > 0, F.array_join(F.slice(kept, F.greatest(F.size(kept) - lines + 1, F.lit(1)), lines), "\n"))

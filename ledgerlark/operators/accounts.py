@@ -193,3 +193,16 @@ def shared_codes(mapped: DataFrame, base_fy: int, current_fy: int) -> DataFrame:
     rows = mapped.where("fas_code is not null").select("fas_code", F.explode("fiscal_years").alias("fy")).where(F.col("fy").isin(base_fy, current_fy))
     sides = rows.groupBy("fas_code").agg(F.bool_or(F.col("fy") == base_fy).alias("b"), F.bool_or(F.col("fy") == current_fy).alias("c"))
     return sides.select("fas_code", F.when(F.col("b") & F.col("c"), "shared").when(F.col("b"), "only_base").otherwise("only_current").alias("side"))
+
+
+def of_agency(rows: DataFrame, agency: str) -> DataFrame:
+    """OP-FLT-14."""
+    return rows.where(F.col("agency_code") == agency)
+
+
+def labelled_timeline(mapped: DataFrame, natures: DataFrame) -> DataFrame:
+    """OP-JOIN-20: per code and year the bills with their nature: ``(CR)``, ``(supplemental)`` and so on where it is special."""
+    suffix = F.when(F.col("bill_nature").isin("continuing_resolution", "full_year_cr_with_appropriations"), " (CR)").when(F.col("bill_nature") == "supplemental", " (supplemental)").when(F.col("bill_nature") == "authorization", " (authorization)").otherwise("")
+    rows = mapped.where("fas_code is not null").join(natures.select("bill_dir", "bill_nature"), "bill_dir", "left")
+    years = rows.select("fas_code", F.explode("fiscal_years").alias("fy"), F.concat("identifier", suffix).alias("label"))
+    return years.groupBy("fas_code", "fy").agg(F.array_sort(F.collect_set("label")).alias("bills"))

@@ -68,3 +68,19 @@ def upgraded(extractions: DataFrame) -> DataFrame:
     new = F.transform("provisions", lambda p: p.withField("amount", upgraded_amount(p["amount"])))
     old = F.col("schema_version").isNull()
     return extractions.withColumn("provisions", F.when(old, new).otherwise(F.col("provisions"))).withColumn("schema_version", F.coalesce("schema_version", F.lit("1.0")))
+
+
+def transfer_limit(v: Column) -> Column:
+    """OP-JSON-05: kind and value of a transfer limit, from its text, number or object form."""
+    limit = F.try_variant_get(v, "$.limit", "variant")
+    shape = F.coalesce(F.schema_of_variant(limit), F.lit("VOID"))
+    percent = F.try_variant_get(v, "$.limit.percentage", "double")
+    fixed = F.try_variant_get(v, "$.limit.fixed_amount", "bigint")
+    kind = F.when(percent.isNotNull(), "percentage").when(fixed.isNotNull(), "fixed_amount").when(shape == "STRING", F.when(F.lower(_field(v, "$.limit")) == "unlimited", "unlimited").otherwise("other")).otherwise("unspecified")
+    return F.struct(kind.alias("kind"), F.coalesce(percent, fixed.cast("double")).alias("value"))
+
+
+def nested(v: Column, name: str, schema: str) -> Column:
+    """OP-JSON-05/06: an array of structs (provisos, earmarks, cross references); what is no array is empty, what a member
+    lacks is null."""
+    return F.coalesce(F.from_json(F.to_json(F.try_variant_get(v, f"$.{name}", "variant")), f"array<{schema}>"), F.array().cast(f"array<{schema}>"))

@@ -128,3 +128,13 @@ def span_holds(rows: DataFrame, sources: DataFrame, key: str = "bill_dir") -> Da
     both = rows.where("start is not null").join(sources, key)
     cut = F.substring(F.encode("source", "UTF-8"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     return both.select(key, "provision_index", (cut == F.encode("text", "UTF-8")).alias("holds"))
+
+
+def verify_text(claims: DataFrame, sources: DataFrame, *, write: bool = False, bill: str | None = None, key: str = "bill_dir") -> tuple[DataFrame, DataFrame]:
+    """OP-VTX-01: the report, and the claims: with ``write`` their texts replaced and spans added, else as they were."""
+    rows = claims if bill is None else claims.where(F.col(key) == bill)
+    done = repaired(rows, sources, key)
+    if not write:
+        return report(done, key), rows
+    new = done.select(key, "provision_index", F.col("text").alias("raw_text"), F.struct("start", "end", (F.col("match_tier") != "unverified").alias("verified"), "match_tier").alias("source_span"))
+    return report(done, key), rows.drop("raw_text", "source_span").join(new, [key, "provision_index"], "left")

@@ -138,3 +138,10 @@ def in_range(refs: DataFrame, start: int, end: int) -> DataFrame:
 def chunk_table(texts: DataFrame, key: str, text: str, most_tokens: int) -> DataFrame:
     """OP-TXT-07 over a table of texts, with estimated tokens."""
     return scanned(texts, key, text, "label string, division string, title string, start long, end long", lambda t: chunks(t, most_tokens)).withColumn("estimated_tokens", F.expr("(end - start) div 4"))
+
+
+def find_amounts(refs: DataFrame, written: str, first: bool = False) -> DataFrame:
+    """OP-TXT-12: references with that very text; with ``first`` the first of each text."""
+    rows = refs.where(F.col("amount") == written)
+    keys = [c for c in refs.columns if c not in ("ord", "position", "amount", "value")]
+    return rows.groupBy(*keys).agg(F.min("position").alias("position")) if first else rows

@@ -97,3 +97,25 @@ def staleness(bills: DataFrame) -> DataFrame:
     pairs = [("extraction", "extracted_from", "source_sha256"), ("bill_meta", "meta_of", "extraction_sha256"), ("embeddings", "vectors_of", "extraction_sha256")]
     stages = F.filter(F.array(*[F.when(F.col(told) != F.col(now), F.lit(stage)) for stage, told, now in pairs]), lambda s: s.isNotNull())
     return bills.select("bill_dir", F.explode(stages).alias("stale"))
+
+
+def audit_details(amount_checks: DataFrame, text_checks: DataFrame, key: str = "bill_dir") -> DataFrame:
+    """OP-AUD-01: the verbose part of an audit: amounts that weren't found and texts without a match."""
+    amounts_ = amount_checks.where("status = 'not_found'").select(key, "provision_index", F.lit("amount").alias("kind"), F.col("text_as_written").alias("shown"))
+    return amounts_.unionByName(text_checks.where("match_tier = 'no_match'").select(key, "provision_index", F.lit("raw_text").alias("kind"), F.col("raw_text_preview").alias("shown")))
+
+
+def tier_histogram(claims: DataFrame, sources: DataFrame, key: str = "bill_dir") -> DataFrame:
+    """OP-RES-01: per bill how many raw texts are found at each tier, empty ones apart."""
+    found = texts(claims, sources, key).select(key, "match_tier")
+    empty = claims.where("coalesce(raw_text, '') = ''").select(key, F.lit("empty").alias("match_tier"))
+    return found.unionByName(empty).groupBy(key, "match_tier").agg(F.count("*").alias("n"))
+
+
+def miss_context(claims: DataFrame, sources: DataFrame, key: str = "bill_dir", before: int = 100, after: int = 500) -> DataFrame:
+    """OP-RES-01: the source around the section or account name of each text without a match."""
+    lost = texts(claims, sources, key).where("match_tier = 'no_match'").select(key, "provision_index")
+    rows = claims.join(lost, [key, "provision_index"]).join(sources, key)
+    at = F.coalesce(*[F.nullif(F.call_function("instr", "source", F.coalesce(c, F.lit("\x00"))), F.lit(0)) for c in ("section", "account_name")])
+    start = F.greatest(at - before, F.lit(1))
+    return rows.select(key, "provision_index", F.substring("source", start, at + after - start).alias("context"))

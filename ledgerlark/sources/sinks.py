@@ -59,3 +59,12 @@ def write_vectors(vectors: DataFrame, path: str) -> int:
             f.write(array("f", r.vec).tobytes())
             n += 1
     return n
+
+
+def shown(rows: DataFrame, top: int = 50) -> str:
+    """OP-SNK-04: the first ``top`` rows as an aligned table, texts cut at 60 characters."""
+    head = [c.upper() for c in rows.columns]
+    body = [["" if v is None else f"{v:,}" if isinstance(v, int) else str(v) for v in r] for r in rows.limit(top).collect()]
+    body = [[v if len(v) <= 60 else v[:59] + "…" for v in r] for r in body]
+    widths = [max(len(x) for x in c) for c in zip(head, *body, strict=True)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in [head, *body])

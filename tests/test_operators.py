@@ -206,3 +206,63 @@ def test_xml():
 def test_token_rate(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 0.0), (1, "2024-01-01 00:00:04", 100.0), (1, "2024-01-01 00:00:20", 130.0)], "user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert [r.rate for r in reports.token_rate(rows).orderBy("ts").collect()] == [None, 25, None]
+
+
+def test_small_helpers(spark, tmp_path):
+    from ledgerlark.functions.text import congress_of, xml_context
+    from ledgerlark.sources import fastbook, sinks
+
+    assert spark.range(1).select(congress_of(F.lit("BILLS-118hr1enr.xml")).alias("x")).first().x == 118
+    got = spark.range(1).select(xml_context(F.lit("<a><header>Top</header><text>For  pay, $5.</text></a>"), F.lit("pay")).alias("x")).first().x
+    assert got == "## Top\nFor pay, $5."
+    v = spark.createDataFrame([('{"limit": {"percentage": 5}, "earmarks": [{"recipient": "r"}], "references": 3}',)], "t string").select(F.parse_json("t").alias("v"))
+    row = v.select(lenient.transfer_limit(F.col("v")).alias("l"), lenient.nested(F.col("v"), "earmarks", "struct<recipient:string,location:string>").alias("e"), lenient.nested(F.col("v"), "references", "struct<x:string>").alias("r")).first()
+    assert (row.l.kind, row.l.value, row.e[0].recipient, row.r) == ("percentage", 5.0, "r", [])
+    rows = spark.createDataFrame([("H.R. 1", 3, None, 0.5, 'a "b", c')], "identifier string, provision_index long, amount_status string, confidence double, raw_text string")
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
+    assert (back.bill, back.amount_status, back.confidence, back.raw_text) == ("H.R. 1", "n/a", "0.50", 'a "b", c') and len(back) == len(sinks.CSV_COLUMNS)
+    sinks.json_array(rows, str(tmp_path / "a.json"))
+    assert json.loads((tmp_path / "a.json").read_text())[0]["amount_status"] is None
+    assert sinks.shown(rows.select("identifier")).split() == ["IDENTIFIER", "H.R.", "1"]
+    active = spark.createDataFrame([("070-X-0400-000", "Ops", "2024", "General", 0), ("070-2024/2025-0400-000", "Operations", "2025", "General", 1)], "tas string, title string, last_updated string, fund string, ord int")
+    changes = spark.createDataFrame([("70-X-0400-000", "Ops", "gone"), ("15-X-0100-000", "Old", "gone"), ("15-X-0100-000", "Old", "gone")], "tas string, title string, action string")
+    ref = {r.fas_code: r for r in fastbook.reference(active, changes).collect()}
+    assert (ref["070-0400"].title, ref["070-0400"].tas_variants, ref["070-0400"].has_no_year_variant) == ("Operations", 2, True) and ref["015-0100"].status == "discontinued"
+
+
+def test_services(spark, tmp_path):
+    from ledgerlark.operators import services
+
+    class Twice:
+        calls = 0
+
+        def extract(self, chunk):
+            if chunk == "bad":
+                raise RuntimeError("no")
+            return chunk.upper()
+
+    chunks = spark.createDataFrame([("b", 0, "x"), ("b", 1, "bad")], "bill_dir string, ord long, text string")
+    got = {r.ord: (r.answer, r.error) for r in services.extracted(chunks, Twice(), tries=1).collect()}
+    assert got == {0: ("X", None), 1: (None, "no")}
+    data = tmp_path / "d"
+    data.mkdir()
+    (data / "extraction.json").write_text("{}")
+    cache = services.SuggestionCache(str(tmp_path / "c"))
+    cache.write("link", str(data), [{"hash": "a"}, {"hash": "b"}])
+    assert cache.find("link", str(data), ["b"]) == [{"hash": "b"}]
+    (data / "more").mkdir()
+    (data / "more" / "extraction.json").write_text("{}")
+    assert cache.read("link", str(data)) is None and cache.clear() == 1
+
+
+def test_streaming(spark, tmp_path):
+    from ledgerlark.streaming.token_rate import windowed_rate
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 0.0), (1, "2024-01-01 00:00:04", 100.0)], "user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = windowed_rate(stream).writeStream.outputMode("complete").format("memory").queryName("rates").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select max(rate) from rates").first()[0] == 25
