@@ -6,8 +6,9 @@ document's shingles x of pi(sigma(x) + k), that is, pi circularly shifted by k.
 Documents of one shingle set form a class, found by a fingerprint. Classes that share a bucket are candidates; a link
 is confirmed on the full sets. First each class is held against the smallest of its bucket, which joins most groups of
 copies with one comparison per member and bucket. Only buckets that still hold several components are looked at again:
-there members of different components are compared if sizes and signatures allow the similarity, a few partners of
-each at first and more in each later round, until none is left. So no bucket is expanded into its pairs.
+there members of different components are compared, in tiles of bounded size, if sizes and signatures allow the
+similarity, until links have joined them or none is left. Only confirmed links come out, so no bucket is expanded into
+its pairs, and none that could join two components is passed over.
 """
 
 from __future__ import annotations
@@ -101,61 +102,115 @@ def sketches(docs: DataFrame, *, width: int = 5, bands: int = BANDS, rows: int =
     return map_batches(docs, sketch, _SKETCH)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs of nodes (a, b) those whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(reps, "node").select(F.col("rep").alias("doc_id")).distinct()
-    wanted = stored(wanted, "wanted")
+def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(node, items): the shingle sets of some classes, from the text of one document of each."""
+    wanted = stored(nodes.distinct().join(reps, "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").select("text")
 
     def build(b: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [s for s in shingle_sets(utf8(b.column(0)), width) if len(s)]
         return pa.RecordBatch.from_arrays([pa.array([_node(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
 
-    sets = map_batches(texts, build, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    return map_batches(texts, build, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs of nodes (a, b) those whose full sets are similar enough."""
+    sets = stored(_sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), docs, reps, width), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            common = int((y[at] == x).sum())
+            common = _common(x, y)
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         return b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(both, verify, "a long, b long")
 
 
-def _partners(buckets: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Per bucket, pairs of different components whose sizes and signatures allow the similarity; of each member's
-    such partners (whatever their components) those of ranks ``first`` up to ``last``. ``more``: some have later ones."""
-
-    def pick(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
-        node, comp, size = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        k = sig.shape[1]
-        s = percent / 100
-        floor = s - 6 * (s * (1 - s) / k) ** 0.5  # six standard deviations below
-        least = k * (floor + (1 - floor) / 256) - 1
-        a, b, more = [], [], False
-        for i in range(len(node) - 1):
-            end = np.searchsorted(size, size[i] * 100 // percent, "right")
-            near = i + 1 + np.flatnonzero((sig[i + 1 : end] == sig[i]).sum(axis=1) >= least)
-            more |= len(near) > last
-            near = near[first:last]
-            near = near[comp[near] != comp[i]]
-            a += [node[i]] * len(near)
-            b += node[near].tolist()
-        if more:
-            a.append(0)
-            b.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return buckets.groupBy("key").applyInArrow(pick, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _tile_links(rows: list[dict], cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a tile's members, each confirmed on the full sets.
+
+    A pair is looked at in the first band that both share, if sizes and signatures allow the similarity (six standard
+    deviations of leeway), and not once a link has joined its components. ``cross``: only pairs of different chunks.
+    """
+    rows.sort(key=lambda r: (r["n_shingles"], r["node"]))
+    size = np.array([r["n_shingles"] for r in rows])
+    chunk = np.array([r["chunk"] for r in rows])
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    keys = np.array([r["bands"] for r in rows], dtype=np.int64)
+    names = {c: i for i, c in enumerate(sorted({r["comp"] for r in rows}))}
+    comp = np.array([names[r["comp"]] for r in rows])
+    sets: list[np.ndarray | None] = [None] * len(rows)
+    band = int(np.flatnonzero(keys[0] == rows[0]["key"])[0])
+    k, s = sig.shape[1], percent / 100
+    floor = s - 6 * (s * (1 - s) / k) ** 0.5
+    least = k * (floor + (1 - floor) / 256) - 1
+
+    def items(i: int) -> np.ndarray:
+        if sets[i] is None:
+            sets[i] = np.frombuffer(rows[i]["items"], dtype=np.uint64)
+        return sets[i]
+
+    found = []
+    for i in range(len(rows) - 1):
+        end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+        near = i + 1 + np.flatnonzero(comp[i + 1 : end] != comp[i])
+        if cross:
+            near = near[chunk[near] != chunk[i]]
+        near = near[(sig[near] == sig[i]).sum(axis=1) >= least]
+        near = near[~(keys[near, :band] == keys[i, :band]).any(axis=1)]
+        for j in near.tolist():
+            if comp[j] != comp[i]:
+                common = _common(items(i), items(j))
+                if 100 * common >= percent * int(size[i] + size[j] - common):
+                    found.append((rows[i]["node"], rows[j]["node"]))
+                    comp[comp == comp[j]] = comp[i]
+    return found
+
+
+def _settled(mixed: DataFrame, percent: int, chunk_rows: int = 1000) -> DataFrame:
+    """Links between different components inside buckets: (a, b), a spanning part of them.
+
+    ``mixed``: (key, size, node, comp, n_shingles, bands, sig, items) of buckets with several components. A bucket of
+    more than ``chunk_rows`` members is dealt into chunks; each pair of chunks is a tile of its own, so no bucket meets in
+    one task. Tiles stream through tasks one after the other; only confirmed links come out, fewer than a tile's members.
+    """
+    chunks = F.ceil(F.col("size") / chunk_rows).cast("int")
+    dealt = mixed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    placed = tiles.select("key", "lo", "hi", "chunk", "node", "comp", "n_shingles", "bands", "sig", "items").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held: list[dict] = []
+        at = None
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for r in b.to_pylist():
+                here = (r["key"], r["lo"], r["hi"])
+                if here != at:
+                    if len(held) > 1:
+                        out += _tile_links(held, at[1] != at[2], percent)
+                    held, at = [], here
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if len(held) > 1 and (out := _tile_links(held, at[1] != at[2], percent)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -177,28 +232,21 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     members = stored(keyed.join(shared, "key").select("key", "node", "low"), "members")
     pairs = stored(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(_confirmed(pairs, source, reps, width, percent), "links")
-    tested, first, last = pairs, 0, 8
-    while True:
-        comps = stored(components(links), "components")
-        placed = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = placed.join(mixed, "key", "left_semi").join(classes.select("node", "n_shingles", "sig"), "node").select("key", "node", "comp", "n_shingles", "sig")
-        found = stored(_partners(left, first, last, percent), "partners")
-        new = stored(found.where("a <> b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            links = stored(links.unionAll(_confirmed(new, source, reps, width, percent)), "links")
-            tested = tested.unionAll(new)
-        if found.where("a = b").isEmpty():
-            if not new.isEmpty():
-                comps = stored(components(links), "components")
-            break
-        first, last = last, 8 * last
+    comps = stored(components(links), "components")
+    placed = members.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    left = stored(placed.join(open_, "key").select("key", "size", "node", "comp"), "mixed")
+    if not left.isEmpty():
+        about = classes.select("node", "n_shingles", "bands", "sig").join(_sets(left.select("node"), source, reps, width), "node")
+        more = stored(_settled(left.join(about, "node"), percent), "links")
+        if not more.isEmpty():
+            comps = stored(components(links.unionAll(more)), "components")
     by_class = reps.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = by_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = by_class.join(lowest, "comp").select("node", "component_id")
     out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
