@@ -125,11 +125,11 @@ class Field:
     scale: np.ndarray
     weights: np.ndarray
     trans: np.ndarray
-    curve: tuple[float, float, float]  # intercept, slope, feature of texts without lines
+    curve: tuple[float, float]  # intercept and slope over the log-odds of the good share
 
     def good_share(self, own: np.ndarray, length: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-        """Length-weighted mean marginal per text; the curve's own value for texts without lines."""
-        share = np.full(texts, self.curve[2])
+        """Length-weighted mean marginal per text; NaN for texts without lines."""
+        share = np.full(texts, np.nan)
         if len(own):
             p, _, _ = marginals((with_neighbours(own, owner) - self.centre) / self.scale @ self.weights, self.trans, owner)
             size = np.bincount(owner, length, texts)
@@ -139,12 +139,13 @@ class Field:
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         share = np.clip(self.good_share(*lines_of(texts), len(texts)), 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log(share / (1 - share)))))
+        scores = 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log(share / (1 - share)))))
+        return np.where(np.isnan(scores), 0.5, scores)
 
 
 def fit(own: np.ndarray, length: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> Field:
     """Penalised maximum likelihood by Adam; documents weigh alike, whatever their number of lines. ``labels``: of each text."""
-    blank = Field(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0, 0.5))
+    blank = Field(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
     if not len(own):
         return blank
     x = with_neighbours(own, owner)
@@ -163,7 +164,7 @@ def fit(own: np.ndarray, length: np.ndarray, owner: np.ndarray, labels: np.ndarr
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:WIDTH], trans + move[WIDTH:].reshape(2, 2)
-    field = Field(centre, scale, w, trans, (0.0, 1.0, 0.5))
+    field = Field(centre, scale, w, trans, (0.0, 1.0))
     has = np.unique(owner)
     share = np.clip(field.good_share(own, length, owner, len(labels))[has], 1e-6, 1 - 1e-6)
     z, target = np.log(share / (1 - share)), labels[has].astype(np.float64)
@@ -175,7 +176,7 @@ def fit(own: np.ndarray, length: np.ndarray, owner: np.ndarray, labels: np.ndarr
         h = np.array([[r.sum() + 1e-2, (r * z).sum()], [(r * z).sum(), (r * z * z).sum() + 1e-2]])
         da, db = np.linalg.solve(h, g)
         a, b = a + float(np.clip(da, -5, 5)), b + float(np.clip(db, -5, 5))
-    field.curve = (a, b, float(np.clip(target.mean(), 0.01, 0.99)) if b <= 0 else float(1 / (1 + np.exp(a / b))))
+    field.curve = (a, b)
     return field
 
 
