@@ -108,11 +108,12 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
 
     def count(t: pa.Table) -> pa.Table:
         grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~t.column("held_out").to_numpy().astype(bool), buckets)
+        some = np.flatnonzero(np.diff(grams.words[1]) + np.diff(grams.bigrams[1]))  # a row only for buckets that get something
         kinds = []
         for _, bounds, hashes, counts in (grams.words, grams.bigrams):
-            cut = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            cut = list(zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True))
             kinds += [pa.array([hashes[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in cut], pa.binary())]
-        return pa.table([pa.array(np.full(buckets, t.column("block")[0].as_py()), pa.int32()), pa.array(np.arange(buckets), pa.int32()), *kinds], names=["block", "bucket", "words", "word_counts", "bigrams", "bigram_counts"])
+        return pa.table([pa.array(np.full(len(some), t.column("block")[0].as_py()), pa.int32()), pa.array(some, pa.int32()), *kinds], names=["block", "bucket", "words", "word_counts", "bigrams", "bigram_counts"])
 
     def total(t: pa.Table) -> pa.Table:
         answers = {}
