@@ -47,7 +47,7 @@ def sources(spark: SparkSession, root: str) -> DataFrame:
 
 def source_text(spark: SparkSession, root: str) -> DataFrame:
     """OP-TXT-10: the first ``BILLS-*.txt`` of each directory as one text."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "BILLS-*.txt").text(root).select("value", F.col("_metadata.file_name").alias("file"), directory().alias("bill_dir"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "BILLS-*.txt").text(root, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), directory().alias("bill_dir"))
     return texts.groupBy("bill_dir").agg(F.min_by("value", "file").alias("source"), F.min("file").alias("file"))
 
 
