@@ -235,5 +235,5 @@ def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The documents that ``judge`` doesn't find contaminated, with all their columns (needs distinct doc_ids)."""
+    """The documents that ``judge`` doesn't find contaminated, with all their columns; rows of one doc_id stay or go together, null ids stay."""
     return without(docs, options.get("doc_id", "doc_id"), judge(docs, benchmark, **options).where("contaminated").select("doc_id"))

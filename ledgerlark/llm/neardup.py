@@ -250,6 +250,6 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
-    """One document of each component, with all its columns (needs distinct doc_ids)."""
+    """One document of each component, with all its columns; rows of one doc_id stay or go together, null ids stay."""
     doc_id = options.get("doc_id", "doc_id")
     return without(docs, doc_id, label(docs, **options).where("not kept").select("doc_id"))

@@ -51,3 +51,23 @@ def test_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_awkward_tables(spark, tmp_path):
+    from .test_documents import rows_with_edges
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, `start` long"
+    rows = [(i, t, None, "s", None, None, "n", 1) for i, t in rows_with_edges(7, 12)]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(3, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, "x y"), (2, "one word")], "item_id long, text string")
+    for name, docs, labels in (("some", rows, lab), ("none", [], lab.limit(0))):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, at)
+            if k < 3:
+                assert now.columns == [f.strip("` ").split("`")[0].split()[0] for f in schema.split(", ")]
+        assert (now.count() > 0) == bool(docs)
