@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_FOLDER: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,18 +31,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "stored_path", None):
+        _delete(df.sparkSession, path)
+        _WRITTEN.remove(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete all that this process has stored; results that were not written elsewhere can no longer be read."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return count
 
 
 #: Ids that may be broadcast: 8 bytes each, so a few megabytes.

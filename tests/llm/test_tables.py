@@ -189,3 +189,15 @@ def test_grid_skips():
     lo = np.array([[float(i)] for i in range(64)])
     pairs = vectordup.joined_intervals(lo, lo + 0.5, 0.6)
     assert sorted(pairs) == sorted([(i, i) for i in range(64)] + [(i, i + 1) for i in range(63)])
+
+
+def test_stored(spark):
+    import os
+
+    from ledgerlark.llm import common
+
+    one, two = (common.stored(spark.range(n), "t") for n in (2, 3))
+    assert (one.count(), two.count()) == (2, 3)
+    common.drop_stored(one)
+    assert not os.path.exists(one.stored_path.removeprefix("file://")) and os.path.exists(two.stored_path.removeprefix("file://"))
+    assert common.clear_stored(spark) >= 1 and not os.path.exists(two.stored_path.removeprefix("file://"))
