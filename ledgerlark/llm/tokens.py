@@ -1,21 +1,35 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memory of words.
 
 A text is cut where every pre-tokenizer in use cuts it anyway (single spaces and line breaks), so each piece's ids are
-those it has inside the text; a piece that was seen before isn't encoded again. Texts with runs of white space or
-control strings are encoded as a whole. The memory is emptied at ``MOST`` entries and never changes a result.
+those it has inside the text; a piece that was seen before isn't encoded again. A plain word goes straight to the
+vocabulary's BPE model, as it is one pre-token; any other piece goes through the whole tokenizer, and so does a text
+whose runs of white space matter to the vocabulary or that holds a control string. The memory is emptied at ``MOST``
+entries and never changes a result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-MOST = 600_000
+MOST = 1_200_000
 _MEMORY: dict[str, "WordMemory"] = {}
-_RUNS = re.compile(r"\s\s|\x00|<\|")
-_END_MARKS = frozenset(".,;:!?")
+#: White space other than space and line break (and the mark that pieces are cut at).
+_ODD = re.compile("[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A word and ASCII marks after it, which are separate pre-tokens.
+_MARKED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
+#: Letters up to here have no composed form, and their lower case is one letter by itself (but for U+0130).
+_LAST = "\u024f"
+
+
+def _byte_letters() -> dict[int, str]:
+    """For each code point up to ``_LAST`` its UTF-8 bytes as the letters that byte-level vocabularies write: printable
+    bytes stand for themselves, the others for the letters from U+0100 on, in order."""
+    shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    hidden = (b for b in range(256) if b not in shown)
+    shown |= {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(ord(_LAST) + 1)}
 
 
 def vocabulary(name: str) -> str:
@@ -25,44 +39,51 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordMemory:
-    """Encodes texts to little-endian unsigned 32-bit ids. ``spaced``: white space matters to the vocabulary."""
+class WordMemory(dict):
+    """Pieces of texts to their ids (little-endian unsigned 32-bit). ``spaced``: white space matters to the vocabulary."""
 
     def __init__(self, path: str, spaced: bool) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.seen = Tokenizer.from_file(path), spaced, {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces with independent ids, or None."""
-        if _RUNS.search(text):
-            return None
-        if self.spaced:
-            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        self.tokenizer, self.spaced, self.letters = Tokenizer.from_file(path), spaced, _byte_letters()
+        self.model, self[""] = self.tokenizer.model, b""
+
+    def whole(self, text: str) -> bytes:
+        """By the tokenizer alone."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        marked = _MARKED.fullmatch(piece)
+        core = marked[1] if marked else piece
+        word = core[1:] if self.spaced and core[0] == " " else core
+        if not word.isalpha() or max(word) > _LAST or "\u0130" in word:
+            ids = self.whole(piece)
+        elif marked:
+            ids = self[core] + self[marked[2]]
+        else:
+            shown = core if self.spaced else core.lower()
+            ids = array("I", [t.id for t in self.model.tokenize(shown.translate(self.letters))]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def _one(self, text: str) -> bytes:
+        if "<|" in text or "\x00" in text:
+            return self.whole(text)
+        if not self.spaced:
+            return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")))
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        whole = [i for i, c in enumerate(cut) if c is None]
-        if len(self.seen) > MOST:
-            self.seen = {"": b""}
-        seen = self.seen
-        new = {p for c in cut if c for p in c if p not in seen}
-        # a word and a mark after it are separate pre-tokens
-        ended = [p for p in new if len(p) > 1 and p[-1] in _END_MARKS and (p[1:-1] if p[0] == " " else p[:-1]).isalpha()]
-        parts = {q for p in ended for q in (p[:-1], p[-1])}
-        todo = [p for p in (new.difference(ended) | parts) if p not in seen]
-        for p, ids in zip(todo, self._encode(todo), strict=True):
-            seen[p] = ids
-        for p in ended:
-            seen[p] = seen[p[:-1]] + seen[p[-1]]
-        out = [b"".join([seen[p] for p in c]) if c is not None else b"" for c in cut]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        out = []
+        for text in texts:
+            if len(self) > MOST:
+                self.clear()
+                self[""] = b""
+            out.append(self._one(text))
         return out
 
 
