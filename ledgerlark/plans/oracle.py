@@ -108,6 +108,9 @@ SQL: dict[str, str] = {
       SELECT k_agency, k_account, CASE WHEN status = 'only in current' AND y.b IS NOT NULL THEN y.b ELSE base_dollars END AS base_dollars, CASE WHEN status = 'only in base' AND x.c IS NOT NULL THEN x.c ELSE current_dollars END AS current_dollars,
              CASE WHEN (status = 'only in base' AND x.c IS NOT NULL) OR (status = 'only in current' AND y.b IS NOT NULL) THEN 'matched (TAS)' ELSE status END AS status
       FROM cmp LEFT JOIN (SELECT b, arg_min(c, fas_code) AS c FROM codes GROUP BY b) x ON base_dollars = x.b LEFT JOIN (SELECT c, arg_min(b, fas_code) AS b FROM codes GROUP BY c) y ON current_dollars = y.c)""", _compare() + ", codes AS (SELECT fas_code, CAST(sum(coalesce(dollars, 0)) FILTER (fy = 1997) AS BIGINT) AS b, CAST(sum(coalesce(dollars, 0)) FILTER (fy = 1998) AS BIGINT) AS c FROM mapped WHERE fas_code IS NOT NULL AND fy IN (1997, 1998) GROUP BY 1 HAVING count(DISTINCT fy) = 2)"),
+    "link_relabel": _on_bridge("""SELECT cmp.k_agency, cmp.k_account, CASE WHEN status IN ('only in base', 'only in current') AND EXISTS (SELECT 1 FROM labels WHERE contains(l, lower(coalesce(b.nm, c.nm))) OR contains(lower(coalesce(b.nm, c.nm)), l)) THEN 'linked' ELSE status END AS status
+      FROM cmp LEFT JOIN disp b ON b.fy = 1997 AND b.k_agency = cmp.k_agency AND b.k_account = cmp.k_account LEFT JOIN disp c ON c.fy = 1998 AND c.k_agency = cmp.k_agency AND c.k_account = cmp.k_account""",
+      _compare() + ", labels AS (SELECT DISTINCT 'the ' || p_name AS l FROM part WHERE p_size = 1), disp AS (SELECT fy, k_agency, k_account, arg_min(account_name, (identifier, bill_dir, provision_index)) AS nm FROM keyed WHERE provision_type = 'appropriation' AND semantics = 'new_budget_authority' GROUP BY ALL)"),
     "jurisdiction": f"""SELECT {_case('t', _RULES, "CASE WHEN t = 'health' OR starts_with(t, 'health ') THEN 'labor_hhs' ELSE 'other' END")} AS jurisdiction, {_case('t', [(a, a) for a, _ in _RULES], "CASE WHEN t = 'health' OR starts_with(t, 'health ') THEN 'health' ELSE 'default_rule' END")} AS pattern, count(*) AS n
       FROM (SELECT lower(p_name || ' ' || {_TITLES}[p_partkey % 7 + 1]) AS t FROM part) GROUP BY ALL""",
     "timing": _on_bridge("""SELECT CASE WHEN availability <> '' THEN CASE WHEN year(l_shipdate) + 1 > fy THEN 'advance' ELSE 'current_year' END WHEN line = 2 THEN 'supplemental' ELSE 'current_year' END AS timing,
