@@ -59,7 +59,10 @@ class _Lanes:
         cum = np.zeros((self.n, self.groups + 1), dtype=np.int64)
         np.cumsum(self.counts * (65536 // (step + self.groups)), axis=1, out=cum[:, 1:])
         cum[:, -1] = 65536
-        self.cum = cum.reshape(-1)
+        self.low = (cum << 8).reshape(-1)
+        self.each = np.zeros_like(cum)
+        self.each[:, :-1] = np.diff(cum, axis=1) << self.shift
+        self.each = self.each.reshape(-1)
         self.sorted = (cum + self.key[:, None]).reshape(-1)
 
     def mix(self) -> None:
@@ -78,18 +81,16 @@ class _Lanes:
         """Where the mixture's interval of each lane's id begins, and its length."""
         self.group = self.group_of[ids]
         at = self.at + self.group
-        lo = self.cum[at]
-        each = (self.cum[at + 1] - lo) << self.shift[self.group]
+        each = self.each[at]
         d1, d2 = ids - self.i1, ids - self.i2
-        begin = ((lo << 8) + self.inside[ids] * each) * self.w0 + (((d1 > 0) * self.m1 + (d2 > 0) * self.m2) << 24)
+        begin = (self.low[at] + self.inside[ids] * each) * self.w0 + (((d1 > 0) * self.m1 + (d2 > 0) * self.m2) << 24)
         return begin, each * self.w0 + (((d1 == 0) * self.m1 + (d2 == 0) * self.m2) << 24)
 
     def _plain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order 0's own interval of an id, weighted."""
-        g = self.group_of[ids]
-        lo = self.cum[self.at + g]
-        each = (self.cum[self.at + g + 1] - lo) << self.shift[g]
-        return ((lo << 8) + self.inside[ids] * each) * self.w0, each * self.w0
+        at = self.at + self.group_of[ids]
+        each = self.each[at]
+        return (self.low[at] + self.inside[ids] * each) * self.w0, each * self.w0
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value: beyond, at or before the one or two predicted ids."""
@@ -101,9 +102,8 @@ class _Lanes:
         past1, past2 = value >= b1 + z1 + m1 + same * m2, value >= b2 + z2 + m2 + same * m1
         plain = np.minimum((value - past1 * m1 - past2 * m2) // self.w0, (1 << 24) - 1)
         g = np.searchsorted(self.sorted, (plain >> 8) + self.key, "right") - 1 - self.at
-        lo = self.cum[self.at + g]
-        each = (self.cum[self.at + g + 1] - lo) << self.shift[g]
-        got = self.first[g] + (plain - (lo << 8)) // each
+        at = self.at + g
+        got = self.first[g] + (plain - self.low[at]) // self.each[at]
         got = np.where((value >= b1) & ~past1, self.i1, got)
         return np.where((value >= b2) & ~past2, self.i2, got)
 
