@@ -344,7 +344,7 @@ def link_hashes(spark, d):
 
 @_query
 def embedding_text(spark, d):
-    return model.embedding_text(_year(_view(spark, d), CURRENT_FY).where("provision_type = 'limitation'"))
+    return model.embedding_text(_view(spark, d))
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlark.plans import oracle, queries
+from ledgerlark.plans import bridge, oracle, queries
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +39,12 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_sql_has_its_query():
     assert set(oracle.SQL) <= set(queries.QUERIES)
+
+
+def test_embedding_text_of_every_provision(spark, duck):
+    part = lambda label, c: f"CASE WHEN {c} <> '' THEN '{label}: ' || {c} END"
+    text = f"concat_ws(' | ', {part('Account', 'account_name')}, {part('Agency', 'agency')}, {part('Description', 'description')}, {part('Text', 'raw_text')})"
+    theirs = duck.execute(f"WITH {bridge.SQL} SELECT bill_dir, provision_index, {text} FROM provisions").fetchall()
+    mine = [tuple(r) for r in queries.QUERIES["embedding_text"](spark, D).select("bill_dir", "provision_index", "embedding_text").collect()]
+    assert sorted(mine) == sorted(theirs)
+    assert len(mine) == duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] and any(" | Agency: " in r[2] for r in mine)
