@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,11 @@ def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("__gone"), "left_anti")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A row's key, which is never null: a 64-bit hash of its id and text, the same for identical rows only."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep an Arrow batch of whole texts to a few megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

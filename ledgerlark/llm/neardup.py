@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, map_batches, mix64, space_words, stored, utf8, without
+from .common import BROADCAST_IDS, map_batches, mix64, row_key, space_words, stored, utf8, without
 from .components import components
 
 BANDS, ROWS = 30, 6
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
-_SKETCH = "doc_id long, n_shingles long, node long, print binary, bands array<bigint>, sig binary"
+_SKETCH = "doc_id long, row long, n_shingles long, node long, print binary, bands array<bigint>, sig binary"
 def _permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
     """A bijection of 32-bit words."""
     x = x ^ (x >> np.uint32(16))
@@ -76,7 +76,7 @@ def _node(shingles: np.ndarray) -> tuple[int, bytes]:
 
 
 def sketches(docs: DataFrame, *, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """From (doc_id, text): set size, class (node, fingerprint), bucket keys and the signature's low bytes."""
+    """From (doc_id, text, row): set size, class (node, fingerprint), bucket keys and the signature's low bytes."""
 
     def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
         sizes, nodes, prints, keys, sigs = [], [], [], [], []
@@ -96,19 +96,20 @@ def sketches(docs: DataFrame, *, width: int = 5, bands: int = BANDS, rows: int =
                 key = mix64(key * _M[0] ^ sig[j::rows].astype(np.uint64))
             keys.append(key.view(np.int64))
             sigs.append(sig.astype(np.uint8).tobytes())
-        cols = [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "print", "bands", "sig"])
+        cols = [b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_shingles", "node", "print", "bands", "sig"])
 
     return map_batches(docs, sketch, _SKETCH)
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(node, items): the shingle sets of some classes, from the text of one document of each."""
-    wanted = stored(nodes.distinct().join(reps, "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi").select("text")
+    """(node, items): the shingle sets of some classes, from the text of one row of each, fetched by its key, which is
+    never null; copies of a row have one key and are taken once a batch."""
+    wanted = stored(nodes.distinct().join(reps, "node").select("row").distinct(), "wanted")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "row", "left_semi").select("text")
 
     def build(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [s for s in shingle_sets(utf8(b.column(0)), width) if len(s)]
+        found = [s for s in shingle_sets(list(dict.fromkeys(utf8(b.column(0)))), width) if len(s)]
         return pa.RecordBatch.from_arrays([pa.array([_node(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
 
     return map_batches(texts, build, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
@@ -222,11 +223,11 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     gives no rows; other columns are not read. A pair at the threshold shares no bucket with probability
     (1 - 0.85**6)**30, about 7e-7.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("row"))
     sketched = stored(sketches(source, width=width, bands=bands, rows=rows), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
-    reps = classes.select("node", "rep")
+    reps = classes.select("node", "rep", "row")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
     members = stored(keyed.join(shared, "key").select("key", "node", "low"), "members")

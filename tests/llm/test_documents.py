@@ -107,6 +107,19 @@ def test_minhash(spark, monkeypatch, chunk):
     assert all(g[3] == (g[0] == g[2]) for g in got)
 
 
+def test_minhash_null_ids(spark):
+    """A null id is linked like any other: as a near copy, as a bridge, and among null ids only."""
+    words = lambda a, z: [f"w{i}" for i in range(a, z)]
+    near, bridge, alone = words(0, 100), words(200, 300), words(400, 500)
+    rows = [(5, near), (None, [*near, "more"]), (6, bridge), (None, bridge[8:] + words(300, 308)), (7, bridge[16:] + words(300, 316)), (None, alone), (None, [*alone, "more"]), (None, [*alone, "more"]), (8, words(600, 700))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    percent = 80
+    assert 100 * len(shingle_set(rows[2][1]) & shingle_set(rows[4][1])) < percent * len(shingle_set(rows[2][1]) | shingle_set(rows[4][1]))
+    got = [(str(r.doc_id), r.n_shingles, str(r.component_id)) for r in neardup.label(table(spark, rows), percent=percent).collect()]
+    assert sorted(got) == brute_components(rows, percent)
+    assert [g[2] for g in sorted(got) if g[0] == "7"] == ["6"] and sum(g[0] == "None" and g[2] == "5" for g in got) == 1
+
+
 def test_minhash_parts(spark):
     assert neardup.label(table(spark, [])).count() == 0
     x, y = (s for s in neardup.shingle_sets([b" ".join(str(i).encode() for i in range(a, a + 400)) for a in (0, 40)]))
