@@ -61,11 +61,11 @@ def clear_stored(spark: SparkSession) -> int:
 BROADCAST_IDS = 200_000
 
 
-def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``ids`` (one column); few ids are broadcast, more are joined by shuffle."""
-    gone = stored(ids.toDF("__gone"), "gone")
+def without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``keys`` (one column); few keys are broadcast, more are joined by shuffle."""
+    gone = stored(keys.toDF("__gone"), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col("__gone"), "left_anti")
 
 
 def row_key(doc_id: str, text: str) -> Column:

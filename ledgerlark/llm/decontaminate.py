@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, utf8, without
+from .common import map_batches, row_key, utf8, without
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
@@ -235,5 +235,7 @@ def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The documents that ``judge`` doesn't find contaminated, with all their columns; rows of one doc_id stay or go together, null ids stay."""
-    return without(docs, options.get("doc_id", "doc_id"), judge(docs, benchmark, **options).where("contaminated").select("doc_id"))
+    """The documents that ``judge`` doesn't find contaminated, with all their columns; each row by its own text, with or without an id."""
+    key = row_key(options.pop("doc_id", "doc_id"), options.get("text", "text"))
+    judged = judge(docs.select(key.alias("__row"), options.get("text", "text")), benchmark, doc_id="__row", **options)
+    return without(docs, key, judged.where("contaminated").select("doc_id").distinct())

@@ -223,9 +223,19 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     gives no rows; other columns are not read. A pair at the threshold shares no bucket with probability
     (1 - 0.85**6)**30, about 7e-7.
     """
+    sketched, by_class = _grouped(docs, doc_id, text, width, percent, bands, rows)
+    lowest = by_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = by_class.join(lowest, "comp").select("node", "component_id")
+    out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and of each class its smallest id, first row (the smallest id's, null last) and component (node, rep, head, comp)."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key(doc_id, text).alias("row"))
     sketched = stored(sketches(source, width=width, bands=bands, rows=rows), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
     reps = classes.select("node", "rep", "row")
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -242,15 +252,21 @@ def label(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         more = stored(_settled(left.join(about, "node"), percent), "links")
         if not more.isEmpty():
             comps = stored(components(links.unionAll(more)), "components")
-    by_class = reps.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = by_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = by_class.join(lowest, "comp").select("node", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
-    """One document of each component, with all its columns; rows of one doc_id stay or go together, null ids stay."""
-    doc_id = options.get("doc_id", "doc_id")
-    return without(docs, doc_id, label(docs, **options).where("not kept").select("doc_id"))
+    by_class = classes.select("node", "rep", "head").join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return sketched, by_class
+
+
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, null last, then of the smallest hash; any
+    one of identical rows. A row goes by its own id and text, whatever other rows share the id; texts without words stay."""
+    sketched, by_class = _grouped(docs, doc_id, text, width, percent, bands, rows)
+    heads = by_class.groupBy("comp").agg(F.min("head").alias("first"))
+    named = by_class.join(heads, "comp").select("node", F.col("first.row").alias("first"))
+    judged = sketched.select("row", "node").join(named, "node").select("row", "first")
+    key = row_key(doc_id, text)
+    out = without(docs, key, judged.where("row <> first").select("row").distinct())
+    again = stored(judged.where("row = first").groupBy("row").count().where("count > 1").select(F.col("row").alias("__row")), "again")
+    if again.isEmpty():
+        return out
+    repeated = out.withColumn("__row", key).join(again, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return without(out, key, again).unionByName(repeated)

@@ -44,6 +44,22 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    from ledgerlark.llm import decontaminate, neardup
+
+    from .test_documents import table
+
+    text = lambda a: " ".join(f"w{i}" for i in range(a, a + 60))
+    rows = [(1, text(0)), (2, text(0)), (2, text(100)), (3, text(200)), (3, text(200)), (3, text(200) + " z"), (None, text(0)), (None, text(300)), (None, text(300) + " z"), (4, None), (4, None)]
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicated(table(spark, rows)).collect()]
+    assert [k for k in kept if k[0] in (1, 2)] in ([rows[0], rows[2]], [rows[2], rows[0]])
+    assert len([k for k in kept if k[0] == 3]) == 1 and len([k for k in kept if k[0] is None]) == 1 and len(kept) == 6
+    bench = spark.createDataFrame([(1, text(0))], "item_id long, text string")
+    for block_bytes in (8_000_000, 10):
+        clean = [(r.doc_id, r.text) for r in decontaminate.clean(table(spark, rows), bench, block_bytes=block_bytes).collect()]
+        assert sorted(clean, key=str) == sorted([r for r in rows if r[1] != text(0)], key=str)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
