@@ -57,6 +57,7 @@ def clear_stored(spark: SparkSession) -> int:
     return count
 
 
+BATCH_ROWS = 1000
 #: Ids that may be broadcast: 8 bytes each, so a few megabytes.
 BROADCAST_IDS = 200_000
 
@@ -73,19 +74,16 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep an Arrow batch of whole texts to a few megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with one output (or None, or a list of them) per input batch."""
-    small_batches(df.sparkSession)
+    """``mapInArrow`` with one output (or None, or a list of them) per at most ``BATCH_ROWS`` input rows.
+
+    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``; no setting of the session is changed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn(b)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                out = fn(whole.slice(at, BATCH_ROWS))
                 yield from out if isinstance(out, list) else [out] if out is not None else []
 
     return df.mapInArrow(run, schema)

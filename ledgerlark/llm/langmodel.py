@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, space_words, stored, utf8
+from .common import mix64, space_words, stored, utf8
 
 MASS, BLOCK_BYTES = 64.0, 8_000_000
 _START, _END = np.uint64(0x5BD1E995C3A5C85C), np.uint64(0x9AE16A3B2F90404F)
@@ -99,7 +99,6 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
     and count as often as they occur; a null doc_id isn't held out; an empty table gives no rows, and without training
     texts every token has probability 1. Other columns are not read. N-grams are told apart by 64-bit hashes.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) + 64 * F.count("*")).alias("n")).first().n or 1
     blocks = max(1, math.ceil(size / block_bytes))

@@ -184,7 +184,6 @@ def _join(classes: DataFrame, count: int, dims: int, cosine: float) -> tuple[Dat
             out.append(pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(linked[at].astype(np.int64)), pa.array(nodes[lab[at]])], names=["node", "linked", "root"]))
         return out
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     schema = "node long, linked long, root long"
 
     def run(batches):  # noqa: ANN001, ANN202
