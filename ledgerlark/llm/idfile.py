@@ -1,13 +1,18 @@
-"""Token-id files: an adaptive context-mixing range coder in independent, checksummed blocks.
+"""Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-Within a block the next id's distribution mixes three predictions: the ids last followed by the same two ids (order 2)
-and by the same id (order 1) put their mass on one id each, and order 0 spreads its mass by the counts of the block so
-far, by groups of ids (refreshed every 256 steps). The two masses follow from how often predictions of the same confidence
-were right in this block. A 64-bit range coder with 32-bit words codes the ids under that mixture. All state starts
-anew with each block, so a block decodes alone. Many blocks are coded side by side in numpy, a lane each.
+The next id's distribution mixes three predictions. Order 2 (the two ids before) and order 1 (the id before) each put
+their share on the one id that their context expects; order 0 spreads the rest over all ids by their counts in the block
+so far. How much each gets follows from how often contexts of the same confidences were right in this block. An id is
+coded by its share of the highest order that expects it (0.02 bits an id more than by the sum of its shares). A 64-bit
+range coder with 32-bit words codes the ids under that mixture.
 
-Block: ``LLID``, version (u8), ids (u32), ids before the block in the whole output (u64), vocabulary size (u32),
-crc32 of the ids as little-endian u32 (u32), words (u32), crc32 of the words (u32), words (u32 each).
+A block is cut into lanes, runs of consecutive ids that are coded side by side in numpy, a word stream each; all lanes of
+a block share one model, which learns a step's ids at once, so coder and decoder know the same before each step. All
+state starts anew with each block, so a block decodes alone.
+
+Block: ``LLID``, version (u8), ids (u32), lanes (u32), ids before the block in the whole output (u64), vocabulary size
+(u32), crc32 of the ids as little-endian u32 (u32), crc32 of what follows (u32); words of each lane (u32 each), then
+all lanes' words (u32 each).
 """
 
 from __future__ import annotations
@@ -17,111 +22,98 @@ import zlib
 
 import numpy as np
 
-HEAD = struct.Struct("<4sBIQIIII")
-BLOCK = 4096
-_REFRESH = 256
+HEAD = struct.Struct("<4sBIIQIII")
+BLOCK, LANES = 1 << 21, 4096
+_REFRESH = 32
 _U = np.uint64
 _LOW32, _TOP = _U(0xFFFFFFFF), _U(1 << 32)
-_BITS = 30  # the mixture's total is 64 parts of 2**24
-_SLOTS = 1 << 10
-_FINE = 2048
+_PART = 22  # the mixture's total is 256 parts of 2**22
+_BITS = _PART + 8
+_SLOTS = 1 << 18
+#: Of a context's confidence (0 to 7): what a right and a wrong prediction add; below 3, a wrong one is replaced.
+_UP = np.array([1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int64)
 
 
-class _Lanes:
-    """The model of blocks coded side by side: what both coder and decoder know before each id.
+class _Model:
+    """What coder and decoder know of a block before each step.
 
-    Order 0 counts groups of ids: eight neighbours each below 2048, above that 256 each; ids of a group are alike.
+    A context's entry is its expected id times 64, plus its confidence (order 2: times 8), so that the low six bits of
+    both entries' sum are their joint state; state 64 and up: both expect the same id.
     """
 
     def __init__(self, lanes: int, vocabulary: int) -> None:
-        self.n, self.row = lanes, np.arange(lanes, dtype=np.int64)
-        fine = min(vocabulary, _FINE)
-        starts = np.concatenate([np.arange(0, fine, 8), np.arange(fine, vocabulary, 256)])
-        self.first = starts.astype(np.int64)
-        self.shift = np.where(starts < _FINE, 5, 0)  # an id's part of 256 parts of its group, as a power of two
-        self.groups = len(starts)
-        ids = np.arange(vocabulary)
-        self.group_of = np.searchsorted(starts, ids, "right") - 1
-        self.inside = ids - self.first[self.group_of]
-        self.at = self.row * (self.groups + 1)
-        self.counts = np.ones((lanes, self.groups), dtype=np.int64)
-        self.flat_counts, self.count_at = self.counts.reshape(-1), self.row * self.groups
-        self.key = self.row << 17
-        self.refresh(0)
-        self.table = np.zeros(2 * lanes * _SLOTS, dtype=np.int64)  # id * 8 + confidence
-        self.base1, self.base2 = self.row * _SLOTS, (self.row + lanes) * _SLOTS
-        self.rate = np.full(2 * lanes * 8, 4096, dtype=np.int64)  # of 65536: how often predictions of a confidence are right
-        self.rate1, self.rate2 = self.row * 8, (self.row + lanes) * 8
-        self.p1, self.p2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-
-    def refresh(self, step: int) -> None:
-        """Order 0 anew from the counts, which start at one for each group."""
-        cum = np.zeros((self.n, self.groups + 1), dtype=np.int64)
-        np.cumsum(self.counts * (65536 // (step + self.groups)), axis=1, out=cum[:, 1:])
-        cum[:, -1] = 65536
-        self.low = (cum << 8).reshape(-1)
-        self.each = np.zeros_like(cum)
-        self.each[:, :-1] = np.diff(cum, axis=1) << self.shift
-        self.each = self.each.reshape(-1)
-        self.sorted = (cum + self.key[:, None]).reshape(-1)
+        self.vocabulary, self.steps = vocabulary, 0
+        self.number = np.arange(vocabulary + 1)
+        self.counts = 1 + 65536 // (self.number[:vocabulary] + 16)  # low ids of a BPE vocabulary are the common ones
+        self.after1, self.after2 = np.zeros(vocabulary, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
+        self.tried, self.right1, self.right2 = np.full(128, 4), np.ones(128, dtype=np.int64), np.ones(128, dtype=np.int64)
+        self.p1, self.hash1 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.low, self.scaled, self.each = np.zeros(vocabulary + 1, dtype=np.int64), np.empty(vocabulary + 1), np.empty(vocabulary, dtype=np.int64)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Order 0 and the masses anew from the counts."""
+        if self.held:
+            ids, states = map(np.concatenate, zip(*self.held, strict=True))
+            self.counts += np.bincount(ids, minlength=self.vocabulary) << 6
+            seen = np.bincount(states, minlength=512).reshape(4, 128)
+            self.tried += seen.sum(axis=0)
+            self.right2 += seen[2] + seen[3]
+            self.right1 += seen[1]
+            self.held = []
+        np.cumsum(self.counts, out=self.low[1:])
+        np.multiply(self.low, ((1 << _PART) - self.vocabulary) / int(self.low[-1]), out=self.scaled)  # one product of doubles each: the same everywhere
+        np.add(self.number, self.scaled, out=self.low, casting="unsafe")
+        self.low[-1] = 1 << _PART
+        np.subtract(self.low[1:], self.low[:-1], out=self.each)
+        m2, m1 = self.right2 * 252 // self.tried + 1, self.right1 * 252 // self.tried + 1
+        m1[64:] = 0  # what both expect has order 2's share
+        self.rest, self.mass2, self.mass12 = 256 - m1 - m2, m2 << _PART, m1 + m2 << _PART
 
     def mix(self) -> None:
-        """Look both contexts up and weigh them: ids i1, i2 with m1, m2 of 64 parts, order 0 the other w0."""
-        self.slot1 = self.base1 + (self.p1 * 0x9E3779B1 >> 15 & (_SLOTS - 1))
-        self.slot2 = self.base2 + ((self.p1 * 0x85EBCA6B + self.p2 * 0xC2B2AE35) >> 15 & (_SLOTS - 1))
-        self.e1, self.e2 = self.table[self.slot1], self.table[self.slot2]
-        self.i1, self.i2 = self.e1 >> 3, self.e2 >> 3
-        self.k1, self.k2 = self.rate1 + (self.e1 & 7), self.rate2 + (self.e2 & 7)
-        self.r1, self.r2 = self.rate[self.k1], self.rate[self.k2]
-        self.m2 = self.r2 * 62 >> 16
-        self.m1 = (63 - self.m2) * self.r1 >> 16
-        self.w0 = 64 - self.m1 - self.m2
+        """Look both contexts up and weigh them: id i2 with mass m2 comes first, then i1 with m1, then order 0 times w0."""
+        self.hash2 = self.p1 * 0x9E3779B1
+        self.slot = (self.hash2 + (self.hash1 >> 5)) >> 14 & (_SLOTS - 1)
+        self.e1, self.e2 = self.after1.take(self.p1), self.after2.take(self.slot)
+        self.i1, self.i2 = self.e1 >> 6, self.e2 >> 6
+        self.state = (self.e1 + self.e2 & 63) + ((self.i1 == self.i2) << 6)
+        self.m2, self.both, self.w0 = self.mass2.take(self.state), self.mass12.take(self.state), self.rest.take(self.state)
 
     def spot(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the mixture's interval of each lane's id begins, and its length."""
-        self.group = self.group_of[ids]
-        at = self.at + self.group
-        each = self.each[at]
-        d1, d2 = ids - self.i1, ids - self.i2
-        begin = (self.low[at] + self.inside[ids] * each) * self.w0 + (((d1 > 0) * self.m1 + (d2 > 0) * self.m2) << 24)
-        return begin, each * self.w0 + (((d1 == 0) * self.m1 + (d2 == 0) * self.m2) << 24)
-
-    def _plain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0's own interval of an id, weighted."""
-        at = self.at + self.group_of[ids]
-        each = self.each[at]
-        return (self.low[at] + self.inside[ids] * each) * self.w0, each * self.w0
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id whose interval holds the value: beyond, at or before the one or two predicted ids."""
-        m1, m2 = self.m1 << 24, self.m2 << 24
-        (f1, z1), (f2, z2) = self._plain(self.i1), self._plain(self.i2)
-        d = self.i1 - self.i2
-        b1, b2 = f1 + (d > 0) * m2, f2 + (d < 0) * m1
-        same = (d == 0) * 1
-        past1, past2 = value >= b1 + z1 + m1 + same * m2, value >= b2 + z2 + m2 + same * m1
-        plain = np.minimum((value - past1 * m1 - past2 * m2) // self.w0, (1 << 24) - 1)
-        g = np.searchsorted(self.sorted, (plain >> 8) + self.key, "right") - 1 - self.at
-        at = self.at + g
-        got = self.first[g] + (plain - self.low[at]) // self.each[at]
-        got = np.where((value >= b1) & ~past1, self.i1, got)
-        return np.where((value >= b2) & ~past2, self.i2, got)
+        """Where in the mixture each lane's id begins, and its length: its share of the highest order that expects it."""
+        hit1, hit2 = ids == self.i1, ids == self.i2
+        begin = np.where(hit2, 0, np.where(hit1, self.m2, self.low.take(ids) * self.w0 + self.both))
+        return begin, np.where(hit2, self.m2, np.where(hit1, self.both - self.m2, self.each.take(ids) * self.w0))
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id that the value lies in, where it begins, and its length."""
+        hit2, plain = value < self.m2, value - self.both
+        ids = np.minimum(self.low.searchsorted(plain // self.w0, "right"), self.vocabulary) - 1
+        hit1 = plain < 0  # or a hit of order 2
+        begin = np.where(hit2, 0, np.where(hit1, self.m2, self.low.take(ids) * self.w0 + self.both))
+        size = np.where(hit2, self.m2, np.where(hit1, self.both - self.m2, self.each.take(ids, mode="wrap") * self.w0))
+        return np.where(hit2, self.i2, np.where(hit1, self.i1, ids)), begin, size
 
     def learn(self, ids: np.ndarray) -> None:
-        """Needs ``spot(ids)`` before."""
-        self.flat_counts[self.count_at + self.group] += 1
-        for e, slot, guess, k, r in ((self.e1, self.slot1, self.i1, self.k1, self.r1), (self.e2, self.slot2, self.i2, self.k2, self.r2)):
-            right = guess == ids
-            self.rate[k] = r + ((right * 65000 - r) >> 5)
-            sure = e & 7
-            self.table[slot] = np.where(right, e + (sure < 7), np.where(sure > 0, e - 1, ids << 3))
-        self.p2, self.p1 = self.p1, ids
+        """Of lanes with one context the last one's entry stays."""
+        hit1, hit2 = ids == self.i1, ids == self.i2
+        self.held.append((ids, self.state + (hit1 * 128 + hit2 * 256)))
+        fresh = ids << 6
+        c = self.e1 & 63
+        self.after1[self.p1] = np.where(hit1, self.e1 + _UP.take(c), np.where(c >= 3, self.e1 - 2, fresh + 1))
+        c = self.e2 & 63
+        self.after2[self.slot] = np.where(hit2, self.e2 + _UP.take(c >> 3) * 8, np.where(c >= 24, self.e2 - 16, fresh + 8))
+        self.p1, self.hash1 = ids, self.hash2
+        self.steps += 1
+        if self.steps % _REFRESH == 0 or self.steps in (1, 2, 4, 8, 16):
+            self.refresh()
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, r: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Take the interval in place; the lanes that must give out a word, their spans cut at the word's edge."""
-    low += r * begin.astype(_U)
-    np.multiply(r, size.astype(_U), out=span)
+    low += r * begin.view(_U)
+    np.multiply(r, size.view(_U), out=span)
     out = np.flatnonzero(span < _TOP)
     if len(out):
         lo, sp = low[out], span[out]
@@ -130,89 +122,80 @@ def _narrow(low: np.ndarray, span: np.ndarray, r: np.ndarray, begin: np.ndarray,
     return out
 
 
-def _code(ids: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    """Words of equally long lanes (lanes by steps)."""
+def _code(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the ids (lanes by steps): words of each lane, and all words."""
     lanes, steps = ids.shape
-    model, low, span = _Lanes(lanes, vocabulary), np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U)
+    model, low, span = _Model(lanes, vocabulary), np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U)
     words, used = np.empty((lanes, steps + 2), dtype="<u4"), np.zeros(lanes, dtype=np.int64)
-    by_step = np.ascontiguousarray(ids.T)
+    flat, at = words.reshape(-1), np.arange(lanes) * (steps + 2)
+    by_step = np.ascontiguousarray(ids.T, dtype=np.int64)
     for t in range(steps):
-        if t % _REFRESH == 0:
-            model.refresh(t)
         model.mix()
         begin, size = model.spot(by_step[t])
         out = _narrow(low, span, span >> _U(_BITS), begin, size)
         if len(out):
-            words[out, used[out]] = low[out] >> _U(32)
+            flat[at[out] + used[out]] = low[out] >> _U(32)
             used[out] += 1
             low[out] <<= _U(32)
             span[out] <<= _U(32)
         model.learn(by_step[t])
-    words[model.row, used] = low >> _U(32)
-    words[model.row, used + 1] = low & _LOW32
-    return [words[i, : used[i] + 2] for i in range(lanes)]
-
-
-def _decode(streams: list[np.ndarray], steps: int, vocabulary: int) -> np.ndarray:
-    lanes = len(streams)
-    model, low, span = _Lanes(lanes, vocabulary), np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U)
-    words = np.zeros((lanes, max(map(len, streams)) + 1), dtype=_U)
-    for i, s in enumerate(streams):
-        words[i, : len(s)] = s
-    code, used = words[:, 0] << _U(32) | words[:, 1], np.full(lanes, 2, dtype=np.int64)
-    ids = np.empty((lanes, steps), dtype=np.int32)
-    last = (1 << _BITS) - 1
+    flat[at + used] = low >> _U(32)
+    flat[at + used + 1] = low & _LOW32
+    used += 2
+    return used.astype("<u4"), words[np.arange(steps + 2) < used[:, None]]
+
+
+def _decode(used: np.ndarray, stream: np.ndarray, steps: int, vocabulary: int) -> np.ndarray:
+    """The ids (lanes by steps)."""
+    lanes = len(used)
+    model, low, span = _Model(lanes, vocabulary), np.zeros(lanes, dtype=_U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U)
+    ends = np.cumsum(used, dtype=np.int64)
+    at = ends - used
+    words = np.concatenate([stream.astype(_U), np.zeros(1, dtype=_U)])
+    code, at = words[at] << _U(32) | words[at + 1], at + 2
+    ids = np.empty((steps, lanes), dtype=np.uint32)
+    last = _U((1 << _BITS) - 1)
     for t in range(steps):
-        if t % _REFRESH == 0:
-            model.refresh(t)
         model.mix()
         r = span >> _U(_BITS)
-        got = model.find(np.minimum(((code - low) // r).astype(np.int64), last))
-        begin, size = model.spot(got)
+        got, begin, size = model.find(np.minimum((code - low) // r, last).view(np.int64))
         out = _narrow(low, span, r, begin, size)
         if len(out):
             low[out] <<= _U(32)
             span[out] <<= _U(32)
-            code[out] = code[out] << _U(32) | words[out, np.minimum(used[out], words.shape[1] - 1)]
-            used[out] += 1
-        ids[:, t] = got
+            code[out] = code[out] << _U(32) | words[np.minimum(at[out], len(stream))]
+            at[out] += 1
+        ids[t] = got
         model.learn(got)
-    return ids
+    return ids.T
 
 
-def encode_blocks(ids: np.ndarray, first: int, vocabulary: int, block: int = BLOCK, lanes: int = 2048) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, first: int, vocabulary: int, block: int = BLOCK, lanes: int = LANES) -> list[bytes]:
     """Blocks of ``block`` ids (the last one shorter); ``first``: ids before these in the whole output."""
-    count = -(-len(ids) // block)
-    steps, out = min(block, len(ids)), []
-    rows = np.zeros(count * steps, dtype=np.int64)  # the last block is filled up with zeros, which its header doesn't count
-    rows[: len(ids)] = ids
-    rows = rows.reshape(count, steps) if count else rows.reshape(0, 1)
-    for a in range(0, count, lanes):
-        out += _code(rows[a : a + lanes], vocabulary)
     found = []
-    for k, words in enumerate(out):
-        part = ids[k * block : (k + 1) * block]
-        data = words.tobytes()
-        found.append(HEAD.pack(b"LLID", 1, len(part), first + k * block, vocabulary, zlib.crc32(part.astype("<u4").tobytes()), len(words), zlib.crc32(data)) + data)
+    for a in range(0, len(ids), block):
+        part = ids[a : a + block]
+        width = max(1, min(lanes, len(part) // 256))
+        steps = -(-len(part) // width)
+        rows = np.zeros(width * steps, dtype=np.int64)  # filled up with zeros, which the header doesn't count
+        rows[: len(part)] = part
+        used, words = _code(rows.reshape(width, steps), vocabulary)
+        data = used.tobytes() + words.tobytes()
+        found.append(HEAD.pack(b"LLID", 2, len(part), width, first + a, vocabulary, zlib.crc32(part.astype("<u4").tobytes()), zlib.crc32(data)) + data)
     return found
 
 
-def decode_blocks(blocks: list[bytes], lanes: int = 2048) -> list[np.ndarray]:
+def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block, checked against both checksums."""
-    heads = [HEAD.unpack_from(b) for b in blocks]
-    out: list[np.ndarray | None] = [None] * len(blocks)
-    for v in sorted({h[4] for h in heads}):
-        mine = [i for i, h in enumerate(heads) if h[4] == v]
-        for a in range(0, len(mine), lanes):
-            some, streams = mine[a : a + lanes], []
-            for i in some:
-                data = blocks[i][HEAD.size :]
-                if heads[i][0] != b"LLID" or heads[i][1] != 1 or len(data) != 4 * heads[i][6] or zlib.crc32(data) != heads[i][7]:
-                    raise ValueError("a block is damaged")
-                streams.append(np.frombuffer(data, dtype="<u4"))
-            for i, ids in zip(some, _decode(streams, max(heads[i][2] for i in some), v), strict=True):
-                ids = ids[: heads[i][2]]
-                if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][5]:
-                    raise ValueError("a block's ids don't match their checksum")
-                out[i] = ids
+    out = []
+    for b in blocks:
+        magic, version, n, lanes, _, vocabulary, ids_crc, data_crc = HEAD.unpack_from(b)
+        data = memoryview(b)[HEAD.size :]
+        if magic != b"LLID" or version != 2 or zlib.crc32(data) != data_crc:
+            raise ValueError("a block is damaged")
+        used = np.frombuffer(data[: 4 * lanes], dtype="<u4")
+        ids = _decode(used, np.frombuffer(data[4 * lanes :], dtype="<u4"), -(-n // lanes), vocabulary).reshape(-1)[:n].astype("<u4", copy=False)
+        if zlib.crc32(ids.tobytes()) != ids_crc:
+            raise ValueError("a block's ids don't match their checksum")
+        out.append(ids)
     return out

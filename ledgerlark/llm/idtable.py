@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import idfile, tokens
-from .common import map_batches, small_batches, stored
+from .common import map_batches, stored
 
 FILES = "part int, seq int, first long, doc_ids array<bigint>, doc_tokens array<bigint>, blocks array<binary>"
 VOCABULARY = 49_408
-_FLUSH = 2048 * idfile.BLOCK
+_FLUSH = 2 * idfile.BLOCK
 
 
 def write(docs: DataFrame, path: str, *, end: int = 1, vocabulary: int = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,8 +30,6 @@ def write(docs: DataFrame, path: str, *, end: int = 1, vocabulary: int = VOCABUL
     Null texts are empty (one end id); null doc_ids come first; rows of one doc_id are ordered by a hash of the text and
     each keeps its own ids; an empty table gives no files; other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    tail = np.array([end], dtype="<u4").tobytes()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
@@ -40,16 +38,18 @@ def write(docs: DataFrame, path: str, *, end: int = 1, vocabulary: int = VOCABUL
         held, docs_held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            names, counts = zip(*docs_held, strict=True)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([idfile.encode_blocks(ids, first, vocabulary)], pa.list_(pa.binary()))]
+            names, counts = pa.concat_arrays([d for d, _ in docs_held]), np.concatenate([c for _, c in docs_held])
+            listed = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), listed(names), listed(pa.array(counts, pa.int64())), pa.array([idfile.encode_blocks(np.concatenate(held), first, vocabulary)], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "first", "doc_ids", "doc_tokens", "blocks"])
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                held.append(ids + tail)
-                docs_held.append((doc, len(ids) // 4 + 1))
-                size += len(ids) // 4 + 1
+            if not b.num_rows:
+                continue
+            ids, counts = encoder.encode(b.column(1), end)
+            held.append(ids)
+            docs_held.append((b.column(0), counts))
+            size += len(ids)
             if size >= _FLUSH:
                 yield flush()
                 first, seq, held, docs_held, size = first + size, seq + 1, [], [], 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import small_batches, stored
+from .common import stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
@@ -64,22 +64,24 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def pieces(docs: DataFrame, path: str, *, sequence: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents, in order, without their places yet; with ``keep_ids`` also their ids (unsigned 32-bit)."""
-    small_batches(docs.sparkSession)
-    tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = tokens.memory(path, True), 0
         for b in batches:
-            rows, kept = [], []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += tail
-                total = len(ids) // 4
+            rows, kept, at = [], [], 0
+            if not b.num_rows:
+                continue
+            ids, counts = encoder.encode(b.column(1), end)
+            data = ids.tobytes()
+            for doc, total in zip(b.column(0).to_pylist(), counts.tolist(), strict=True):
                 for s in range(0, total, sequence):
-                    part = ids[4 * s : 4 * (s + sequence)]
-                    rows.append((doc, s, len(part) // 4, zlib.crc32(part), total, n))
+                    length = min(sequence, total - s)
+                    part = data[4 * (at + s) : 4 * (at + s + length)]
+                    rows.append((doc, s, length, zlib.crc32(part), total, n))
                     n += 1
                     if keep_ids:
                         kept.append(part)
+                at += total
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.binary())] if keep_ids else []), names=names + (["ids"] if keep_ids else []))

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memory of words.
 
 A text is cut where every pre-tokenizer in use cuts it anyway (single spaces and line breaks), so each piece's ids are
-those it has inside the text; a piece that was seen before isn't encoded again. A plain word goes straight to the
+those it has inside the text. Arrow cuts all texts of a batch and finds their distinct pieces; one that was seen before
+isn't encoded again, and numpy lays the pieces' ids out in the texts' order. A plain word goes straight to the
 vocabulary's BPE model, as it is one pre-token; any other piece goes through the whole tokenizer, and so does a text
 whose runs of white space matter to the vocabulary or that holds a control string. The memory is emptied at ``MOST``
 entries and never changes a result.
@@ -9,14 +10,21 @@ entries and never changes a result.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 MOST = 1_200_000
 _MEMORY: dict[str, "WordMemory"] = {}
-#: White space other than space and line break (and the mark that pieces are cut at).
-_ODD = re.compile("[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts that are encoded whole: control strings and the mark that pieces are cut at; where white space matters also
+#: runs of it and other kinds of it.
+_CONTROL = "<\\||\\x00"
+_ODD = "<\\||  |\n\n| \n|\n |[\\t\\r\\x00\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A word and ASCII marks after it, which are separate pre-tokens.
 _MARKED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
 #: Letters up to here have no composed form, and their lower case is one letter by itself (but for U+0130).
@@ -55,36 +63,59 @@ class WordMemory(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if not self.spaced and piece.isascii() and (low := piece.lower()) != piece:
+            ids = self[low]
+        else:
+            ids = self._new(piece)
+        self[piece] = ids
+        return ids
+
+    def _new(self, piece: str) -> bytes:
         marked = _MARKED.fullmatch(piece)
         core = marked[1] if marked else piece
         word = core[1:] if self.spaced and core[0] == " " else core
         if not word.isalpha() or max(word) > _LAST or "\u0130" in word:
-            ids = self.whole(piece)
-        elif marked:
-            ids = self[core] + self[marked[2]]
+            return self.whole(piece)
+        if marked:
+            return self[core] + self[marked[2]]
+        shown = core if self.spaced else core.lower()
+        return array("I", [t.id for t in self.model.tokenize(shown.translate(self.letters))]).tobytes()
+
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """The pieces of each text, as lists."""
+        if self.spaced:
+            return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, each text's followed by ``end``, and how many ids each has with it. Null texts are empty."""
+        if len(self) > MOST:
+            self.clear()
+            self[""] = b""
+        gc.disable()  # the memory holds no cycles, but many objects to look at
+        try:
+            texts = pc.fill_null(texts.cast(pa.large_string()), "")
+            odd = pc.match_substring_regex(texts, _ODD if self.spaced else _CONTROL)
+            lists = self._pieces(pc.if_else(odd, "", texts))
+            named = lists.flatten().dictionary_encode()
+            known = [self[p] for p in named.dictionary.to_numpy(zero_copy_only=False)]
+            whole = {i: np.frombuffer(self.whole(texts[i].as_py()), dtype="<u4") for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        finally:
+            gc.enable()
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        start, piece = np.cumsum(size) - size, named.indices.to_numpy()
+        n = size[piece]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(known), dtype="<u4")[np.repeat(start[piece] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        where = np.repeat(bounds[1:], [len(whole.get(i, ())) + 1 for i in range(len(texts))]) if whole else bounds[1:]
+        if whole:
+            put = np.concatenate([x for i in range(len(texts)) for x in (whole.get(i, ids[:0]), [end])]).astype("<u4")
+            counts = counts + [len(whole.get(i, ())) for i in range(len(texts))]
         else:
-            shown = core if self.spaced else core.lower()
-            ids = array("I", [t.id for t in self.model.tokenize(shown.translate(self.letters))]).tobytes()
-        self[piece] = ids
-        return ids
-
-    def _one(self, text: str) -> bytes:
-        if "<|" in text or "\x00" in text:
-            return self.whole(text)
-        if not self.spaced:
-            return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")))
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if len(self) > MOST:
-                self.clear()
-                self[""] = b""
-            out.append(self._one(text))
-        return out
+            put = end
+        return np.insert(ids, where, put), counts + 1
 
 
 def memory(path: str, spaced: bool) -> WordMemory:

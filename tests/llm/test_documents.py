@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,19 +142,23 @@ def test_components(spark):
 def test_word_memory(name, spaced, monkeypatch):
     m = tokens.WordMemory(tokens.vocabulary(name), spaced)
     texts = [t or "" for _, t in rows_with_edges(2, 30)] + ["A'S it's x_y --- (z) é́ ﬁ İ ß Σας ​ ½ ², end.", "\x00 a\x00b", "a\r\nb\tc", " lead", "trail ", "ǅ. Ω! ʰa"]
-    assert m.encode(texts) == [m.whole(t) for t in texts]
-    monkeypatch.setattr(tokens, "MOST", 5)
-    assert m.encode(texts) == [m.whole(t) for t in texts]
+    want = [np.frombuffer(m.whole(t), "<u4").tolist() + [1] for t in texts]
+    for _ in range(2):
+        for part in (slice(0, None), slice(3, 9), slice(0, 0)):
+            ids, counts = m.encode(pa.array([*texts, None])[:-1][part], 1)
+            assert ids.tolist() == sum(want[part], []) and counts.tolist() == list(map(len, want[part]))
+        monkeypatch.setattr(tokens, "MOST", 5)
+    assert m.encode(pa.array([None, ""], pa.string()), 1)[0].tolist() == [1, 1]
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 4095, 4096, 4097, 9000])
+@pytest.mark.parametrize("n", [0, 1, 5, 255, 256, 4097, 20000])
 def test_idfile(n):
     r = np.random.default_rng(n)
     ids = (r.zipf(1.3, n) % 49408).astype(np.int32)
     ids[: n // 3] = 7
-    blocks = idfile.encode_blocks(ids, 11, 49408)
+    blocks = idfile.encode_blocks(ids, 11, 49408, block=6000, lanes=9)
     back = idfile.decode_blocks(blocks)
-    assert (np.concatenate(back) if back else ids[:0]).tolist() == ids.tolist()
+    assert len(blocks) == -(-n // 6000) and (np.concatenate(back) if back else ids[:0]).tolist() == ids.tolist()
     for b, part in zip(blocks[:2], back[:2], strict=True):  # each block alone
         assert idfile.decode_blocks([b])[0].tolist() == part.tolist()
 
@@ -161,8 +166,8 @@ def test_idfile(n):
 def test_idfile_damage_and_gain():
     ids = np.tile(np.arange(50, dtype=np.int32), 200)
     block = idfile.encode_blocks(ids, 0, 49408)[0]
-    assert len(block) * 8 < 4096 * 4
-    for at in (idfile.HEAD.size + 4, idfile.HEAD.size - 14):
+    assert len(block) * 8 < len(ids) * 4
+    for at in (idfile.HEAD.size + 4, idfile.HEAD.size - 6):
         bad = bytearray(block)
         bad[at] ^= 1
         with pytest.raises(ValueError, match="block"):
