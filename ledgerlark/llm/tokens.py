@@ -71,15 +71,19 @@ class WordMemory(dict):
         return ids
 
     def _new(self, piece: str) -> bytes:
-        marked = _MARKED.fullmatch(piece)
-        core = marked[1] if marked else piece
-        word = core[1:] if self.spaced and core[0] == " " else core
-        if not word.isalpha() or max(word) > _LAST or "\u0130" in word:
-            return self.whole(piece)
-        if marked:
-            return self[core] + self[marked[2]]
-        shown = core if self.spaced else core.lower()
-        return array("I", [t.id for t in self.model.tokenize(shown.translate(self.letters))]).tobytes()
+        space = self.spaced and piece[0] == " "
+        word = piece[1:] if space else piece
+        if word.isalpha():
+            if word.isascii():  # such letters stand for themselves
+                return self._modelled(self.letters[32] + word if space else word if self.spaced else word.lower())
+            if max(word) <= _LAST and "\u0130" not in word:
+                return self._modelled((piece if self.spaced else piece.lower()).translate(self.letters))
+        elif (marked := _MARKED.fullmatch(piece)) and (piece.isascii() or (max(piece) <= _LAST and "\u0130" not in piece)):
+            return self[marked[1]] + self[marked[2]]
+        return self.whole(piece)
+
+    def _modelled(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _pieces(self, texts: pa.Array) -> pa.Array:
         """The pieces of each text, as lists."""

@@ -141,7 +141,7 @@ def test_components(spark):
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_word_memory(name, spaced, monkeypatch):
     m = tokens.WordMemory(tokens.vocabulary(name), spaced)
-    texts = [t or "" for _, t in rows_with_edges(2, 30)] + ["A'S it's x_y --- (z) é́ ﬁ İ ß Σας ​ ½ ², end.", "\x00 a\x00b", "a\r\nb\tc", " lead", "trail ", "ǅ. Ω! ʰa"]
+    texts = [t or "" for _, t in rows_with_edges(2, 30)] + ["A'S it's x_y --- (z) é́ ﬁ İ ß Σας ​ ½ ², end.", "\x00 a\x00b", "a\r\nb\tc", " lead", "trail ", "ǅ. Ω! ʰa", "İ! Word, É!? ab\u0307! J\u030c."]
     want = [np.frombuffer(m.whole(t), "<u4").tolist() + [1] for t in texts]
     for _ in range(2):
         for part in (slice(0, None), slice(3, 9), slice(0, 0)):
