@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,24 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN_FOLDER: list[str] = []
-_WRITTEN: list[str] = []
-
+from ..sources.shared import folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="ledgerlark-"))
-    return _OWN_FOLDER[0]
+_WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
