@@ -51,19 +51,43 @@ def dollars_text(value: Column, signed: bool = False) -> Column:
     return F.when(value > 0, F.concat(F.lit("+"), plain)).otherwise(plain) if signed else plain
 
 
+def _tenths(x: Column) -> Column:
+    """One decimal, ties to even."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def dollars_short(value: Column) -> Column:
     """OP-STR-09: $1.2T, $3.4B, $5.6M, or whole dollars."""
     size = F.abs(value)
-    return F.when(size >= 10**12, F.format_string("$%.1fT", value / 1e12)).when(size >= 10**9, F.format_string("$%.1fB", value / 1e9)).when(size >= 10**6, F.format_string("$%.1fM", value / 1e6)).otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
+    return F.when(size >= 10**12, F.concat(F.lit("$"), _tenths(value / 1e12), F.lit("T"))).when(size >= 10**9, F.concat(F.lit("$"), _tenths(value / 1e9), F.lit("B"))).when(size >= 10**6, F.concat(F.lit("$"), _tenths(value / 1e6), F.lit("M"))).otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
 
 
 def bytes_text(n: Column) -> Column:
     """OP-STR-11: B, KB or MB."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1024**2))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(_tenths(n / 1024), F.lit(" KB"))).otherwise(F.concat(_tenths(n / 1024**2), F.lit(" MB")))
+
+
+def _inside(text: Column, at: Column) -> Column:
+    """Whether a byte position of a text lies within a character."""
+    return F.substring(F.hex(F.encode(text, "UTF-8")), 2 * at.cast("int") + 1, F.lit(2)).between("80", "BF")
+
+
+def _before(text: Column, at: Column) -> Column:
+    """The last place between characters at or before a byte position."""
+    return F.when(~_inside(text, at), at).when(~_inside(text, at - 1), at - 1).when(~_inside(text, at - 2), at - 2).otherwise(at - 3)
+
+
+def _bytes(text: Column, start: Column, end: Column) -> Column:
+    return F.decode(F.substring(F.encode(text, "UTF-8"), start.cast("int") + 1, (end - start).cast("int")), "UTF-8")
 
 
 def truncated(text: Column, most: int) -> Column:
-    """OP-STR-10: at most ``most`` characters, the last one an ellipsis where something was cut."""
+    """OP-STR-10: texts of more than ``most`` bytes cut between characters before that and ended by an ellipsis."""
+    return F.when(F.octet_length(text) > most, F.concat(_bytes(text, F.lit(0), _before(text, F.lit(most - 1))), F.lit("…"))).otherwise(text)
+
+
+def shortened(text: Column, most: int) -> Column:
+    """OP-STR-10 by characters: at most ``most``, the last one an ellipsis where something was cut."""
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
 
 
@@ -73,9 +97,11 @@ def preview(text: Column) -> Column:
 
 
 def context(text: Column, position: Column, radius: int = 80) -> Column:
-    """OP-STR-12: the characters around a 1-based position, on one line."""
-    start = F.greatest(position - radius, F.lit(1))
-    return F.trim(F.replace(F.substring(text, start, position + radius - start), F.lit("\n"), F.lit(" ")))
+    """OP-STR-12: what lies within ``radius`` bytes of a byte position, of whole characters, on one line."""
+    at, size = F.greatest(position - radius, F.lit(0)), F.octet_length(text)
+    start = F.when(~_inside(text, at), at).when(~_inside(text, at + 1), at + 1).when(~_inside(text, at + 2), at + 2).otherwise(at + 3)
+    end = _before(text, F.least(position + radius, size))
+    return F.trim(F.replace(_bytes(text, start, F.greatest(start, end)), F.lit("\n"), F.lit(" ")))
 
 
 def bill_label(identifier: Column, congress: Column) -> Column:

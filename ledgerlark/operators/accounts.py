@@ -53,19 +53,16 @@ def resolve(rows: DataFrame, reference: DataFrame, agency_codes: DataFrame | Non
     if agency_codes is None:
         names = names.withColumn("code", agency_code(F.col("agency"), F.col("account_name")))
     else:
-        names = names.join(F.broadcast(agency_codes) if agency_codes.count() <= 10_000 else agency_codes, "agency", "left")
-    known = _candidates(reference)
-    keys = {"n1": F.lower(F.trim("account_name")), "n2": short_title(F.col("account_name")), "n3": F.when(F.col("account_name").rlike("[—–]"), short_title(normalized_account(F.col("account_name"))))}
-    found = names
-    for n, key in keys.items():
-        found = found.withColumn("key", key).join(known, "key", "left")
-        direct, within = F.col("only"), F.element_at("by_agency", F.coalesce("code", F.lit("")))
-        method = F.when(direct.isNotNull(), "direct_match").when(within.isNotNull(), "agency_disambiguated")
-        found = found.withColumn(n, F.coalesce(direct, within)).withColumn(f"{n}_m", method).drop("key", "only", "by_agency")
-    hit = F.coalesce("n1", "n2", "n3")
-    method = F.when(F.col("n1").isNotNull(), F.col("n1_m")).when(F.col("n2").isNotNull(), F.col("n2_m")).when(F.col("n3").isNotNull(), "suffix_match").otherwise("none")
-    resolved = found.select("agency", "account_name", hit["fas_code"].alias("fas_code"), hit["fas_title"].alias("fas_title"), method.alias("method"))
-    return rows.join(resolved, ["agency", "account_name"], "left").withColumn("confidence", F.when(F.col("fas_code").isNotNull(), "verified").otherwise("unmatched"))
+        names = names.join(agency_codes, "agency", "left")
+    after = F.when(F.col("account_name").rlike("[—–]"), short_title(normalized_account(F.col("account_name"))))
+    keys = F.array(F.lower(F.trim("account_name")), short_title(F.col("account_name")), after)
+    tried = names.select("agency", "account_name", "code", F.posexplode(keys).alias("try", "key")).where("key is not null").join(_candidates(reference), "key")
+    direct, within = F.col("only"), F.element_at("by_agency", F.coalesce("code", F.lit("")))
+    method = F.when(F.col("try") == 2, "suffix_match").when(direct.isNotNull(), "direct_match").otherwise("agency_disambiguated")
+    hits = tried.select("agency", "account_name", "try", F.coalesce(direct, within).alias("hit"), method.alias("method")).where("hit is not null")
+    resolved = hits.groupBy("agency", "account_name").agg(F.min_by(F.struct("hit", "method"), "try").alias("r")).select("agency", "account_name", "r.hit.*", "r.method")
+    out = rows.join(resolved, ["agency", "account_name"], "left").withColumn("method", F.coalesce("method", F.lit("none")))
+    return out.withColumn("confidence", F.when(F.col("fas_code").isNotNull(), "verified").otherwise("unmatched"))
 
 
 def resolution_summary(mappings: DataFrame) -> DataFrame:
@@ -100,8 +97,8 @@ def discontinued(changes: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def general_fund(reference: DataFrame, agency: str) -> DataFrame:
-    """OP-FLT-13."""
-    return reference.where((F.col("agency_code") == agency) & (F.col("fund_type") == "general"))
+    """OP-FLT-13: an agency's general fund accounts; numbers from 4000 on are other kinds of funds."""
+    return reference.where((F.col("agency_code") == agency) & (F.col("fund_type") == "general") & ~F.coalesce(F.col("main_account").try_cast("int") >= 4000, F.lit(False)))
 
 
 def collapsed(tas: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def availability(v: Column) -> Column:
     """OP-JSON-04: the text, or the key of an object form with its years."""
     plain = F.try_variant_get(v, "$.availability", "variant")
     shape = F.schema_of_variant(plain)
-    return F.when(plain.isNull(), None).when(shape == "STRING", _field(v, "$.availability")).otherwise(F.to_json(plain))
+    return F.when(plain.isNull() | (shape == "VOID"), None).when(shape == "STRING", _field(v, "$.availability")).otherwise(F.to_json(plain))
 
 
 def provisions(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -131,6 +131,19 @@ def timeline(rows: DataFrame) -> DataFrame:
     return years.groupBy("fy").agg(part(~F.col("timing").isin("advance", "supplemental")).alias("current_year_ba"), part(F.col("timing") == "advance").alias("advance_ba"), part(F.col("timing") == "supplemental").alias("supplemental_ba"), F.array_sort(F.collect_set("identifier")).alias("source_bills"))
 
 
+def exemplars(labelled: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """OP-RES-05: from (bill_dir, provision_index, label) per label at most ``most`` provisions of its first bill, evenly
+    spaced by index, and all provisions of its second bill to test them on. Labels of one bill are left out."""
+    bills = labelled.select("label", "bill_dir").distinct()
+    nth = bills.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("bill_dir"))).where("nth <= 2")
+    both = nth.groupBy("label").agg(F.max("nth").alias("n")).where("n = 2").select("label")
+    rows = labelled.join(nth.join(both, "label"), ["label", "bill_dir"])
+    first = rows.where("nth = 1").withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("provision_index")) - 1).withColumn("all", F.count("*").over(Window.partitionBy("label")))
+    step = F.greatest(F.floor(F.col("all") / F.least("all", F.lit(most))), F.lit(1))
+    chosen = first.where((F.col("i") % step == 0) & (F.col("i") / step < most))
+    return chosen.select("bill_dir", "provision_index", "label"), rows.where("nth = 2").select("bill_dir", "provision_index", "label")
+
+
 def centroids(vectors: DataFrame, labelled: DataFrame) -> DataFrame:
     """OP-VEC-04/RES-05: per label the mean of its exemplars' vectors, scaled to length one. ``labelled``: (bill_dir, provision_index, label)."""
     parts = vectors.join(labelled, ["bill_dir", "provision_index"]).select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))

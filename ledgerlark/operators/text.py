@@ -100,7 +100,8 @@ def chunks(text: bytes, most_tokens: int) -> list[tuple[str, str, str, int, int]
 def scanned(texts: DataFrame, key: str, text: str, schema: str, scan: Callable[[bytes], list[tuple]]) -> DataFrame:
     """Apply a scan to every text: the key and the fields of ``schema`` for each hit, in order, with its ordinal ``ord``."""
     kind = texts.schema[key].dataType.simpleString()
-    names = [p.split()[0] for p in schema.split(", ")]
+    names, types = zip(*(p.split() for p in schema.split(", ")), strict=True)
+    kinds = [pa.int64(), *[pa.int64() if t == "long" else pa.string() for t in types]]  # declared, not guessed: a batch may hold no hit
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
@@ -110,7 +111,7 @@ def scanned(texts: DataFrame, key: str, text: str, schema: str, scan: Callable[[
                 keys += [k] * len(hits)
                 rows += [(i, *h) for i, h in enumerate(hits)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], b.column(0).type), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int64() if isinstance(next(iter(c), 0), int) else pa.string()) for c in cols[1:]]], names=[key, "ord", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], b.column(0).type), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[key, "ord", *names])
 
     return texts.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{key} {kind}, ord long, {schema}")
 

@@ -87,8 +87,8 @@ def ambiguous_amounts(amount_checks: DataFrame, top: int = 20) -> DataFrame:
 
 def misses(claims: DataFrame, sources: DataFrame, key: str = "bill_dir") -> DataFrame:
     """OP-RES-02: written amounts that their text holds neither as they are nor normalised."""
-    rows = claims.where("text_as_written <> ''").join(sources, key)
-    return rows.where(~F.contains("source", "text_as_written") & ~F.contains(comparable(F.col("source")), comparable(F.col("text_as_written")))).select(key, "provision_index", "text_as_written")
+    rows = claims.where("text_as_written <> ''").join(sources.select(key, "source", comparable(F.col("source")).alias("ns")), key)
+    return rows.where(~F.contains("source", "text_as_written") & ~F.contains("ns", comparable(F.col("text_as_written")))).select(key, "provision_index", "text_as_written")
 
 
 def staleness(bills: DataFrame) -> DataFrame:

@@ -78,6 +78,7 @@ def _case(column: str, pairs: list[tuple[str, str]], other: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({column}, '{a}') THEN '{b}'" for a, b in pairs) + f" ELSE {other} END"
 
 
+EMBEDDED = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {c} <> '' THEN '{label}: ' || {c} END" for label, c in (("Account", "account_name"), ("Agency", "agency"), ("Description", "description"), ("Text", "raw_text"))) + ")"
 SQL: dict[str, str] = {
     "summary_by_bill": _on_bridge("""SELECT bill_dir, identifier, count(*) AS provisions, ba AS budget_authority, resc AS rescissions, ba - resc AS net_ba FROM (
       SELECT *, CAST(sum(CASE WHEN provision_type = 'appropriation' AND semantics = 'new_budget_authority' AND detail_level NOT IN ('sub_allocation', 'proviso_amount') THEN coalesce(dollars, 0) ELSE 0 END) OVER (PARTITION BY bill_dir) AS BIGINT) AS ba,
@@ -110,7 +111,7 @@ SQL: dict[str, str] = {
       FROM cmp LEFT JOIN (SELECT b, arg_min(c, fas_code) AS c FROM codes GROUP BY b) x ON base_dollars = x.b LEFT JOIN (SELECT c, arg_min(b, fas_code) AS b FROM codes GROUP BY c) y ON current_dollars = y.c)""", _compare() + ", codes AS (SELECT fas_code, CAST(sum(coalesce(dollars, 0)) FILTER (fy = 1997) AS BIGINT) AS b, CAST(sum(coalesce(dollars, 0)) FILTER (fy = 1998) AS BIGINT) AS c FROM mapped WHERE fas_code IS NOT NULL AND fy IN (1997, 1998) GROUP BY 1 HAVING count(DISTINCT fy) = 2)"),
     "link_relabel": _on_bridge("""SELECT cmp.k_agency, cmp.k_account, CASE WHEN status IN ('only in base', 'only in current') AND EXISTS (SELECT 1 FROM labels WHERE contains(l, lower(coalesce(b.nm, c.nm))) OR contains(lower(coalesce(b.nm, c.nm)), l)) THEN 'linked' ELSE status END AS status
       FROM cmp LEFT JOIN disp b ON b.fy = 1997 AND b.k_agency = cmp.k_agency AND b.k_account = cmp.k_account LEFT JOIN disp c ON c.fy = 1998 AND c.k_agency = cmp.k_agency AND c.k_account = cmp.k_account""",
-      _compare() + ", labels AS (SELECT DISTINCT 'the ' || p_name AS l FROM part WHERE p_size = 1), disp AS (SELECT fy, k_agency, k_account, arg_min(account_name, (identifier, bill_dir, provision_index)) AS nm FROM keyed WHERE provision_type = 'appropriation' AND semantics = 'new_budget_authority' GROUP BY ALL)"),
+      _compare() + ", labels AS (SELECT DISTINCT 'the ' || p_name AS l FROM part), disp AS (SELECT fy, k_agency, k_account, arg_min(account_name, (identifier, bill_dir, provision_index)) AS nm FROM keyed WHERE provision_type = 'appropriation' AND semantics = 'new_budget_authority' GROUP BY ALL)"),
     "jurisdiction": f"""SELECT {_case('t', _RULES, "CASE WHEN t = 'health' OR starts_with(t, 'health ') THEN 'labor_hhs' ELSE 'other' END")} AS jurisdiction, {_case('t', [(a, a) for a, _ in _RULES], "CASE WHEN t = 'health' OR starts_with(t, 'health ') THEN 'health' ELSE 'default_rule' END")} AS pattern, count(*) AS n
       FROM (SELECT lower(p_name || ' ' || {_TITLES}[p_partkey % 7 + 1]) AS t FROM part) GROUP BY ALL""",
     "timing": _on_bridge("""SELECT CASE WHEN availability <> '' THEN CASE WHEN year(l_shipdate) + 1 > fy THEN 'advance' ELSE 'current_year' END WHEN line = 2 THEN 'supplemental' ELSE 'current_year' END AS timing,
@@ -144,7 +145,7 @@ SQL: dict[str, str] = {
     "link_suggest": _VEC + _LINKS + " SELECT source_dir, source_index, target_dir, target_index, confidence, hash, round(s, 6) AS similarity FROM link WHERE confidence IS NOT NULL",
     "link_accept": _VEC + _LINKS + " SELECT hash, 'same_account' AS relationship, CASE confidence WHEN 'verified' THEN 'name_match' ELSE 'high_similarity' END AS evidence FROM link WHERE confidence IN ('verified', 'high')",
     "link_hashes": "SELECT n_nationkey, substr(sha256(n_name || ':' || n_nationkey || '→t:' || n_regionkey || ':m'), 1, 8) AS hash FROM nation",
-    "embedding_text": _on_bridge("SELECT bill_dir, provision_index, 'Account: ' || account_name || ' | Description: ' || description || ' | Text: ' || raw_text AS embedding_text FROM provisions WHERE fy = 1998 AND provision_type = 'limitation'"),
+    "embedding_text": _on_bridge(f"SELECT bill_dir, provision_index, {EMBEDDED} AS embedding_text FROM provisions"),
     "verify_text_tiers": _CLAIMS + "SELECT CASE WHEN contains(source, raw_text) THEN 'exact' WHEN strlen(n) > 10 AND contains(ns, n) THEN 'normalized' WHEN strlen(replace(n, ' ', '')) > 10 AND contains(replace(ns, ' ', ''), replace(n, ' ', '')) THEN 'spaceless' ELSE 'no_match' END AS match_tier, count(*) AS n FROM norm JOIN srcn ON norm.bill_dir = srcn.bill_dir WHERE raw_text <> '' GROUP BY 1",
     "verify_amounts": _CLAIMS + "SELECT status, count(*) AS n FROM chk GROUP BY 1",
     "completeness": _CLAIMS + "SELECT docs.bill_dir, coalesce(total, 0) AS total_amounts, coalesce(acc, 0) AS accounted_for, CASE WHEN total > 0 THEN round(acc / total * 100, 6) ELSE 100.0 END AS completeness_pct FROM docs LEFT JOIN cov ON docs.bill_dir = cov.bill_dir",

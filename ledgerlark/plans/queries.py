@@ -178,7 +178,7 @@ def tas_rescue(spark, d):
 
 @_query
 def link_relabel(spark, d):
-    labels = bridge.table(spark, d, "part").where("p_size = 1").select(F.concat(F.lit("the "), "p_name").alias("source_label"), F.lit("").alias("target_label")).distinct()
+    labels = bridge.table(spark, d, "part").select(F.concat(F.lit("the "), "p_name").alias("source_label"), F.lit("").alias("target_label")).distinct()
     return compare.relabelled_by_links(_compared(spark, d, rescue=False), labels).select("k_agency", "k_account", "status")
 
 

@@ -15,9 +15,10 @@ def directory(path: Column | None = None) -> Column:
 
 def artifact(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """OP-SRC-02/07/08: all files of a name below ``root``; files that don't parse are left out, as if absent."""
-    reader = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(root)
-    return rows.withColumn("bill_dir", directory()).where("_corrupt is null").drop("_corrupt")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+    # parsed by an expression, as the JSON source can't tell broken files where few columns are read
+    parsed = files.select(directory().alias("bill_dir"), F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    return parsed.where("j is not null and j._corrupt is null").select("j.*", "bill_dir").drop("_corrupt")
 
 
 def extractions(spark: SparkSession, root: str) -> DataFrame:

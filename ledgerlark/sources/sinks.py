@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,51 @@ def write_table(rows: DataFrame, path: str, partition: str | None = None) -> Non
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def write_artifact(rows: DataFrame, root: str, name: str) -> None:
+    """OP-SNK-06: from (bill_dir, value), a value per bill, the file ``name`` in each bill's folder below ``root``.
+
+    Spark's committed writes put the values out; the driver only renames a file per bill, in any of Hadoop's file systems.
+    """
+    spark, staged = rows.sparkSession, f"{root}/_{uuid.uuid4().hex}"
+    rows.select("bill_dir", "value").write.partitionBy("bill_dir").text(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.globStatus(path(f"{staged}/bill_dir=*")):
+        at = folder.getPath()
+        to = path(f"{root}/{at.getName().removeprefix('bill_dir=')}")
+        files.mkdirs(to)
+        (part,) = files.globStatus(path(at, "part-*"))
+        files.delete(path(to, name), False)
+        files.rename(part.getPath(), path(to, name))
+    files.delete(path(staged), True)
+
+
+def write_vector_files(vectors: DataFrame, root: str, model: str) -> int:
+    """OP-SNK-06: from (bill_dir, provision_index, vec) each bill's ``vectors.bin`` of little-endian floats in provision order
+    and its ``embeddings.json``, written by executors; how many bills. A repeated task writes the same files again."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(t: pa.Table) -> pa.Table:
+        import hashlib
+        import json
+
+        import numpy as np
+
+        t = t.sort_by("provision_index")
+        bill = t.column("bill_dir")[0].as_py()
+        data = np.array(t.column("vec").to_pylist(), dtype="<f4")
+        files, at = fs.FileSystem.from_uri(root)
+        files.create_dir(f"{at}/{bill}")
+        head = {"schema_version": "1.0", "model": model, "dimensions": data.shape[1], "count": len(data), "vectors_file": "vectors.bin", "vectors_sha256": hashlib.sha256(data.tobytes()).hexdigest()}
+        for name, content in (("vectors.bin", data.tobytes()), ("embeddings.json", json.dumps(head).encode())):
+            with files.open_output_stream(f"{at}/{bill}/{name}") as f:
+                f.write(content)
+        return pa.table({"bill_dir": [bill]})
+
+    return vectors.select(F.col("bill_dir").cast("string").alias("bill_dir"), "provision_index", "vec").groupBy("bill_dir").applyInArrow(write, "bill_dir string").count()
+
+
 def write_vectors(vectors: DataFrame, path: str) -> int:
     """OP-SNK-06: one bill's vectors as little-endian floats in provision order; how many were written."""
     from array import array
