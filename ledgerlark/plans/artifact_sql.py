@@ -93,4 +93,11 @@ SQL |= {
     "extracted_chunks": "SELECT n_name AS bill_dir, CASE WHEN length(n_name) % 2 = 0 THEN CAST(length(n_name) AS VARCHAR) END AS answer, CASE WHEN length(n_name) % 2 = 1 THEN 'odd' END AS error FROM nation",
     "repaired_spans": "SELECT ['exact', 'repaired_prefix', 'unverified'][doc_id % 3 + 1] AS match_tier, CASE WHEN doc_id % 3 < 2 THEN true END AS holds, count(*) AS n FROM documents WHERE length(text) >= 400 GROUP BY ALL",
     "nearest_amounts": _on_bridge("SELECT bill_dir, pos + strlen(before) AS position FROM placed WHERE division = 'B'", _SIZES),
+    "repaired_report": """WITH d AS (SELECT doc_id, doc_id % 3 AS k FROM documents WHERE length(text) >= 400)
+      SELECT coalesce(CAST(doc_id AS VARCHAR), 'TOTAL') AS bill_dir, count(*) AS total, count(*) FILTER (k = 0) AS exact, count(*) FILTER (k = 1) AS repaired_prefix, count(*) FILTER (k = 2) AS unverified, round(count(*) FILTER (k < 2) / count(*) * 100, 6) AS traceable_pct FROM d GROUP BY ROLLUP (doc_id)""",
+    "bill_chunks": _on_bridge("""SELECT bill_dir, label, division, title, start, stop AS "end", (stop - start) // 4 AS estimated_tokens FROM (
+      SELECT bill_dir, division AS label, division, '' AS title, pos AS start, pos + 16 AS stop FROM bodies UNION ALL SELECT bill_dir, division || ' I', division, 'I', pos + 16, pos + 67 + m FROM bodies
+      UNION ALL SELECT bill_dir, division || ' II part 1', division, 'II', pos + 67 + m, pos + 180 + m FROM bodies UNION ALL SELECT bill_dir, division || ' II part 2', division, 'II', pos + 180 + m, pos + 281 + m FROM bodies)""",
+      f""", parts AS (SELECT {_DIR} AS bill_dir, division, count(*) % 50 AS m FROM provisions GROUP BY ALL),
+      bodies AS (SELECT *, 2621 + CAST(coalesce(sum(281 + m) OVER (PARTITION BY bill_dir ORDER BY division ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM parts)"""),
 }

@@ -522,3 +522,22 @@ def nearest_amounts(spark, d):
     refs = texts.amount_refs(docs, "bill_dir", "source")
     claims = docs.select("bill_dir", F.lit(0).cast("long").alias("provision_index"), F.lit("part B").alias("text_as_written"))
     return verify.accounted(verify.amounts(claims, docs, refs), docs, refs)
+
+
+@_query
+def repaired_report(spark, d):
+    """OP-AGG-28."""
+    docs = bridge.table(spark, d, "documents").where("length(text) >= 400").select(F.col("doc_id").alias("bill_dir"), F.col("text").alias("source"))
+    k = F.col("bill_dir") % 3
+    claims = docs.select("bill_dir", F.lit(0).cast("long").alias("provision_index"), F.when(k == 0, F.substring("source", 101, 200)).when(k == 1, F.concat(F.substring("source", 101, 120), F.lit(" zzzzzz"))).otherwise(F.lit("ǂǂ")).alias("raw_text"))
+    return repair.report(repair.repaired(claims, docs)).select("bill_dir", "total", "exact", "repaired_prefix", "unverified", F.round("traceable_pct", 6).alias("traceable_pct"))
+
+
+@_query
+def bill_chunks(spark, d):
+    """OP-TXT-05 to 08: divisions past the table of contents, their titles, and long titles cut at paragraphs."""
+    per = _view(spark, d).groupBy(_dir().alias("bill_dir"), "division").agg((F.count("*") % 50).cast("int").alias("n"))
+    body = F.concat(F.lit("DIVISION "), "division", F.lit("-HEAD\nTITLE I-X\n"), F.rpad(F.lit("a"), F.col("n") + 40, F.lit("a")), F.lit("\nTITLE II-Y\n"), F.repeat(F.lit("b"), F.lit(100)), F.lit("\n\n"), F.repeat(F.lit("c"), F.lit(100)), F.lit("\n"))
+    bills = per.groupBy("bill_dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("division", body.alias("t")))), lambda e: e["t"]), "").alias("t"))
+    rows = texts.chunk_table(bills.select("bill_dir", F.concat(F.lit("DIVISION A-CONTENTS\n"), F.repeat(F.lit("p"), F.lit(2600)), F.lit("\n"), "t").alias("text")), "bill_dir", "text", 40)
+    return rows.select("bill_dir", "label", "division", "title", "start", "end", "estimated_tokens")
