@@ -5,8 +5,9 @@ lines before and after it; transitions weigh neighbours' labels. Marginals of th
 by line length, aggregate into the share of good text; a two-parameter logistic curve, fitted on the same labelled
 documents, turns that into the document's score.
 
-The field is fitted on at most ``SAMPLE_DOCS`` labelled documents, drawn by a hash of their ids from all allowed ones,
-whose lines inherit their document's label. Only line features of the sample reach the driver.
+The field is fitted on at most ``SAMPLE_DOCS`` labelled documents, drawn by a hash of their ids from all allowed ones.
+Only documents have labels; their lines' labels are latent, and the likelihood goes through the same aggregate that
+scores. Only line features of the sample reach the driver.
 """
 
 from __future__ import annotations
@@ -144,7 +145,8 @@ class Field:
 
 
 def fit(own: np.ndarray, length: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> Field:
-    """Penalised maximum likelihood by Adam; documents weigh alike, whatever their number of lines. ``labels``: of each text."""
+    """Penalised maximum likelihood of the documents' labels (of each text) by Adam, through the aggregate: the lines'
+    labels are latent, and a document's probability is its length-weighted share of good text. Documents weigh alike."""
     blank = Field(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), np.zeros((2, 2)), (0.0, 0.0))
     if not len(own):
         return blank
@@ -152,17 +154,22 @@ def fit(own: np.ndarray, length: np.ndarray, owner: np.ndarray, labels: np.ndarr
     centre, scale = x.mean(axis=0), x.std(axis=0)
     centre[-1], scale[scale < 1e-9] = 0, 1
     x = (x - centre) / scale
-    y = labels[owner].astype(np.float64)
-    same = owner[1:] == owner[:-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][same].astype(int), y[1:][same].astype(int)), 1)
-    w, trans, n = np.zeros(WIDTH), np.zeros((2, 2)), len(y)
+    docs, weight = len(labels), length / np.maximum(np.bincount(owner, length, len(labels)), 1)[owner]
+    w, trans = np.zeros(WIDTH), np.zeros((2, 2))
     m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     for step in range(1, ROUNDS + 1):
-        p, expected, _ = marginals(x @ w, trans, owner)
-        grad = np.concatenate([x.T @ (y - p), (seen - expected).ravel()]) / n - RIDGE * np.concatenate([w, trans.ravel()])
+        emit = x @ w
+        p, _, _ = marginals(emit, trans, owner)
+        share = np.clip(np.bincount(owner, weight * p, docs), 1e-3, 1 - 1e-3)
+        # how the log-likelihood of its document's label changes with each line's marginal
+        pull = ((labels - share) / (share * (1 - share)))[owner] * weight
+        # its gradient is a covariance under the field: the slope of the marginals as potentials are tilted by ``pull``
+        tilt = 1e-3 / max(float(np.abs(pull).max()), 1e-9)
+        (up, up_pairs, _), (down, down_pairs, _) = (marginals(emit + e * pull, trans, owner) for e in (tilt, -tilt))
+        slope, pairs = (up - down) / (2 * tilt), (up_pairs - down_pairs) / (2 * tilt)
+        grad = np.concatenate([x.T @ slope, pairs.ravel()]) / docs - RIDGE * np.concatenate([w, 10 * trans.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:WIDTH], trans + move[WIDTH:].reshape(2, 2)
     field = Field(centre, scale, w, trans, (0.0, 1.0))
     has = np.unique(owner)
