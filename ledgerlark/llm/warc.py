@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import BROADCAST_IDS, map_batches, stored
 
 PROFILE = b"http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "array<struct<page_id:bigint,record_type:string,offset:bigint,length:bigint>>"
@@ -103,11 +103,19 @@ def normalise(content: bytes, level: int = 6) -> tuple[bytes, list[dict]]:
 
 
 def with_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, html, refers_to): of equal payloads of ``least_bytes`` or more the largest page_id is referred to."""
+    """(page_id, url, html, refers_to): of equal payloads of ``least_bytes`` or more the largest page_id is referred to.
+
+    Payloads that occur once aren't looked up. The others' digests go to all executors where they are few enough; else
+    ids meet them first, without any html, and pages then meet the result by id, so that no popular payload gathers its pages.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha2("html", 256)))
-    lead = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    return rows.join(lead, "key", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("lead"), F.col("lead")).alias("refers_to"))
+    rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha2("html", 256))))
+    lead = stored(rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "warc-leads")
+    if lead.count() <= BROADCAST_IDS:
+        placed = rows.join(F.broadcast(lead), "key", "left")
+    else:
+        placed = rows.join(rows.where("key is not null").select("page_id", "key").distinct().join(lead, "key"), ["page_id", "key"], "left")
+    return placed.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("lead"), F.col("lead")).alias("refers_to"))
 
 
 def archives(rows: DataFrame, *, date: str = "2024-01-01T00:00:00Z", level: int = 1) -> DataFrame:
