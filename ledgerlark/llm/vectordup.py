@@ -4,12 +4,13 @@ Unit vectors at cosine c are sqrt(2 - 2c) apart, so links are pairs within epsil
 leading principal directions (which never lengthens a distance) and ordered by their cells of an epsilon-wide grid
 there, first direction first. The order is cut into leaves of consecutive vectors. Sequence intervals are joined
 recursively: a pair of intervals whose bounding boxes are more than epsilon apart is skipped as a whole, else both
-are halved; the same goes on inside a leaf pair down to small blocks, which are compared by matrix products: in single
-precision with a margin, and whatever comes near the threshold again in double precision.
+are halved. The driver recurses over at most ``SPANS`` intervals, executors go on within each pair of those down to
+leaves, and within a pair of leaves down to small blocks, which are compared by matrix products: in single precision
+with a margin, and whatever comes near the threshold again in double precision.
 
 Equal vectors are one class with a weight, and a leaf pair gives back counts and a spanning forest of its links, so a
-large group of copies costs rows in proportion to its size. The principal directions and the cuts come from a bounded
-sample; they steer the work and never the result.
+large group of copies costs rows in proportion to its size. The principal directions come from a bounded sample, and
+Spark's range partitioning finds the cuts; they steer the work and never the result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored
 from .components import components
 
-LEAF_ROWS, MOST_LEAVES, DIRECTIONS, BLOCK = 4096, 4096, 8, 512
+#: Bytes of a leaf's vectors, intervals that the driver looks at, vectors that the directions are found from,
+#: directions of the order and of the boxes, vectors of a block.
+LEAF_BYTES, SPANS, SAMPLE, ORDER, DIRECTIONS, BLOCK = 2 << 20, 1024, 4096, 8, 32, 256
 
 
 def units(rows: np.ndarray) -> np.ndarray:
@@ -134,37 +137,49 @@ def _join(classes: DataFrame, count: int, dims: int, cosine: float) -> tuple[Dat
     """Weighted link counts by node, and links that connect the same nodes as all links do."""
     spark = classes.sparkSession
     eps = (2 - 2 * cosine) ** 0.5 + 1e-9
-    leaves = min(MOST_LEAVES, -(-count // LEAF_ROWS))
+    leaf_rows = max(1, LEAF_BYTES // (4 * dims))
     filled = lambda lists: np.array([x if len(x) == dims else [*x, *[0.0] * (dims - len(x))] for x in lists]).reshape(-1, dims)
-    sample = units(filled([r.e for r in classes.orderBy("node").limit(max(4096, 8 * leaves)).select("e").collect()]))  # nodes are hashes, so these are drawn at random
+    sample = units(filled([r.e for r in classes.orderBy("node").limit(SAMPLE).select("e").collect()]))  # nodes are hashes, so these are drawn at random
     centred = sample - sample.mean(axis=0)
     basis = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :DIRECTIONS].copy()
-    keys = grid_keys(sample @ basis, eps)
-    keys = keys[np.lexsort(keys.T[::-1])]
-    cuts = [tuple(keys[len(keys) * i // leaves]) for i in range(1, leaves)]
-
-    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        from bisect import bisect_right
+    order = [f"k{i}" for i in range(min(ORDER, basis.shape[1]) + 1)]
 
+    def project(b: pa.RecordBatch) -> pa.RecordBatch:
         x = filled(b.column(2).to_pylist())
-        leaf = [bisect_right(cuts, tuple(k)) for k in grid_keys(units(x) @ basis, eps)]
-        return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], names=["leaf", "node", "n", "x"])
-
-    def build(t: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float64).reshape(-1, dims)
-        p = units(x) @ basis
-        order = np.lexsort(grid_keys(p, eps).T[::-1])
-        blob = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
-        box = lambda a: pa.array([a.tolist()], pa.list_(pa.float64()))
-        single = x.astype(np.float32)
-        x = single if (single.astype(np.float64) == x).all() else x
-        return pa.table({"leaf": t.column("leaf").combine_chunks()[:1], "lo": box(p.min(axis=0)), "hi": box(p.max(axis=0)), "nodes": blob(t.column("node").to_numpy()[order]), "weights": blob(t.column("n").to_numpy()[order]), "xs": blob(x[order])})
-
-    dealt = map_batches(classes.select("node", "n", "e"), deal, "leaf int, node long, n long, x binary")
-    table = stored(dealt.groupBy("leaf").applyInArrow(build, "leaf int, lo array<double>, hi array<double>, nodes binary, weights binary, xs binary"), "leaves")
-    boxes = table.select("leaf", "lo", "hi").orderBy("leaf").collect()  # at most MOST_LEAVES rows
-    pairs = joined_intervals(np.array([r.lo for r in boxes]), np.array([r.hi for r in boxes]), eps)
-    pairs = spark.createDataFrame([(boxes[a].leaf, boxes[b].leaf) for a, b in pairs], "a int, b int")
+        keys = grid_keys(units(x) @ basis[:, :ORDER], eps)
+        return pa.RecordBatch.from_arrays([*[pa.array(k) for k in keys.T], b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], names=[*order, "node", "n", "x"])
+
+    def build(batches):  # noqa: ANN001, ANN202
+        from pyspark import TaskContext
+
+        held: list[pa.RecordBatch] = []
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+
+        def leaf() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float64).reshape(-1, dims)
+            p = units(x) @ basis
+            blob = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
+            box = lambda a: pa.array([a.tolist()], pa.list_(pa.float64()))
+            single = x.astype(np.float32)
+            x = single if (single.astype(np.float64) == x).all() else x
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), box(p.min(axis=0)), box(p.max(axis=0)), blob(t.column("node").to_numpy()), blob(t.column("n").to_numpy()), blob(x)], names=["leaf", "lo", "hi", "nodes", "weights", "xs"])
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                held.append(b.slice(at, leaf_rows - size))
+                size, at = size + held[-1].num_rows, at + held[-1].num_rows
+                if size == leaf_rows:
+                    yield leaf()
+                    held, seq, size = [], seq + 1, 0
+        if held:
+            yield leaf()
+
+    keyed = map_batches(classes.select("node", "n", "e"), project, ", ".join(f"{k} double" for k in order) + ", node long, n long, x binary")
+    ordered = keyed.repartitionByRange(max(1, -(-count // (4 * leaf_rows))), *order, "node").sortWithinPartitions(*order, "node").select("node", "n", "x")
+    table = stored(ordered.mapInArrow(build, "leaf long, lo array<double>, hi array<double>, nodes binary, weights binary, xs binary"), "leaves")
+    pairs = stored(_leaf_pairs(table.select("leaf", "lo", "hi"), eps), "leaf-pairs")
     side = lambda s: table.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "xs")])
     both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(F.col("a"), F.col("b"))
 
@@ -195,5 +210,39 @@ def _join(classes: DataFrame, count: int, dims: int, cosine: float) -> tuple[Dat
     return counts, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
+def _leaf_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """Pairs (a, b) of leaves whose boxes come within eps: first by spans of consecutive leaves, then within pairs of spans."""
+    spark = boxes.sparkSession
+    per = boxes.groupBy(F.shiftright("leaf", 32).alias("part")).count().orderBy("part").collect()  # a row for each range partition
+    spans, total = [], sum(r["count"] for r in per)
+    upto, step = 0, -(-total // SPANS)
+    for r in per:
+        spans.append((r.part, upto))
+        upto += r["count"]
+    numbered = boxes.join(F.broadcast(spark.createDataFrame(spans, "part long, before long")), F.shiftright("leaf", 32) == F.col("part"))
+    numbered = numbered.select(F.floor((F.col("before") + F.col("leaf").bitwiseAND(0xFFFFFFFF)) / step).alias("span"), "leaf", "lo", "hi")
+    grouped = stored(numbered.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("leaf", "lo", "hi"))).alias("leaves")), "spans")  # ``step`` leaves each
+    ends = lambda f, c: F.aggregate(F.slice("leaves", 2, F.size("leaves")), F.col("leaves")[0][c], lambda acc, e: F.zip_with(acc, e[c], lambda x, y: f(x, y)))
+    wide = grouped.select("span", ends(F.least, "lo").alias("lo"), ends(F.greatest, "hi").alias("hi")).orderBy("span").collect()  # at most SPANS rows
+    near = joined_intervals(np.array([r.lo for r in wide]), np.array([r.hi for r in wide]), eps)
+    near = spark.createDataFrame([(wide[a].span, wide[b].span) for a, b in near], "x long, y long")
+    side = lambda s: grouped.select(F.col("span").alias(s), F.col("leaves").alias(f"leaves_{s}"))
+    both = near.join(side("x"), "x").join(side("y"), "y")
+
+    def meet(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        for r in b.to_pylist():
+            same = r["x"] == r["y"]
+            leaves = r["leaves_x"] if same else r["leaves_x"] + r["leaves_y"]
+            n = len(r["leaves_x"])
+            found = joined_intervals(np.array([e["lo"] for e in leaves]), np.array([e["hi"] for e in leaves]), eps)
+            found = [(leaves[a]["leaf"], leaves[c]["leaf"]) for a, c in found if same or a < n <= c]
+            if found:
+                out.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"]))
+        return out
+
+    return map_batches(both.select("x", "y", "leaves_x", "leaves_y"), meet, "a long, b long")
+
+
 def _vectors(blob: bytes, n: int, dims: int) -> np.ndarray:
     return units(np.frombuffer(blob, np.float32 if len(blob) == 4 * n * dims else np.float64).reshape(n, dims))

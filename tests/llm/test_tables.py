@@ -169,9 +169,10 @@ def brute_links(rows, cosine=0.9):
     return sorted((str(v), links[k], str(low.get(find(k), v))) for k, (v, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("leaf", [4096, 20])
-def test_vectors(spark, monkeypatch, leaf):
-    monkeypatch.setattr(vectordup, "LEAF_ROWS", leaf)
+@pytest.mark.parametrize(("leaf", "spans"), [(4096, 1024), (20, 1024), (7, 3)])
+def test_vectors(spark, monkeypatch, leaf, spans):
+    monkeypatch.setattr(vectordup, "LEAF_BYTES", leaf * 4 * 8)
+    monkeypatch.setattr(vectordup, "SPANS", spans)
     monkeypatch.setattr(vectordup, "BLOCK", 16)
     r = np.random.default_rng(4)
     base = r.normal(size=(12, 8))
@@ -191,6 +192,29 @@ def test_grid_skips():
     assert sorted(pairs) == sorted([(i, i) for i in range(64)] + [(i, i + 1) for i in range(63)])
 
 
+def test_leaf_pairs(spark):
+    """Vectors along a line: leaves meet their neighbours only, however the spans are cut."""
+    rows = [((k // 10 << 32) + k % 10, [float(k)], [k + 0.5]) for k in range(47)]
+    boxes = spark.createDataFrame(rows, "leaf long, lo array<double>, hi array<double>")
+    want = sorted([(a[0], a[0]) for a in rows] + [(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)])
+    for spans in (1024, 5):
+        vectordup.SPANS, held = spans, vectordup.SPANS
+        try:
+            assert sorted((r.a, r.b) for r in vectordup._leaf_pairs(boxes, 0.6).collect()) == want
+        finally:
+            vectordup.SPANS = held
+
+
+def test_revisits_without_broadcast(spark, monkeypatch):
+    html = ["a" * 1000, "b" * 1200, "short"]
+    rows = [(i, f"u{i}", html[i % 3]) for i in range(12)] + [(None, "u", html[0]), (9, "u9", html[0]), (3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = lambda: sorted(map(str, warc.with_revisits(pages).collect()))
+    few = told()
+    monkeypatch.setattr(warc, "BROADCAST_IDS", 0)
+    assert told() == few and len(few) == len(rows)
+
+
 def test_stored(spark):
     import os
 
