@@ -64,6 +64,13 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, none of them empty."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with one output (or None, or a list of them) per at most ``BATCH_ROWS`` input rows.
 
@@ -71,10 +78,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | l
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                out = fn(whole.slice(at, BATCH_ROWS))
-                yield from out if isinstance(out, list) else [out] if out is not None else []
+        for b in slices(batches, BATCH_ROWS):
+            out = fn(b)
+            yield from out if isinstance(out, list) else [out] if out is not None else []
 
     return df.mapInArrow(run, schema)
 

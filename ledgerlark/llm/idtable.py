@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import idfile, tokens
-from .common import map_batches, stored
+from .common import map_batches, slices, stored
 
 FILES = "part int, seq int, first long, doc_ids array<bigint>, doc_tokens array<bigint>, blocks array<binary>"
 VOCABULARY = 49_408
@@ -43,9 +43,7 @@ def write(docs: DataFrame, path: str, *, end: int = 1, vocabulary: int = VOCABUL
             cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), listed(names), listed(pa.array(counts, pa.int64())), pa.array([idfile.encode_blocks(np.concatenate(held), first, vocabulary)], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "first", "doc_ids", "doc_tokens", "blocks"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, tokens.TEXTS):
             ids, counts = encoder.encode(b.column(1), end)
             held.append(ids)
             docs_held.append((b.column(0), counts))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import stored
+from .common import slices, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
@@ -67,10 +67,8 @@ def pieces(docs: DataFrame, path: str, *, sequence: int = 2048, end: int = 1, do
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = tokens.memory(path, True), 0
-        for b in batches:
+        for b in slices(batches, tokens.TEXTS):
             rows, kept, at = [], [], 0
-            if not b.num_rows:
-                continue
             ids, counts = encoder.encode(b.column(1), end)
             data = ids.tobytes()
             for doc, total in zip(b.column(0).to_pylist(), counts.tolist(), strict=True):

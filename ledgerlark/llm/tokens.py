@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST = 1_200_000
+#: Entries of the memory, texts encoded at a time.
+MOST, TEXTS = 1_200_000, 2500
 _MEMORY: dict[str, "WordMemory"] = {}
 #: Texts that are encoded whole: control strings and the mark that pieces are cut at; where white space matters also
 #: runs of it and other kinds of it.
