@@ -1,14 +1,17 @@
-"""Language-model scoring by a weighted backoff automaton over word bigrams.
+"""Language-model scoring by a weighted backoff automaton over word trigrams.
 
-States are contexts (a word, or the start of a text) and the root, which has no context. A state's arcs are the bigrams
-seen after it, weighted by their smoothed probability (c(hw) + m p(w)) / (c(h) + m); its failure arc leads to the root
-and weighs m / (c(h) + m), where m is ``mass`` and p(w) = (c(w) + 1) / (N + V + 1) weighs the root's arc for w. A text is
-scored in one left-to-right traversal that carries the state.
+States are contexts: two words, one word (or the start of a text), and the root, which has none. A state's arcs are the
+n-grams seen after it, weighted by their smoothed probability (c(hw) + m p(w | shorter h)) / (c(h) + m), where m is
+``mass`` of its order; its failure arc leads to the state without its first word and weighs m / (c(h) + m). At the root
+every token has an arc, of p(w) = (c(w) + 1) / (N + V + 1). A text is scored in one left-to-right traversal: each token
+takes the state's arc, or failure arcs down to a state that has one, and leads on to the state of the last two tokens.
+All texts of a block are traversed together, as arrays of states and arcs.
 
 The model of the whole corpus is never in one place. Documents are dealt into blocks of bounded size. A block sends each
 n-gram it holds once, with its count in the block's training texts, to the n-gram's bucket; the bucket adds the counts
 of all blocks and answers every block with the totals of its own n-grams; and the block builds from them the part of the
-automaton that its texts can visit. What is moved grows with the corpus, and no key gathers more than a row per block.
+automaton that its texts can visit. What is moved grows with the corpus: a row for each bucket that a block has n-grams
+of, so never more rows than n-grams, and no key gathers more than a row per block.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, space_words, stored, utf8
 
-MASS, BLOCK_BYTES = 64.0, 8_000_000
+MASS, BLOCK_BYTES = (1000.0, 4.0), 8_000_000  # masses of contexts of one and of two words, by held-out likelihood on sf0.1
+_SENT = 6  # bytes of a hash that are sent; its bucket follows from all of it
 _START, _END = np.uint64(0x5BD1E995C3A5C85C), np.uint64(0x9AE16A3B2F90404F)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -34,70 +38,92 @@ def held_out(doc_id: Column) -> Column:
 
 
 class BlockGrams:
-    """The words and bigrams of some texts, each kind ordered by bucket and hash; the order depends on the texts' content only."""
+    """The words, bigrams and trigrams of some texts, with each token's place among them; words and longer n-grams also
+    ordered by bucket, in an order that depends on the texts' content only."""
 
     def __init__(self, texts: list[bytes | None], training: np.ndarray, buckets: int) -> None:
         known: dict[bytes, int] = {}
         put = known.setdefault
-        self.texts = [[put(w, len(known)) for w in space_words(t)] for t in texts]
+        ids = [[put(w, len(known)) for w in space_words(t)] for t in texts]
         self.end, self.start = len(known), len(known) + 1
         self.width = len(known) + 2
-        flat = np.fromiter((i for ids in self.texts for i in (self.start, *ids, self.end)), dtype=np.int64, count=sum(map(len, self.texts)) + 2 * len(texts))
-        sizes = np.fromiter((len(ids) + 2 for ids in self.texts), dtype=np.int64, count=len(texts))
-        trains = np.repeat(training, sizes)
+        self.sizes = np.fromiter((len(x) + 1 for x in ids), dtype=np.int64, count=len(texts))
+        flat = np.fromiter((i for x in ids for i in (self.start, *x, self.end)), dtype=np.int64, count=int(self.sizes.sum()) + len(texts))
         hashes = np.concatenate([np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), dtype=np.uint64, count=len(known)), [_END, _START]])
-        counted = np.bincount(flat[trains], minlength=self.width)
-        inner = flat[:-1] != self.end
-        pairs = flat[:-1][inner] * self.width + flat[1:][inner]
-        self.pairs, at = np.unique(pairs, return_inverse=True)
-        pair_counts = np.bincount(at, trains[:-1][inner], minlength=len(self.pairs)).astype(np.uint32)
+        at = np.flatnonzero(flat != self.start)
+        self.tokens, counted = flat[at], np.repeat(training, self.sizes)
+        counts = np.bincount(self.tokens[counted], minlength=self.width)
+        self.pairs, self.pair_at = np.unique(flat[at - 1] * self.width + self.tokens, return_inverse=True)
+        self.later = np.flatnonzero(flat[at - 1] != self.start)  # tokens with two before them, or one and the start
+        self.triples, self.triple_at = np.unique(self.pair_at[self.later - 1] * self.width + self.tokens[self.later], return_inverse=True)
         first, second = np.divmod(self.pairs, self.width)
         bigram = mix64(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + mix64(hashes[second]))
-        self.words = self._ordered(hashes, counted.astype(np.uint32), buckets)
-        self.bigrams = self._ordered(bigram, pair_counts, buckets)
+        head, last = np.divmod(self.triples, self.width)
+        trigram = mix64(bigram[head] * np.uint64(0xC2B2AE3D27D4EB4F) + mix64(hashes[last] + np.uint64(1)))
+        gram_counts = np.concatenate([np.bincount(self.pair_at[counted], minlength=len(self.pairs)), np.bincount(self.triple_at[counted[self.later]], minlength=len(self.triples))])
+        self.words = self._ordered(hashes, counts.astype(np.uint32), buckets)
+        self.grams = self._ordered(np.concatenate([bigram, trigram]), gram_counts.astype(np.uint32), buckets)
 
     @staticmethod
     def _ordered(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order, bucket bounds, and hashes and counts in that order."""
-        of = (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((hashes, of))
-        return order, np.searchsorted(of[order], np.arange(buckets + 1)), hashes[order], counts[order]
+        """Order, bucket bounds, and hashes and counts in that order; buckets are ranges of mixed hashes."""
+        mixed = mix64(hashes)
+        order = np.argsort(mixed)
+        mixed = mixed[order]
+        bounds = np.searchsorted((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+        return order, bounds, mixed, counts[order]
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """The low bytes of hashes, which with their bucket tell n-grams apart."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _SENT, 8), dtype=np.uint8)
+    out[:, :_SENT] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _SENT)
+    return out.view("<u8").reshape(-1)
+
+
+_START_SENT = _unpacked(_packed(mix64(np.array([_START]))))[0]
 
 
 class Automaton:
     """The states and arcs that a block's texts can visit; log10 weights."""
 
-    def __init__(self, grams: BlockGrams, word_counts: np.ndarray, pair_counts: np.ndarray, tokens: int, types: int, mass: float) -> None:
-        self.width, self.start, self.end = grams.width, grams.start, grams.end
-        counts = word_counts.astype(np.float64)
+    def __init__(self, grams: BlockGrams, word_counts: np.ndarray, gram_counts: np.ndarray, tokens: int, types: int, mass: tuple[float, float]) -> None:
+        self.grams = grams
+        counts, gram_counts = word_counts.astype(np.float64), gram_counts.astype(np.float64)
         context = counts.copy()
-        context[self.start] = counts[self.end]  # as many starts as ends
+        context[grams.start] = counts[grams.end]  # as many starts as ends
         p = (counts + 1) / (tokens + types + 1)
-        seen = pair_counts > 0
-        first, second = np.divmod(grams.pairs[seen], self.width)
-        weight = (pair_counts[seen] + mass * p[second]) / (context[first] + mass)
-        self.arcs = dict(zip(grams.pairs[seen].tolist(), np.log10(weight).tolist(), strict=True))
-        self.failure = np.log10(mass / (context + mass)).tolist()
-        self.root = np.log10(p).tolist()
-
-    def score(self, ids: list[int]) -> float:
-        arcs, failure, root, width = self.arcs.get, self.failure, self.root, self.width
-        state, total = self.start, 0.0
-        for token in (*ids, self.end):
-            weight = arcs(state * width + token)
-            if weight is None:  # along the failure arc to the root, which has an arc for every token
-                weight = failure[state] + root[token]
-            total += weight
-            state = token
-        return total
-
-
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass: float = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        first, second = np.divmod(grams.pairs, grams.width)
+        self.pair_counts, self.triple_counts = gram_counts[: len(first)], gram_counts[len(first) :]
+        p2 = (self.pair_counts + mass[0] * p[second]) / (context[first] + mass[0])
+        head, _ = np.divmod(grams.triples, grams.width)
+        tail = np.empty(len(head), dtype=np.int64)  # the state without its first word, with the same token: a bigram
+        tail[grams.triple_at] = grams.pair_at[grams.later]
+        p3 = (self.triple_counts + mass[1] * p2[tail]) / (self.pair_counts[head] + mass[1])
+        self.root, self.arc2, self.arc3 = np.log10(p), np.log10(p2), np.log10(p3)
+        self.failure1, self.failure2 = np.log10(mass[0] / (context + mass[0])), np.log10(mass[1] / (self.pair_counts + mass[1]))
+
+    def traversed(self) -> np.ndarray:
+        """Each token's weight on its text's path: its arc, or the failure arcs before it and the arc they lead to."""
+        g = self.grams
+        first, second = np.divmod(g.pairs, g.width)
+        short = np.where(self.pair_counts > 0, self.arc2, self.failure1[first] + self.root[second])[g.pair_at]
+        out = short.copy()
+        state = g.pair_at[g.later - 1]  # the last two tokens before
+        out[g.later] = np.where(self.triple_counts[g.triple_at] > 0, self.arc3[g.triple_at], self.failure2[state] + short[g.later])
+        return out
+
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass: tuple[float, float] = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Learns from all documents that aren't held out. Null and empty texts are one end token; repeated rows get a row each
     and count as often as they occur; a null doc_id isn't held out; an empty table gives no rows, and without training
-    texts every token has probability 1. Other columns are not read. N-grams are told apart by 64-bit hashes.
+    texts every token has probability 1. Other columns are not read. N-grams are told apart by their bucket and 48 bits of a hash.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) + 64 * F.count("*")).alias("n")).first().n or 1
@@ -107,22 +133,22 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
 
     def count(t: pa.Table) -> pa.Table:
         grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~t.column("held_out").to_numpy().astype(bool), buckets)
-        some = np.flatnonzero(np.diff(grams.words[1]) + np.diff(grams.bigrams[1]))  # a row only for buckets that get something
+        some = np.flatnonzero(np.diff(grams.words[1]) + np.diff(grams.grams[1]))  # a row only for buckets that get something
         kinds = []
-        for _, bounds, hashes, counts in (grams.words, grams.bigrams):
+        for _, bounds, hashes, counts in (grams.words, grams.grams):
             cut = list(zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True))
-            kinds += [pa.array([hashes[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in cut], pa.binary())]
-        return pa.table([pa.array(np.full(len(some), t.column("block")[0].as_py()), pa.int32()), pa.array(some, pa.int32()), *kinds], names=["block", "bucket", "words", "word_counts", "bigrams", "bigram_counts"])
+            kinds += [pa.array([_packed(hashes[a:b]) for a, b in cut], pa.binary()), pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in cut], pa.binary())]
+        return pa.table([pa.array(np.full(len(some), t.column("block")[0].as_py()), pa.int32()), pa.array(some, pa.int32()), *kinds], names=["block", "bucket", "words", "word_counts", "grams", "gram_counts"])
 
     def total(t: pa.Table) -> pa.Table:
         answers = {}
-        for kind in ("word", "bigram"):
-            hashes = [np.frombuffer(b, np.uint64) for b in t.column(kind + "s").to_pylist()]
+        for kind in ("word", "gram"):
+            hashes = [_unpacked(b) for b in t.column(kind + "s").to_pylist()]
             counts = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint32) for b in t.column(kind + "_counts").to_pylist()])
             distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
             sums = np.bincount(at, counts, minlength=len(distinct)).astype(np.uint32 if counts.sum() < 2**32 else np.uint64).astype(np.uint64)
             if kind == "word":
-                words = distinct != _START
+                words = distinct != _START_SENT
                 stats = int(sums[words].sum()), int((sums[words] > 0).sum())
             ends = np.cumsum([len(h) for h in hashes])
             mine = sums[at]
@@ -131,10 +157,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
             answers[kind + "_bytes"] = narrow.dtype.itemsize
         n = t.num_rows
         ints = lambda x, k: pa.array([*x, None if k is None else k], pa.int64())
-        return pa.table([pa.array([*t.column("block").to_pylist(), -1], pa.int32()), pa.array([*t.column("bucket").to_pylist(), -1], pa.int32()), pa.array([*answers["word"], None], pa.binary()), pa.array([*answers["bigram"], None], pa.binary()), ints([answers["word_bytes"]] * n, stats[0]), ints([answers["bigram_bytes"]] * n, stats[1])], names=["block", "bucket", "word_totals", "bigram_totals", "a", "b"])
+        return pa.table([pa.array([*t.column("block").to_pylist(), -1], pa.int32()), pa.array([*t.column("bucket").to_pylist(), -1], pa.int32()), pa.array([*answers["word"], None], pa.binary()), pa.array([*answers["gram"], None], pa.binary()), ints([answers["word_bytes"]] * n, stats[0]), ints([answers["gram_bytes"]] * n, stats[1])], names=["block", "bucket", "word_totals", "gram_totals", "a", "b"])
 
-    sent = dealt.groupBy("block").applyInArrow(count, "block int, bucket int, words binary, word_counts binary, bigrams binary, bigram_counts binary")
-    answered = stored(sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, word_totals binary, bigram_totals binary, a long, b long"), "ngram-totals")
+    sent = dealt.groupBy("block").applyInArrow(count, "block int, bucket int, words binary, word_counts binary, grams binary, gram_counts binary")
+    answered = stored(sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, word_totals binary, gram_totals binary, a long, b long"), "ngram-totals")
     stats = answered.where("block = -1").agg(F.sum("a").alias("tokens"), F.sum("b").alias("types")).first()
     tokens, types = int(stats.tokens or 0), int(stats.types or 0)
 
@@ -143,19 +169,17 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
         grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~out.to_numpy().astype(bool), buckets)
         rows = sorted(found.to_pylist(), key=lambda r: r["bucket"])
         totals = []
-        for name, wide, (order, *_) in (("word_totals", "a", grams.words), ("bigram_totals", "b", grams.bigrams)):
+        for name, wide, (order, *_) in (("word_totals", "a", grams.words), ("gram_totals", "b", grams.grams)):
             got = np.concatenate([np.frombuffer(zlib.decompress(r[name]), np.uint32 if r[wide] == 4 else np.uint64) for r in rows])
             back = np.empty(len(order), dtype=np.int64)
             back[order] = got
             totals.append(back)
-        words, pairs = totals
-        automaton = Automaton(grams, words, pairs, tokens, types, mass)
+        words, longer = totals
+        weights = Automaton(grams, words, longer, tokens, types, mass).traversed()
         base, known = np.log10((words + 1) / (tokens + types + 1)), words > 0
-        table = []
-        for ids in grams.texts:
-            at = np.array([*ids, grams.end], dtype=np.int64)
-            table.append((len(at), int(known[at].sum()), tokens, float(base[at].sum()), automaton.score(ids)))
-        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        return pa.table([t.column("doc_id"), out, *[pa.array([r[i] for r in table], k) for i, k in enumerate(kinds)]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        starts = np.cumsum(grams.sizes) - grams.sizes
+        per = lambda x: np.add.reduceat(x, starts)
+        columns = [grams.sizes, per(known[grams.tokens].astype(np.int64)), np.full(len(out), tokens), per(base[grams.tokens]), per(weights)]
+        return pa.table([t.column("doc_id"), out, *[pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return dealt.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInArrow(judge, RESULT)

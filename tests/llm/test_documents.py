@@ -235,19 +235,21 @@ def test_first_fit():
 @pytest.mark.parametrize("block_bytes", [8_000_000, 3000])
 def test_language_model(spark, block_bytes):
     rows = rows_with_edges(5)
-    got = langmodel.score(table(spark, rows), mass=8.0, block_bytes=block_bytes).collect()
+    got = langmodel.score(table(spark, rows), mass=(8.0, 2.0), block_bytes=block_bytes).collect()
     seqs = [((d, t), [*(t or "").encode().lower().split(), "end"]) for d, t in rows]
     out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
-    c, b = Counter(), Counter()
+    c, b, e = Counter(), Counter(), Counter()
     for (d, _), w in seqs:
         if not out(d):
             c.update(w)
             b.update(zip(["start", *w], w))
+            e.update(zip(["start", *w], w, w[1:]))
     n, v = sum(c.values()), len(c)
     p = lambda w: (c[w] + 1) / (n + v + 1)
+    p2 = lambda h, x: (b[h, x] + 8 * p(x)) / ((c["end"] if h == "start" else c[h]) + 8)
     want = []
     for (d, _), w in seqs:
-        s = sum(math.log10((b[h, x] + 8 * p(x)) / ((c["end"] if h == "start" else c[h]) + 8)) for h, x in zip(["start", *w], w))
+        s = math.log10(p2("start", w[0])) + sum(math.log10((e[g, h, x] + 2 * p2(h, x)) / (b[g, h] + 2)) for g, h, x in zip(["start", *w], w, w[1:]))
         want.append((str(d), out(d), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), s))
     got = sorted((str(r[0]), *r[1:]) for r in got)
     for x, y in zip(got, sorted(want), strict=True):
@@ -256,16 +258,18 @@ def test_language_model(spark, block_bytes):
 
 
 def test_automaton_sums_to_one():
-    """From every state the next token's probabilities sum to one, with one class for all unknown words."""
-    grams = langmodel.BlockGrams([b"a b a c", b"b b a", b"c"], np.array([True, True, True]), 3)
-    words, pairs = np.zeros(grams.width, dtype=np.int64), np.zeros(len(grams.pairs), dtype=np.int64)
-    words[grams.words[0]], pairs[grams.bigrams[0]] = grams.words[3], grams.bigrams[3]
-    types = [w for w in range(grams.width) if w != grams.start]
-    n = int(words[types].sum())
-    m = langmodel.Automaton(grams, words, pairs, n, len(types), 2.0)
-    for state in (*types[:-1], grams.start):
-        p = [10 ** m.arcs.get(state * m.width + w, m.failure[state] + m.root[w]) for w in types]
-        assert sum(p) + 10 ** m.failure[state] / (n + len(types) + 1) == pytest.approx(1)
+    """From every state the next token's probabilities sum to one, with one class for all unknown words: texts that go on
+    from each state with each word are traversed with the counts of the first three."""
+    texts = [b"a b a c", b"b b a", b"c"]
+    counted = [(w + " end").split() for w in (t.decode() for t in texts)]
+    for state in ("", "a", "a b", "c c", "b a"):
+        tries = [f"{state} {w}".strip().encode() for w in "abc"] + [state.encode()]
+        grams = langmodel.BlockGrams([*texts, *tries, f"{state} zz".encode()], np.array([True] * 3 + [False] * 5), 3)
+        words, longer = np.zeros(grams.width, dtype=np.int64), np.zeros(len(grams.pairs) + len(grams.triples), dtype=np.int64)
+        words[grams.words[0]], longer[grams.grams[0]] = grams.words[3], grams.grams[3]
+        weights = langmodel.Automaton(grams, words, longer, sum(map(len, counted)), 4, (2.0, 0.5)).traversed()
+        at = np.cumsum(grams.sizes) - grams.sizes + len(state.split())
+        assert sum(10 ** weights[at[3:]]) == pytest.approx(1)
 
 
 def noisy(r, good):
