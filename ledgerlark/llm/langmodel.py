@@ -17,6 +17,7 @@ of, so never more rows than n-grams, and no key gathers more than a row per bloc
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import mix64, space_words, stored, utf8
 
 MASS, BLOCK_BYTES = (1000.0, 4.0), 8_000_000  # masses of contexts of one and of two words, by held-out likelihood on sf0.1
-_SENT = 6  # bytes of a hash that are sent; its bucket follows from all of it
+_PLACE = 44  # bits of a hash that are sent beside its bucket
+_CELL = struct.Struct("<BI")
 _START, _END = np.uint64(0x5BD1E995C3A5C85C), np.uint64(0x9AE16A3B2F90404F)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -66,26 +68,35 @@ class BlockGrams:
 
     @staticmethod
     def _ordered(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order, bucket bounds, and hashes and counts in that order; buckets are ranges of mixed hashes."""
+        """Order, bucket bounds, and places in the bucket and counts in that order; buckets are ranges of mixed hashes."""
         mixed = mix64(hashes)
         order = np.argsort(mixed)
-        mixed = mixed[order]
-        bounds = np.searchsorted((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-        return order, bounds, mixed, counts[order]
+        bucket, place = _placed(mixed[order], buckets)
+        return order, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)), place, counts[order]
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """The low bytes of hashes, which with their bucket tell n-grams apart."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT]).tobytes()
+def _placed(mixed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of mixed hashes and place in it (``_PLACE`` bits), both rising with the hash: the parts of hash * buckets / 2**64."""
+    n, half = np.uint64(buckets), np.uint64(32)
+    bucket = (mixed >> half) * n + ((mixed & np.uint64(0xFFFFFFFF)) * n >> half) >> half
+    return bucket, mixed * n >> np.uint64(64 - _PLACE)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // _SENT, 8), dtype=np.uint8)
-    out[:, :_SENT] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _SENT)
-    return out.view("<u8").reshape(-1)
+def _packed(places: np.ndarray) -> bytes:
+    """Rising places as differences, byte by byte in planes; the two highest planes are compressed."""
+    gaps = np.diff(places, prepend=np.uint64(0)).astype("<u8")
+    width = max(2, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return _CELL.pack(width, len(gaps)) + planes[:-2].tobytes() + zlib.compress(planes[-2:].tobytes(), 1)
 
 
-_START_SENT = _unpacked(_packed(mix64(np.array([_START]))))[0]
+def _unpacked(data: bytes) -> np.ndarray:
+    width, n = _CELL.unpack_from(data)
+    plain = _CELL.size + (width - 2) * n
+    planes = np.frombuffer(data[_CELL.size : plain] + zlib.decompress(data[plain:]), dtype=np.uint8).reshape(width, n)
+    gaps = np.zeros((n, 8), dtype=np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 class Automaton:
@@ -123,7 +134,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
 
     Learns from all documents that aren't held out. Null and empty texts are one end token; repeated rows get a row each
     and count as often as they occur; a null doc_id isn't held out; an empty table gives no rows, and without training
-    texts every token has probability 1. Other columns are not read. N-grams are told apart by their bucket and 48 bits of a hash.
+    texts every token has probability 1. Other columns are not read. N-grams are told apart by their bucket and 44 bits of a
+    hash: as buckets grow in number with the corpus, about one in ten million shares its count with another.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) + 64 * F.count("*")).alias("n")).first().n or 1
@@ -148,7 +160,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
             distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
             sums = np.bincount(at, counts, minlength=len(distinct)).astype(np.uint32 if counts.sum() < 2**32 else np.uint64).astype(np.uint64)
             if kind == "word":
-                words = distinct != _START_SENT
+                bucket, place = _placed(mix64(np.array([_START])), buckets)
+                words = (distinct != place[0]) | (t.column("bucket")[0].as_py() != int(bucket[0]))
                 stats = int(sums[words].sum()), int((sums[words] > 0).sum())
             ends = np.cumsum([len(h) for h in hashes])
             mine = sums[at]
