@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,28 @@ from ..sources.shared import folder
 _WRITTEN: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` for what runs inside, whole texts being large; then the session's own setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{folder(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark, rows):
+        df.write.parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
@@ -74,7 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with one output (or None, or a list of them) per at most ``BATCH_ROWS`` input rows.
 
-    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``; no setting of the session is changed.
+    Spark itself ends a batch at ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

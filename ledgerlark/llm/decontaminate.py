@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, row_key, utf8, without
+from .common import BATCH_ROWS, map_batches, row_key, small_batches, utf8, without
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
@@ -163,7 +163,8 @@ def _ordered(docs: DataFrame, index: WindowIndex) -> WindowIndex:
         k, n = np.unique(pair % max(len(ix.distinct), 1), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["k", "n"])
 
-    got = map_batches(docs, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        got = map_batches(docs, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
     index.order({r.k: r.n for r in got})
     sent.unpersist()
     return index

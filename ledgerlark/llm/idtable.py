@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, *, end: int = 1, vocabulary: int = VOCABUL
         if docs_held:
             yield flush()
 
-    return stored(ordered.mapInArrow(encode, FILES), "ids")
+    return stored(ordered.mapInArrow(encode, FILES), "ids", rows=tokens.TEXTS)
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, utf8
+from .common import BATCH_ROWS, map_batches, small_batches, utf8
 
 SAMPLE_DOCS, ROUNDS, RIDGE = 4000, 80, 1e-3
 _KINDS = 8  # lower, upper, digit, space, .,;:'"-()?!  |/\\_  other marks, non-ASCII
@@ -203,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([cut(own), cut(length), b.column(1)], names=["own", "length", "quality"])
 
-    got = map_batches(rows, features, "own binary, length binary, quality int").collect()
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        got = map_batches(rows, features, "own binary, length binary, quality int").collect()
     got.sort()
     parts = [np.frombuffer(r.own, np.float32).reshape(-1, OWN) for r in got]
     own = np.concatenate(parts) if parts else np.empty((0, OWN), np.float32)
