@@ -21,17 +21,14 @@ def keyed(view: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.join(first(aliases, "alias"), "__m", "left").select(*shown.columns, "k_agency", "ruled", normalized_account(F.coalesce("__c", "__m")).alias("k_account"))
 
 
-def account_totals(rows: DataFrame) -> DataFrame:
-    """OP-AGG-06/07: per key the sum and the names of the first provision."""
-    first = F.min_by(F.struct("agency_shown", "account_name", "ruled"), F.struct("identifier", "bill_dir", "provision_index"))
-    return rows.groupBy("k_agency", "k_account").agg(F.sum(dollars()).alias("dollars"), first.alias("first"))
-
-
-def _sides(view: DataFrame, groups: DataFrame, aliases: DataFrame, agency: str | None) -> tuple[DataFrame, DataFrame]:
-    rows = keyed(view, groups, aliases)
-    if agency is not None:
-        rows = rows.where(F.contains(F.lower("agency_shown"), F.lit(agency.lower())))
-    return account_totals(rows.where(is_budget_authority(any_detail=True))), account_totals(rows.where(F.col("provision_type").isin("appropriation", "limitation") & (F.col("amount_kind") != ""))).select("k_agency", "k_account", F.col("dollars").alias("wide"))
+def account_totals(base: DataFrame, current: DataFrame) -> DataFrame:
+    """OP-AGG-06/07: per key and side (b, c) the sum, the names of the first provision that counts, and the sum under any
+    semantics; all of both sides in one aggregation. Sums are null where a side has no such provision."""
+    wide = F.col("provision_type").isin("appropriation", "limitation") & (F.col("amount_kind") != "")
+    at = F.struct("identifier", "bill_dir", "provision_index")
+    side = lambda rows, name: rows.select("k_agency", "k_account", F.lit(name).alias("side"), dollars().alias("d"), is_budget_authority(any_detail=True).alias("counts"), wide.alias("wide"), at.alias("at"), F.struct("agency_shown", "account_name", "ruled").alias("names"))
+    part = lambda s: [F.sum(F.when((F.col("side") == s) & F.col("counts"), F.col("d"))).alias(s), F.sum(F.when((F.col("side") == s) & F.col("wide"), F.col("d"))).alias(f"{s}w"), F.min_by("names", F.when((F.col("side") == s) & F.col("counts"), F.col("at"))).alias(f"{s}f")]
+    return side(base, "b").unionByName(side(current, "c")).where("counts or wide").groupBy("k_agency", "k_account").agg(*part("b"), *part("c"))
 
 
 def status(base: Column, current: Column) -> Column:
@@ -45,10 +42,10 @@ def compare(base: DataFrame, current: DataFrame, groups: DataFrame, aliases: Dat
     Accounts at zero on both sides are dropped. With ``rescue`` an account on one side only that the other side has
     under any semantics is *reclassified* and takes that sum (OP-JOIN-06).
     """
-    b, b_wide = _sides(base, groups, aliases, agency)
-    c, c_wide = _sides(current, groups, aliases, agency)
-    key = ["k_agency", "k_account"]
-    both = b.select(*key, F.col("dollars").alias("b"), F.col("first").alias("bf")).join(c.select(*key, F.col("dollars").alias("c"), F.col("first").alias("cf")), key, "full_outer")
+    sides = [keyed(view, groups, aliases) for view in (base, current)]
+    if agency is not None:
+        sides = [rows.where(F.contains(F.lower("agency_shown"), F.lit(agency.lower()))) for rows in sides]
+    both, key = account_totals(*sides), ["k_agency", "k_account"]
     rows = both.select(
         *key,
         F.coalesce("bf.account_name", "cf.account_name").alias("account_name"),
@@ -56,13 +53,14 @@ def compare(base: DataFrame, current: DataFrame, groups: DataFrame, aliases: Dat
         F.coalesce("b", F.lit(0)).alias("base_dollars"),
         F.coalesce("c", F.lit(0)).alias("current_dollars"),
         (F.coalesce("bf.ruled", F.lit(False)) | F.coalesce("cf.ruled", F.lit(False))).alias("normalized"),
+        "bw",
+        "cw",
     ).where("base_dollars <> 0 or current_dollars <> 0")
     rows = rows.withColumn("status", status(F.col("base_dollars"), F.col("current_dollars")))
     if rescue:
-        rows = rows.join(b_wide.withColumnRenamed("wide", "bw"), key, "left").join(c_wide.withColumnRenamed("wide", "cw"), key, "left")
         lost, new = (F.col("status") == "only in base") & F.col("cw").isNotNull(), (F.col("status") == "only in current") & F.col("bw").isNotNull()
         rows = rows.select(*key, "account_name", "agency", F.when(new, F.col("bw")).otherwise(F.col("base_dollars")).alias("base_dollars"), F.when(lost, F.col("cw")).otherwise(F.col("current_dollars")).alias("current_dollars"), "normalized", F.when(lost | new, "reclassified").otherwise(F.col("status")).alias("status"))
-    return with_delta(rows)
+    return with_delta(rows.drop("bw", "cw"))
 
 
 def with_delta(rows: DataFrame) -> DataFrame:
