@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, map_batches, row_key, small_batches, utf8, without
+from .common import BATCH_ROWS, map_batches, row_key, small_batches, stored, utf8, without
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
@@ -166,7 +166,7 @@ def _ordered(docs: DataFrame, index: WindowIndex) -> WindowIndex:
     with small_batches(docs.sparkSession, BATCH_ROWS):
         got = map_batches(docs, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
     index.order({r.k: r.n for r in got})
-    sent.unpersist()
+    sent.destroy()
     return index
 
 
@@ -179,16 +179,17 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     """
     blocks = _blocks(benchmark, width, shingle, block_bytes, item_id, item_text)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = []
-    for load in blocks:
-        index = _ordered(source.select("text"), load())
-        parts.append(_probe(source, index, share, whole=len(blocks) == 1))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = merged.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
+    if len(blocks) == 1:
+        return _probe(source, _ordered(source.select("text"), blocks[0]()), share, whole=True)[0]
+    merged = None
+    for k, load in enumerate(blocks):
+        part, sent = _probe(source, _ordered(source.select("text"), load()), share, whole=False)
+        # every row once, from the first block; later ones add what they hit
+        part = part.withColumn("copies", F.lit(1)) if k == 0 else part.where(F.size("spans") > 0).withColumn("copies", F.lit(0))
+        part = stored(part, "windows")
+        sent.destroy()  # so the driver holds one block at a time
+        merged = part if merged is None else merged.unionByName(part)
+    merged = merged.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.sum("copies").alias("copies"))
 
     def merge(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -208,7 +209,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=RESULT.names)
 
 
-def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> DataFrame:
+def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> tuple:
+    """The documents judged by one block (with ``whole``), or what it hits in them; and the block's broadcast."""
     sent = source.sparkSession.sparkContext.broadcast(index)
 
     def find(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,8 +233,8 @@ def _probe(source: DataFrame, index: WindowIndex, share: int, whole: bool) -> Da
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts), pa.array([spans.get(i, []) for i in range(len(ids_of))], pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(len(ids_of))], pa.list_(pa.string()))], names=_PART.names)
 
     if whole:
-        return map_batches(source, find, RESULT)
-    return map_batches(source.withColumn("text_hash", F.xxhash64("text")), find, _PART)
+        return map_batches(source, find, RESULT), sent
+    return map_batches(source.withColumn("text_hash", F.xxhash64("text")), find, _PART), sent
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:

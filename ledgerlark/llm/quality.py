@@ -235,7 +235,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The documents that aren't rejected (score of 0.5 or more), with the columns they came with."""
+    """The documents that aren't rejected (score of 0.5 or more), with the columns they came with.
+
+    Null, empty and blank texts score 0.5 and stay.
+    """
     field = learn(docs, labels, **options)
     name = "score" if "score" not in docs.columns else "__score"
     return scored(docs, field, text=options.get("text", "text"), score=name).where(F.col(name) >= 0.5).drop(name)

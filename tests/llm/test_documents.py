@@ -62,6 +62,18 @@ def test_decontaminate(spark, block_bytes):
     assert sorted(got, key=key) == sorted(brute_windows(docs, items), key=key)
 
 
+@pytest.mark.parametrize("block_bytes", [8_000_000, 200])
+def test_decontaminate_repeated_and_very_long(spark, block_bytes):
+    words = [f"w{k}" for k in range(30_000)]
+    planted = " ".join(f"p{k}" for k in range(2000))
+    docs = [(1, " ".join(words) + " " + planted), (2, " ".join(words)), (2, " ".join(words)), (3, planted), (3, planted), (None, planted), (4, None), (4, None)]
+    items = [(1, " ".join(planted.split()[:60])), (2, " ".join(planted.split()[50:200])), (3, " ".join(words[100:113])), (4, "nowhere " * 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.judge(table(spark, docs), bench, block_bytes=block_bytes).collect()]
+    want = [(1, 32_000, 213, 3, False), (2, 30_000, 13, 1, False), (2, 30_000, 13, 1, False), (3, 2000, 200, 2, True), (3, 2000, 200, 2, True), (None, 2000, 200, 2, True), (4, 0, 0, 0, False), (4, 0, 0, 0, False)]
+    assert Counter(got) == Counter(want)
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judge(table(spark, []), none).count() == 0
@@ -216,6 +228,9 @@ def test_packing(spark, group_pieces):
             assert r.offset == at
             at += r.length
         assert at <= 64
+    used, filled = len({r.sequence_id for r in got}), sum(r.length for r in got)
+    groups = len({r.sequence_id >> 32 for r in got})
+    assert used <= 11 / 9 * filled / 64 + 2 * groups  # first fit decreasing, in each group
     assert packing.pack(table(spark, [])).count() == 0
 
 
