@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, idtable, langmodel, neardup, packing, quality, tokens, urlfilter, vectordup, warc
+from . import chat, decontaminate, idtable, langmodel, lexical, neardup, packing, phrases, quality, secrets, tokens, urlfilter, vectordup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_secrets": op11_secrets,
+    "op12_collocations": op12_collocations,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _CHAT_SQL = """
@@ -114,4 +129,36 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": _DECONTAMINATION_SQL, "op2_chat_formatting": _CHAT_SQL, "op3_warc": _WARC_SQL}
+_COLLOCATIONS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+f AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+      FROM w, range(1, 6) s(m), range(1, greatest(len(w) - m + 1, 0) + 1) t(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, CAST(totals.n AS BIGINT) AS n,
+                CAST((1000::HUGEINT * c.a * totals.n::HUGEINT) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+         FROM c, range(1, c.m) t(k), totals, f x, f y
+         WHERE totals.lang = c.lang AND x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.w[1:k], ' ')
+           AND y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a FROM c, range(2, c.m) t(s), range(1, c.m - s + 2) u(i))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best WHERE (lang, phrase, a) NOT IN (SELECT lang, phrase, a FROM inside) QUALIFY rank <= 2000
+"""
+
+_LEXICAL_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter({_CLEAN}, lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter({_CLEAN}, lambda x: x <> '') AS w FROM benchmark),
+counts AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, term, len(w) AS n, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM q JOIN df USING (term) JOIN tf USING (term), counts GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": _DECONTAMINATION_SQL, "op2_chat_formatting": _CHAT_SQL, "op3_warc": _WARC_SQL, "op12_collocations": _COLLOCATIONS_SQL, "op13_lexical_search": _LEXICAL_SQL}
