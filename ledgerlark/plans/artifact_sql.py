@@ -9,6 +9,11 @@ _EXACT = "CASE WHEN contains(source, raw_text) THEN 'exact' WHEN strlen(n) > 10
 _SIZES = f""", sizes AS (SELECT {_DIR} AS bill_dir, division, min(identifier) AS identifier, count(*) AS n FROM provisions GROUP BY ALL),
 lines AS (SELECT bill_dir, division, n, 'SEC. ' || n || '. For part ' || division || ', ' AS before, '$' || format('{{:,}}', n * 1000) AS money, ': Provided, That it lasts.' || chr(10) AS after FROM sizes),
 placed AS (SELECT *, coalesce(sum(strlen(before || money || after)) OVER (PARTITION BY bill_dir ORDER BY division ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, sum(strlen(before || money || after)) OVER (PARTITION BY bill_dir ORDER BY division)::BIGINT AS stop, division = max(division) OVER (PARTITION BY bill_dir) AS last FROM lines)"""
+_MARKED = _SIZES + """, pieces AS (SELECT bill_dir, '' AS division, -1 AS p, '' AS title, max(identifier) || chr(10) || 'Act of Tests' || chr(10) || chr(10) || 'SEC. 1. What is before.' || chr(10) AS text, max(identifier) AS identifier FROM sizes GROUP BY 1
+  UNION ALL SELECT bill_dir, division, p, CASE p WHEN 3 THEN 'I' WHEN 4 THEN 'II' WHEN 5 THEN 'II' ELSE '' END, CASE p WHEN 1 THEN division || '.' WHEN 2 THEN 'Part ' || division WHEN 3 THEN 'I' || chr(10) || 'Money' || chr(10) || 'Pay' || chr(10) || 'SEC. ' || n || '. For ''''pay'''' and rent.'
+      WHEN 4 THEN 'II' || chr(10) || 'Rules' || chr(10) || 'SEC. 1. Rule one is long enough.' || chr(10) || 'SEC. 2. Rule two.' WHEN 5 THEN 'SEC. 3. Rule three.' WHEN 6 THEN 'SEC. 9. After ' || division || '.' ELSE 'Z' || division || chr(10) || 'Short' END || chr(10), NULL FROM sizes, range(1, 8) t(p)
+  UNION ALL SELECT DISTINCT bill_dir, 'zz', 9, '', 'SEC. 99. At last.' || chr(10), NULL FROM sizes),
+marked AS (SELECT *, CAST(sum(strlen(text)) OVER (PARTITION BY bill_dir ORDER BY division, p) AS BIGINT) AS stop FROM pieces)"""
 _KIND = "CASE WHEN provision_type = 'limitation' AND provision_index % 2 = 0 THEN 'cr_substitution' ELSE provision_type END"
 _ANSWERS = """WITH items AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ord, ['appropriation', 'rescission', 'earmark_list', 'rider'][l_partkey % 4 + 1] AS kind, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT) AS price FROM lineitem)"""
 _SUGGESTED = ", named0 AS (SELECT *, account_name || ' ' || nation AS acc, CASE WHEN fy < 1998 THEN 'Bureau of Nation ' ELSE 'Nation ' END || nation AS ag FROM provisions), pairs AS (SELECT nation, count(*) AS n FROM (SELECT lower(account_name || ' ' || nation) AS account, nation FROM ba GROUP BY ALL HAVING count(DISTINCT fy < 1998) = 2) GROUP BY 1)"
@@ -33,9 +38,13 @@ SQL |= {
     "artifact_text": _on_bridge("SELECT bill_dir, sha256(string_agg(before || money || after, '' ORDER BY division) || chr(10)) AS extracted_text_sha256, 'm' AS model, '1' AS extraction_version FROM lines GROUP BY 1", _SIZES),
     "text_positions": _on_bridge("""SELECT bill_dir, 'amount' AS kind, money AS label, pos + strlen(before) AS position, n * 1000 AS "to" FROM placed UNION ALL SELECT bill_dir, 'early', money, pos + strlen(before), n * 1000 FROM placed WHERE pos + strlen(before) < 60
       UNION ALL SELECT bill_dir, 'section', 'SEC. ' || n, pos, CASE WHEN last THEN stop + 1 ELSE stop END FROM placed UNION ALL SELECT bill_dir, 'proviso', '', pos + strlen(before || money) + 2, 0 FROM placed""", _SIZES),
-    "xml_bills": _on_bridge("""SELECT bill_dir, min(identifier) AS identifier, min(identifier) || chr(10) || chr(10) || string_agg(division || '.' || chr(10) || 'Part ' || division || chr(10) || 'Pay' || chr(10) || 'SEC. ' || n || '. For ''''pay'''' and rent.' || chr(10) || chr(10), '' ORDER BY division) AS full_text,
-      count(*) AS accounts, count(*) AS chunks, string_agg(division || '=Part ' || division, ';' ORDER BY division) AS divisions, CAST(NULL AS VARCHAR) AS error FROM sizes GROUP BY 1""", _SIZES),
-    "xml_contexts": _on_bridge("SELECT bill_dir, arg_min(n, division) || '. For pay and rent.' AS context FROM sizes GROUP BY 1", _SIZES),
+    "xml_bills": _on_bridge("""SELECT bill_dir, CASE WHEN good THEN identifier END AS identifier, CASE WHEN good THEN 'Act of Tests' END AS short_title, CASE WHEN good THEN 'SEC. 1. What is before.' END AS preamble, CASE WHEN good THEN full_text END AS full_text, CASE WHEN good THEN accounts END AS accounts,
+      CASE WHEN good THEN 5 * accounts END AS chunks, CASE WHEN good THEN divisions END AS divisions, NOT good AS failed FROM (
+      SELECT bill_dir, bill_dir NOT LIKE '1996%' AS good, max(identifier) AS identifier, string_agg(text, '' ORDER BY division, p) AS full_text, count(*) FILTER (p = 3) AS accounts, string_agg(CASE p WHEN 1 THEN division || '=Part ' || division WHEN 7 THEN 'Z' || division || '=Short' END, ';' ORDER BY division, p) AS divisions FROM marked GROUP BY 1)""", _MARKED),
+    "xml_chunks": _on_bridge("""SELECT bill_dir, CAST(row_number() OVER (PARTITION BY bill_dir ORDER BY division, p) AS INTEGER) AS chunk, CASE p WHEN 7 THEN 'Z' || division WHEN 6 THEN division || '.' ELSE division || '.-' || title || CASE p WHEN 4 THEN 'a' WHEN 5 THEN 'b' ELSE '' END END AS label,
+      CASE p WHEN 7 THEN 'Z' || division ELSE division || '.' END AS division, title, stop - strlen(text) AS start, stop AS "end", strlen(text) // 4 AS estimated_tokens, text FROM marked WHERE p BETWEEN 3 AND 7 AND bill_dir NOT LIKE '1996%'""", _MARKED),
+    "xml_accounts": _on_bridge("SELECT bill_dir, division || '.' AS division, 1 AS accounts FROM sizes WHERE bill_dir NOT LIKE '1996%' UNION ALL SELECT bill_dir, 'Z' || division, 0 FROM sizes WHERE bill_dir NOT LIKE '1996%'", _SIZES),
+    "xml_contexts": _on_bridge("SELECT bill_dir, CASE WHEN bill_dir LIKE '1996%' THEN '' ELSE arg_min(n, division) || '. For pay and rent.' END AS context FROM sizes GROUP BY 1", _SIZES),
     "vector_files": "SELECT CAST(label AS VARCHAR) AS bill_dir, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS provision_index, 'm' AS model, CAST(len(embedding) AS INTEGER) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, round(CASE WHEN list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS unit_length FROM embeddings",
     "account_reference": """WITH f AS (SELECT lpad(CAST(n_regionkey AS VARCHAR), 3, '0') AS agency_code, n_nationkey * 400 AS m, n_name, n_nationkey AS k FROM nation)
       SELECT agency_code || '-' || lpad(CAST(m AS VARCHAR), 4, '0') AS fas_code, n_name AS fas_title, agency_code, CASE WHEN k % 5 < 4 THEN 'active' ELSE 'discontinued' END AS status, agency_code = '001' AS mine, agency_code = '001' AND k % 3 <> 0 AND m < 4000 AS general FROM f""",

@@ -71,14 +71,19 @@ def _meta(view: DataFrame) -> DataFrame:
     return per.select("bill_dir", F.to_json(F.struct("congress", "bill_nature", "subcommittees", "provision_timing")).alias("value"))
 
 
+#: A title that is cut before its third section at 12 tokens.
+_RULES = "<title><enum>II</enum><header>Rules</header><section><enum>1.</enum><text>Rule one is long enough.</text></section><section><enum>2.</enum><text>Rule two.</text></section><section><enum>3.</enum><text>Rule three.</text></section></title>"
+
+
 def _bill_texts(view: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain text: a section per division. XML: the same as divisions of one section each."""
+    """Plain text: a section per division. XML: text before and after divisions, which have two titles and a section each, and a short division behind each."""
     per = view.groupBy("bill_dir", "division").agg(F.count("*").alias("n"), F.min("identifier").alias("identifier"))
     bills = per.groupBy("bill_dir").agg(F.first("identifier").alias("identifier"), F.array_sort(F.collect_list(F.struct("division", "n"))).alias("parts"))
     each = lambda f: F.array_join(F.transform("parts", f), "")
     plain = each(lambda p: F.concat(F.lit("SEC. "), p["n"].cast("string"), F.lit(". For part "), p["division"], F.lit(", $"), F.format_number(p["n"] * 1000, 0), F.lit(": Provided, That it lasts.\n")))
-    body = each(lambda p: F.concat(F.lit("<division><enum>"), p["division"], F.lit(".</enum><header>Part  "), p["division"], F.lit("</header><appropriations-small><header>Pay</header></appropriations-small><section><enum>"), p["n"].cast("string"), F.lit(".</enum><text>For <quote>pay</quote> and rent.</text></section></division>")))
-    marked = F.concat(F.lit("<!DOCTYPE bill><bill><form><legis-num>"), "identifier", F.lit("</legis-num></form><legis-body>"), body, F.lit("</legis-body></bill>"))
+    body = each(lambda p: F.concat(F.lit("<division><enum>"), p["division"], F.lit(".</enum><header>Part  "), p["division"], F.lit("</header><title><enum>I</enum><header>Money</header><appropriations-small><header>Pay</header></appropriations-small><section><enum>"), p["n"].cast("string"), F.lit(".</enum><text>For <quote>pay</quote> and rent.</text></section></title>"), F.lit(_RULES), F.lit("<section><enum>9.</enum><text>After "), p["division"], F.lit(".</text></section></division><division><enum>Z"), p["division"], F.lit("</enum><header>Short</header></division>")))
+    marked = F.concat(F.lit("<!DOCTYPE bill><bill><form><legis-num>"), "identifier", F.lit("</legis-num><short-title>Act of Tests</short-title></form><legis-body><section><enum>1.</enum><text>What is before.</text></section>"), body, F.lit("<section><enum>99.</enum><text>At last.</text></section></legis-body></bill>"))
+    marked = F.when(F.col("bill_dir").startswith("1996"), F.lit("<bill><legis-body>")).otherwise(marked)  # a year's are cut off
     return bills.select("bill_dir", plain.alias("value")), bills.select("bill_dir", marked.alias("value"))
 
 
@@ -159,9 +164,22 @@ def text_positions(spark, d):
 
 @_query
 def xml_bills(spark, d):
-    """OP-SRC-14/15/16, TXT-09/11, STR-14."""
-    rows = xml.bills(spark, _written(spark, d))
-    return rows.select("bill_dir", "identifier", "full_text", "accounts", F.size("chunks").cast("long").alias("chunks"), F.array_join(F.transform("divisions", lambda x: F.concat(x["letter"], F.lit("="), x["title"])), ";").alias("divisions"), "error")
+    """OP-SRC-14/15/16, TXT-09/11, STR-14: whole texts with what stands before, between and after divisions; broken files."""
+    rows = xml.bills(spark, _written(spark, d), most_tokens=12)
+    shown = F.array_join(F.transform("divisions", lambda x: F.concat(x["letter"], F.lit("="), x["title"])), ";")
+    return rows.select("bill_dir", "identifier", "short_title", "preamble", "full_text", "accounts", F.size("chunks").cast("long").alias("chunks"), shown.alias("divisions"), F.col("error").isNotNull().alias("failed"))
+
+
+@_query
+def xml_chunks(spark, d):
+    """OP-SRC-14, TXT-09: chunks by division and title, with their place in the text and that text."""
+    return xml.chunks(xml.bill_parts(spark, _written(spark, d), most_tokens=12)).drop("path")
+
+
+@_query
+def xml_accounts(spark, d):
+    """OP-SRC-14: accounts of each division's markup."""
+    return xml.accounts_by_division(xml.bill_parts(spark, _written(spark, d))).drop("path", "ord")
 
 
 @_query

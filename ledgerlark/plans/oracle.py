@@ -84,7 +84,7 @@ SQL: dict[str, str] = {
       SELECT *, CAST(sum(CASE WHEN provision_type = 'appropriation' AND semantics = 'new_budget_authority' AND detail_level NOT IN ('sub_allocation', 'proviso_amount') THEN coalesce(dollars, 0) ELSE 0 END) OVER (PARTITION BY bill_dir) AS BIGINT) AS ba,
              CAST(sum(CASE WHEN provision_type = 'rescission' THEN abs(dollars) ELSE 0 END) OVER (PARTITION BY bill_dir) AS BIGINT) AS resc FROM provisions) GROUP BY ALL"""),
     "advance_split": _on_bridge("SELECT bill_dir, identifier, CAST(sum(CASE WHEN timing <> 'advance' THEN coalesce(dollars, 0) ELSE 0 END) AS BIGINT) AS current_year_ba, CAST(sum(CASE WHEN timing = 'advance' THEN coalesce(dollars, 0) ELSE 0 END) AS BIGINT) AS advance_ba FROM ba GROUP BY ALL"),
-    "advance_breakdown": _on_bridge("SELECT bill_dir, c AS current_year, a AS advance, s AS supplemental, t - c - a - s AS other, CASE WHEN t <> 0 THEN round(a / t * 100, 6) ELSE 0.0 END AS advance_pct FROM (SELECT bill_dir, CAST(sum(coalesce(dollars, 0)) FILTER (timing = 'current_year') AS BIGINT) AS c, CAST(sum(coalesce(dollars, 0)) FILTER (timing = 'advance') AS BIGINT) AS a, CAST(sum(coalesce(dollars, 0)) FILTER (timing = 'supplemental') AS BIGINT) AS s, CAST(sum(coalesce(dollars, 0)) AS BIGINT) AS t FROM ba GROUP BY 1)"),
+    "advance_breakdown": _on_bridge("SELECT bill_dir, c AS current_year, a AS advance, s AS supplemental, t - c - a - s AS other, CASE WHEN t <> 0 THEN round(a / t * 100, 6) ELSE 0.0 END AS advance_pct FROM (SELECT bill_dir, CAST(coalesce(sum(coalesce(dollars, 0)) FILTER (timing = 'current_year'), 0) AS BIGINT) AS c, CAST(coalesce(sum(coalesce(dollars, 0)) FILTER (timing = 'advance'), 0) AS BIGINT) AS a, CAST(coalesce(sum(coalesce(dollars, 0)) FILTER (timing = 'supplemental'), 0) AS BIGINT) AS s, CAST(sum(coalesce(dollars, 0)) AS BIGINT) AS t FROM ba GROUP BY 1)"),
     "rollup_department": _on_bridge("""SELECT CASE WHEN contains(agency, ',') THEN CASE WHEN lower(trim(split_part(agency, ',', 1))) = 'office of inspector general' THEN trim(split_part(agency, ',', 2)) ELSE trim(split_part(agency, ',', 1)) END ELSE agency END AS department,
       CAST(sum(CASE WHEN semantics = 'new_budget_authority' THEN coalesce(dollars, 0) ELSE 0 END) AS BIGINT) AS budget_authority, CAST(sum(CASE WHEN provision_type = 'rescission' THEN abs(dollars) ELSE 0 END) AS BIGINT) AS rescissions, count(*) AS provision_count FROM provisions WHERE agency <> '' GROUP BY 1"""),
     "audit": _on_bridge("""SELECT bill_dir, identifier, count(*) AS total_provisions, count(*) FILTER (amount_status = 'verified') AS amounts_verified, count(*) FILTER (amount_status = 'not_found') AS amounts_not_found, count(*) FILTER (amount_status = 'ambiguous') AS amounts_ambiguous,

@@ -195,12 +195,41 @@ def test_lenient(spark):
     assert (report.provisions_parsed, report.provisions_failed, report.unknown_provision_types, report.type_coercions) == (2, 1, 1, 1)
 
 
-def test_xml():
-    raw = '<!DOCTYPE bill [<!ENTITY x "y">]><bill><legis-num>H.R. 1</legis-num><legis-body><division><enum>A</enum><header>First</header><section><enum>1.</enum><text>A <quote>b</quote> c.</text></section><appropriations-small><header>Pay</header><text>For pay, $5.</text></appropriations-small></division></legis-body></bill>'
-    got = xml.bill(raw)
-    assert got["identifier"] == "H.R. 1" and got["divisions"] == [("A", "First")] and got["accounts"] == 1
-    assert "SEC. 1. A ''b'' c." in got["full_text"] and "\nPay\n" in got["full_text"]
-    assert got["full_text"].encode()[got["chunks"][0]["start"] : got["chunks"][0]["end"]].decode().startswith("A First") or got["chunks"][0]["division"] == "A"
+BILL = '<!DOCTYPE bill [<!ENTITY x "y">]><bill><form><legis-num>H.R. 1</legis-num></form><legis-body><section><enum>1.</enum><header>Short</header><text>Before <short-title>An Act</short-title>.</text></section><division><enum>A</enum><header>First</header><title><enum>I</enum><header>Gen</header><section><enum>1.</enum><text>A <quote>b</quote> c.</text></section><section><enum>2.</enum><text>More of it.</text></section></title><title><enum>II</enum><appropriations-small><header>Pay</header><text>For pay, $5.</text></appropriations-small></title><section><enum>9</enum><text>end</text></section></division><division><enum>B</enum><header>Sec</header><text>x</text></division><section><enum>3.</enum><text>After.</text></section></legis-body></bill>'
+
+
+def test_xml_parts():
+    rows = {m: [r[1:6] for r in xml.parts(BILL, m)] for m in (3, 8, 3000)}
+    assert rows[3000] == [
+        ("preamble", None, "", "", "SEC. 1.\nShort\nBefore An Act.\n"),
+        ("division", "A", "A", "", "A\nFirst\nI\nGen\nSEC. 1. A ''b'' c.\nSEC. 2. More of it.\nII\nPay\nFor pay, $5.\nSEC. 9 end\n"),
+        ("division", "B", "B", "", "B\nSec\nx\n"),
+        ("rest", None, "", "", "SEC. 3. After.\n"),
+        ("bill", None, "", "", "H.R. 1\nAn Act\n\n"),
+    ]
+    assert [r[1] for r in rows[8] if r[1]] == ["A-I", "A-II", "A", "B"] and [r[1] for r in rows[3] if r[1]] == ["A-Ia", "A-Ib", "A-II", "A", "B"]
+    assert len({"".join(r[4] for r in rows[m]) for m in rows}) == 1  # cut as one likes, the text is the same
+    assert [r[6] for r in xml.parts(BILL) if r[1] in ("division", "bill")] == [1, 0, 1]
+
+
+def test_xml_without_divisions():
+    full, bill = xml.parts("<bill><toc-entry level='division'>Division A — Things</toc-entry><legis-body><section><enum>1</enum><text>For \n  x, $100,000.</text></section></legis-body></bill>")
+    assert full[1:6] == ("full", "full", "", "", "SEC. 1 For\nx, $100,000.") and bill[9] == [("A", "Things")]
+    for broken in ("<bill/>", "<bill><legis-body>", "no markup"):
+        with pytest.raises((ValueError, SyntaxError)):
+            list(xml.parts(broken))
+
+
+def test_xml_bills(spark, tmp_path):
+    for name, text in (("a", BILL), ("b", "<bill>"), ("c", "<bill><legis-num>S. 2</legis-num><legis-body><text>All of it.</text></legis-body></bill>")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "BILLS-118hr1enr.xml").write_text(text)
+    got = {r.bill_dir: r for r in xml.bills(spark, str(tmp_path), 3).collect()}
+    assert got["b"].error and got["b"].full_text is None and got["a"].error is None
+    text = got["a"].full_text.encode()
+    assert [text[c.start : c.end].decode().split("\n")[0] for c in got["a"].chunks] == ["I", "SEC. 2. More of it.", "II", "SEC. 9 end", "B"]
+    assert (got["a"].accounts, got["a"].preamble, got["c"].full_text) == (1, "SEC. 1.\nShort\nBefore An Act.", "S. 2\n\nAll of it.")
+    assert [(c.start, c.end) for c in got["c"].chunks] == [(0, 16)]
 
 
 def test_token_rate(spark):
