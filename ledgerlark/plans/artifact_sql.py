@@ -16,6 +16,14 @@ _MARKED = _SIZES + """, pieces AS (SELECT bill_dir, '' AS division, -1 AS p, ''
 marked AS (SELECT *, CAST(sum(strlen(text)) OVER (PARTITION BY bill_dir ORDER BY division, p) AS BIGINT) AS stop FROM pieces)"""
 _KIND = "CASE WHEN provision_type = 'limitation' AND provision_index % 2 = 0 THEN 'cr_substitution' ELSE provision_type END"
 _ANSWERS = """WITH items AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ord, ['appropriation', 'rescission', 'earmark_list', 'rider'][l_partkey % 4 + 1] AS kind, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT) AS price FROM lineitem)"""
+_TYPED = """WITH lines AS (SELECT l_orderkey AS id, l_linenumber AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS ord, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT) AS price, l_linenumber = 7 AND l_suppkey % 2 = 0 AS failed,
+    ['appropriation', 'rescission', 'transfer_authority', 'limitation', 'directed_spending', 'cr_substitution', 'mandatory_spending_extension', 'directive', 'rider', 'continuing_resolution_baseline', 'other'][l_partkey % 11 + 1] AS kind, l_linenumber IN (1, 2, 3, 6) AS money FROM lineitem),
+  bad AS (SELECT DISTINCT id, ['Answer is not JSON', 'Expected root object', 'Missing ''bill''', 'bill not an object', 'Missing ''summary''', 'summary not an object', 'Missing ''provisions'' array'][id % 13 + 1] AS error FROM lines WHERE id % 13 < 7),
+  good AS (SELECT *, CASE WHEN NOT failed THEN kind END AS t FROM lines WHERE id % 13 >= 7),
+  typed AS (SELECT *, CASE t WHEN 'appropriation' THEN (k % 3 = 0)::INT WHEN 'rescission' THEN (k % 3 = 0)::INT WHEN 'transfer_authority' THEN 1 WHEN 'cr_substitution' THEN 1 WHEN 'mandatory_spending_extension' THEN 1 WHEN 'limitation' THEN (k = 2)::INT WHEN 'directive' THEN (k = 2)::INT WHEN 'rider' THEN (k = 2)::INT WHEN 'other' THEN (k = 2)::INT ELSE 0 END AS nulls,
+    CASE WHEN t IS NULL THEN 0 ELSE (k IN (2, 4))::INT + CASE WHEN t IN ('appropriation', 'rescission', 'limitation', 'directed_spending', 'mandatory_spending_extension', 'other') THEN (k = 2)::INT WHEN t = 'cr_substitution' THEN (k % 2 = 0)::INT ELSE 0 END
+      + CASE WHEN t IN ('appropriation', 'rescission') THEN (k % 3 = 2)::INT WHEN t IN ('limitation', 'directive', 'rider', 'other') THEN (k = 3)::INT WHEN t = 'continuing_resolution_baseline' THEN 1 ELSE 0 END END AS bent,
+    CASE WHEN failed THEN 'Provision ' || ord || ': provision not an object' WHEN t IN ('appropriation', 'rescission') AND NOT money THEN 'SEC S' || k || ': missing amount on ' || t END AS warning FROM good)"""
 _SUGGESTED = ", named0 AS (SELECT *, account_name || ' ' || nation AS acc, CASE WHEN fy < 1998 THEN 'Bureau of Nation ' ELSE 'Nation ' END || nation AS ag FROM provisions), pairs AS (SELECT nation, count(*) AS n FROM (SELECT lower(account_name || ' ' || nation) AS account, nation FROM ba GROUP BY ALL HAVING count(DISTINCT fy < 1998) = 2) GROUP BY 1)"
 _TIMING = "CASE WHEN availability <> '' THEN CASE WHEN year(l_shipdate) + 1 > fy THEN 'advance' ELSE 'current_year' END WHEN line = 2 THEN 'supplemental' ELSE 'current_year' END"
 
@@ -61,10 +69,23 @@ SQL |= {
     "cpi_file": """SELECT '2024-' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS ym, n_regionkey + 0.5::DOUBLE AS value, 0 AS months FROM nation WHERE n_nationkey < 12
       UNION ALL SELECT CAST(n_nationkey + 2000 AS VARCHAR), n_regionkey + 0.5::DOUBLE, CASE WHEN n_nationkey = 1 THEN 3 ELSE 12 END FROM nation WHERE n_nationkey < 12""",
     "lenient_provisions": _ANSWERS + """ SELECT id, CAST(ord AS INTEGER) AS ord, k = 7 AS failed, CASE WHEN k <> 7 THEN CASE WHEN kind = 'earmark_list' THEN 'other' ELSE kind END END AS provision_type, CASE WHEN k <> 7 AND kind = 'earmark_list' THEN kind END AS llm_classification,
-      CASE WHEN k <> 7 THEN 'a' || l_suppkey ELSE '' END AS account_name, CASE WHEN k <> 7 THEN 2024 END AS fiscal_year, CASE WHEN k <> 7 THEN 0.5 ELSE 0.0 END::FLOAT AS confidence, CASE WHEN k <> 7 THEN price END AS dollars, CASE WHEN k <> 7 THEN k % 3 = 0 END AS coerced,
-      CASE WHEN k = 7 THEN NULL WHEN k % 2 = 0 THEN 'until spent' WHEN k = 5 THEN '{"period":"one-year"}' END AS availability FROM items""",
-    "lenient_report": _ANSWERS + " SELECT count(*) FILTER (k <> 7) AS provisions_parsed, count(*) FILTER (k = 7) AS provisions_failed, count(*) FILTER (k <> 7 AND kind = 'earmark_list') AS unknown_provision_types, count(*) FILTER (k % 3 = 0) AS type_coercions FROM items",
-    "lenient_nested": _ANSWERS + " SELECT CASE k WHEN 1 THEN 'percentage' WHEN 2 THEN 'fixed_amount' WHEN 3 THEN 'unlimited' ELSE 'unspecified' END AS kind, CASE k WHEN 1 THEN 5.5 WHEN 2 THEN 7.0 END::DOUBLE AS value, CASE WHEN k = 7 THEN 0 ELSE 1 END AS earmarks, count(*) AS n FROM items GROUP BY ALL",
+      CASE WHEN k <> 7 AND kind IN ('appropriation', 'rescission') THEN 'a' || l_suppkey END AS account_name, CASE WHEN k <> 7 AND kind = 'appropriation' THEN 2024 END AS fiscal_year, CASE WHEN k <> 7 THEN 0.5::FLOAT END AS confidence, CASE WHEN k <> 7 AND kind <> 'rider' THEN price END AS dollars,
+      CASE WHEN k <> 7 AND kind <> 'rider' AND k % 3 = 0 THEN 1 ELSE 0 END AS type_coercions, CASE WHEN k = 7 OR kind <> 'appropriation' THEN NULL WHEN k % 2 = 0 THEN 'until spent' WHEN k = 5 THEN '{"period":"one-year"}' END AS availability FROM items""",
+    "lenient_report": _ANSWERS + """ SELECT count(*) FILTER (k <> 7) AS provisions_parsed, count(*) FILTER (k = 7) AS provisions_failed, count(*) FILTER (k <> 7 AND kind = 'earmark_list') AS unknown_provision_types, count(*) FILTER (k % 3 = 0 AND kind <> 'rider') AS type_coercions,
+      count(*) FILTER (k <> 7 AND kind IN ('appropriation', 'earmark_list', 'rider')) AS null_to_default, 0 AS errors, count(*) FILTER (k = 7) AS warnings FROM items""",
+    "lenient_union": _TYPED + """ SELECT id, CAST(ord AS INTEGER) AS ord, failed, CASE WHEN failed THEN 'provision not an object' END AS error, t AS provision_type, CASE WHEN t = 'other' THEN 'novelty' END AS llm_classification, CASE WHEN NOT failed THEN 'S' || k END AS section, CASE WHEN NOT failed THEN 'A' END AS division, CASE WHEN NOT failed THEN [0.5, 0.25, 0, 0, 1, 0, 0.75][k]::FLOAT END AS confidence, CASE WHEN NOT failed THEN 'n+m' END AS notes, CASE WHEN failed THEN NULL ELSE 1 END AS refs,
+      CASE WHEN t IN ('appropriation', 'rescission') THEN CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || l_suppkey ELSE '12' END WHEN t IN ('limitation', 'directed_spending', 'cr_substitution') AND k % 3 = 1 THEN 'a' || l_suppkey END AS account_name, CASE WHEN t IN ('appropriation', 'rescission') THEN ['g', NULL, 'h', NULL, 'g', 'g', 'g'][k] END AS agency,
+      CASE WHEN t IN ('limitation', 'directive', 'rider', 'other') THEN ['de', '', '[1]', 'de', 'de', 'de', 'de'][k] END AS description, CASE WHEN t IN ('appropriation', 'directed_spending') THEN 'line_item' END AS detail_level, CASE WHEN t = 'transfer_authority' THEN 'from' END AS from_scope, CASE WHEN t = 'transfer_authority' THEN '' END AS to_scope,
+      CASE WHEN t = 'cr_substitution' THEN 'act' END AS reference_act, CASE WHEN t = 'cr_substitution' THEN '' END AS reference_section, CASE WHEN t = 'mandatory_spending_extension' THEN 'pn' END AS program_name, CASE WHEN t = 'mandatory_spending_extension' THEN 'pe' END AS period, CASE WHEN t = 'rider' THEN 'pol' END AS policy_area, CASE WHEN t = 'continuing_resolution_baseline' THEN '0.5' END AS rate,
+      CASE WHEN t = 'transfer_authority' THEN 'c' END AS conditions, CASE WHEN t = 'directive' THEN 'dl' END AS deadlines, CASE WHEN t IN ('appropriation', 'rescission', 'limitation', 'directed_spending', 'mandatory_spending_extension') THEN
+        CASE WHEN money THEN [format('specific/{}/rescission/$x', price), 'specific/1234/other/', 'such_sums/other/', '', '', 'specific/0/other/', ''][k] WHEN t IN ('limitation', 'mandatory_spending_extension') THEN '' WHEN t = 'rescission' THEN 'specific/0/rescission/' ELSE 'specific/0/indefinite/' END ELSE '' END AS amount,
+      CASE WHEN t = 'cr_substitution' THEN format('specific/{}/other/', price) ELSE '' END AS new_amount, CASE WHEN t <> 'cr_substitution' OR failed THEN '' WHEN k % 2 = 0 THEN format('specific/{}/other/', price) ELSE 'specific/0/reference_amount/' END AS old_amount, CASE WHEN t = 'other' THEN CASE WHEN money THEN 1 ELSE 0 END END AS amounts,
+      CASE WHEN t = 'other' AND money THEN [price, 1234, NULL, NULL, NULL, 0, NULL][k] END AS other_dollars, CASE WHEN t = 'appropriation' THEN [2024, 2025, NULL, NULL, NULL, NULL, 2030][k] END AS fiscal_year, CASE WHEN t = 'continuing_resolution_baseline' THEN [2020, 2021, 0, 2020, 2020, 2020, 2020][k] END AS reference_year,
+      CASE WHEN t = 'appropriation' THEN ['no_year', 'other/until spent', 'no_year', 'one_year/2026', 'multi_year/2027', 'other/{"x":1}', 'other/9'][k] ELSE '' END AS availability, CASE WHEN t = 'transfer_authority' THEN ['percentage/5.5', 'fixed_amount/7', 'other/unlimited', 'other/unknown', 'other/unknown', 'fixed_amount/8', 'other/{"fixed_amount":7}'][k] ELSE '' END AS "limit",
+      CASE WHEN t = 'appropriation' THEN 1 END AS provisos, CASE WHEN t = 'appropriation' THEN 3 END AS proviso_dollars, CASE WHEN t = 'appropriation' THEN 1 END AS earmarks, CASE WHEN t = 'directed_spending' THEN 'rr' END AS recipient, CASE WHEN t = 'other' THEN 21 END AS leftover, CASE WHEN t = 'other' THEN '{"bar":[1,"z"]}' END AS foo,
+      CAST(nulls AS INTEGER) AS null_to_default, CAST(bent AS INTEGER) AS type_coercions, warning FROM typed UNION ALL SELECT id, NULL, true, error, """ + ", ".join(["NULL"] * 5) + ", NULL, NULL, " + ", ".join(["NULL"] * 14) + ", '', '', '', NULL, NULL, NULL, NULL, '', '', NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, NULL FROM bad",
+    "lenient_answers": _TYPED + """ SELECT id, NULL AS error, count(*) FILTER (NOT failed) AS provisions_parsed, count(*) FILTER (failed) AS provisions_failed, CAST(sum(nulls) AS BIGINT) AS null_to_default, CAST(sum(bent) AS BIGINT) AS type_coercions, count(*) FILTER (t = 'other') AS unknown_provision_types, CAST(count(warning) AS INTEGER) AS warnings,
+      'H.R. 1' AS identifier, '2024,2025' AS years, 'A' AS divisions, id AS told, 2 AS riders, 0 AS told_authority, 'i' AS issues FROM typed GROUP BY id UNION ALL SELECT id, error, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM bad""",
     "upgraded_files": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS kept, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_orderkey END AS v FROM orders)
       SELECT '1.0' AS schema_version, CASE WHEN NOT kept AND v = 0 AND k % 5 <> 0 THEN 'such_sums' ELSE 'specific' END AS kind, CASE WHEN k % 3 <> 0 THEN 'limitation' WHEN kept THEN 'missing' ELSE 'indefinite' END AS semantics, count(*) AS n, CAST(sum(CASE WHEN NOT kept AND v = 0 AND k % 5 <> 0 THEN NULL ELSE v END) AS BIGINT) AS dollars FROM o GROUP BY ALL""",
     "export_csv": _on_bridge("""SELECT identifier AS bill, CAST(provision_index AS VARCHAR) AS provision_index, account_name, agency, CAST(dollars AS VARCHAR) AS dollars, '' AS old_dollars, coalesce(st, 'n/a') AS amount_status, quality, '1.00' AS confidence, raw_text FROM checked WHERE provision_type = 'rescission' AND fy = 1998""", _CHECKED),

@@ -296,24 +296,65 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def lenient_provisions(spark, d):
-    """OP-JSON-01 to 04, 07, 08."""
-    rows = lenient.provisions(_answers(spark, d), "id", "answer")
-    return rows.select("id", "ord", "failed", "provision_type", "llm_classification", "account_name", "fiscal_year", "confidence", F.col("amount.dollars").alias("dollars"), F.col("amount.coerced").alias("coerced"), "availability")
+    """OP-JSON-01 to 04, 07, 08: answers to chunks, whose provisions stand alone or in a bare list."""
+    rows = lenient.provisions(_answers(spark, d), "id", "answer", chunks=True)
+    return rows.select("id", "ord", "failed", "provision_type", "llm_classification", "account_name", "fiscal_year", "confidence", F.coalesce("amount.dollars", F.get("amounts", F.lit(0))["dollars"]).alias("dollars"), "type_coercions", F.col("availability.text").alias("availability"))
 
 
 @_query
 def lenient_report(spark, d):
     """OP-AGG-18."""
-    per = lenient.report(lenient.provisions(_answers(spark, d), "id", "answer"), "id")
-    return per.agg(*[F.sum(c).alias(c) for c in per.columns if c != "id"])
+    per = lenient.report(lenient.provisions(_answers(spark, d), "id", "answer", chunks=True), "id")
+    return per.agg(*[F.sum(c).alias(c) for c in per.columns if c not in ("id", "error", "warnings")], F.count("error").alias("errors"), F.sum(F.size("warnings")).alias("warnings"))
+
+
+def _typed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Whole answers, one per order, of all eleven types: every provision names the fields of every type, in shapes that
+    differ by line; seven kinds of answers are broken."""
+    items, k, price = bridge.table(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_extendedprice").cast("long").cast("string")
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), k)
+    kind = F.element_at(F.array(*map(F.lit, [*model.TYPES[:-1], "novelty"])), (F.col("l_partkey") % 11 + 1).cast("int"))
+    money = F.when(k == 1, F.concat(F.lit('{"dollars":'), price, F.lit(',"semantics":"rescission","text_as_written":"$x"}'))).otherwise(pick("", '{"dollars":"$1,234"}', '{"kind":"such_sums"}', '{"value":{"kind":"none"},"dollars":4}', "null", '{"dollars":12.5}', '"text"'))
+    name = F.when(k % 3 == 0, F.lit("null")).when(k % 3 == 1, F.concat(F.lit('"a'), F.col("l_suppkey").cast("string"), F.lit('"'))).otherwise(F.lit("12"))
+    fields = {
+        "provision_type": F.concat(F.lit('"'), kind, F.lit('"')), "section": F.concat(F.lit('"S'), k.cast("string"), F.lit('"')), "division": F.lit('"A"'), "confidence": pick("0.5", '"0.25"', "null", '"much"', "1", "0", "0.75"), "raw_text": F.lit('"r"'),
+        "notes": F.lit('["n",5,"m"]'), "cross_references": F.lit('[{"ref_type":"amends","target":"t"},7]'), "account_name": name, "agency": pick('"g"', "3", '"h"', "null", '"g"', '"g"', '"g"'), "amount": money,
+        "new_amount": F.concat(F.lit('{"value":{"kind":"specific","dollars":'), price, F.lit("}}")), "old_amount": F.when(k % 2 == 0, F.concat(F.lit('{"dollars":"'), price, F.lit('"}'))).otherwise("null"), "fiscal_year": pick("2024", '"2025"', "-1", "2024.5", "null", '"x"', "2030"),
+        "availability": pick('"no_year"', '"until spent"', '{"no_year":true}', '{"fiscal_year":2026}', '{"through":2027}', '{"x":1}', "9"), "limit": pick('{"percentage":5.5}', '{"fixed_amount":{"dollars":7}}', '"unlimited"', "9", "null", '{"dollars":8}', '{"fixed_amount":7}'),
+        "provisos": F.lit('[{"proviso_type":"limitation","amount":{"dollars":3},"references":["x",1]},1]'), "earmarks": F.lit('[{"recipient":"r"},"no"]'), "recipient": F.lit('"rr"'), "detail_level": F.lit('"line_item"'), "from_scope": F.lit('"from"'), "conditions": F.lit('["c"]'), "reference_act": F.lit('"act"'),
+        "program_name": F.lit('"pn"'), "period": F.lit('"pe"'), "description": pick('"de"', "null", "[1]", '"de"', '"de"', '"de"', '"de"'), "deadlines": F.lit('["dl"]'), "policy_area": F.lit('"pol"'), "reference_year": pick("2020", '"2021"', "null", "2020", "2020", "2020", "2020"), "rate": F.lit("0.5"), "foo": F.lit('{"bar":[1,"z"]}'),
+    }
+    one = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), c) for n, c in fields.items())), F.lit("}"))
+    element = F.when((k == 7) & (F.col("l_suppkey") % 2 == 0), '"lost"').otherwise(one)
+    per = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", element.alias("e")))), lambda e: e["e"]), ",").alias("all"))
+    broken = F.col("l_orderkey") % 13
+    head = F.when(broken == 2, "").when(broken == 3, '"bill":7,').otherwise('"bill":{"identifier":"H.R. 1","classification":"omnibus","fiscal_years":[2024,"x",2025],"divisions":["A",2]},')
+    tail = F.when(broken == 4, "").when(broken == 5, ',"summary":[]').otherwise(F.concat(F.lit(',"summary":{"total_provisions":'), F.col("l_orderkey").cast("string"), F.lit(',"by_type":{"rider":2,"x":"y"},"total_budget_authority":"5","flagged_issues":["i"]}')))
+    told = F.when(broken == 0, "no json here").when(broken == 1, "[1,2]").otherwise(F.concat(F.lit("{"), head, F.lit('"provisions":'), F.when(broken == 6, '"none"').otherwise(F.concat(F.lit("["), "all", F.lit("]"))), tail, F.lit("}")))
+    return per.select(F.col("l_orderkey").alias("id"), told.alias("answer"))
+
+
+@_query
+def lenient_union(spark, d):
+    """OP-JSON-01 to 06: every field of every type, failed elements and failed answers."""
+    rows = lenient.provisions(_typed_answers(spark, d), "id", "answer")
+    money = lambda c: F.concat_ws("/", f"{c}.kind", F.col(f"{c}.dollars").cast("string"), f"{c}.semantics", f"{c}.text_as_written")
+    texts_of = lambda c: F.array_join(c, "+")
+    return rows.select(
+        "id", "ord", "failed", "error", "provision_type", "llm_classification", "section", "division", "confidence", texts_of("notes").alias("notes"), F.array_size("cross_references").alias("refs"), "account_name", "agency", "description", "detail_level", "from_scope", "to_scope", "reference_act", "reference_section", "program_name", "period", "policy_area", "rate", texts_of("conditions").alias("conditions"), texts_of("deadlines").alias("deadlines"),
+        money("amount").alias("amount"), money("new_amount").alias("new_amount"), money("old_amount").alias("old_amount"), F.array_size("amounts").alias("amounts"), F.get("amounts", F.lit(0))["dollars"].alias("other_dollars"), "fiscal_year", "reference_year", F.concat_ws("/", "availability.kind", F.col("availability.year").cast("string"), "availability.text").alias("availability"),
+        F.concat_ws("/", "limit.kind", F.col("limit.percentage").cast("string"), F.col("limit.amount.dollars").cast("string"), "limit.text").alias("limit"), F.array_size("provisos").alias("provisos"), F.get("provisos", F.lit(0))["amount"]["dollars"].alias("proviso_dollars"), F.array_size("earmarks").alias("earmarks"), "earmark.recipient", F.array_size(F.map_keys("metadata")).alias("leftover"), F.col("metadata")["foo"].alias("foo"), "null_to_default", "type_coercions", "warning",
+    )
 
 
 @_query
-def lenient_nested(spark, d):
-    """OP-JSON-05/06: transfer limits and earmarks."""
-    each = _answers(spark, d).select("id", F.posexplode(F.coalesce(F.try_variant_get(F.try_parse_json(lenient.fenced(F.col("answer"))), "$.provisions", "array<variant>"), F.try_variant_get(F.try_parse_json(lenient.fenced(F.col("answer"))), "$", "array<variant>"))).alias("ord", "p"))
-    rows = each.select(lenient.transfer_limit(F.col("p")).alias("l"), F.size(lenient.nested(F.col("p"), "earmarks", "struct<recipient:string>")).alias("earmarks"))
-    return rows.groupBy(F.col("l.kind").alias("kind"), F.col("l.value").alias("value"), "earmarks").agg(F.count("*").alias("n"))
+def lenient_answers(spark, d):
+    """OP-JSON-01, OP-AGG-18: what answers say of the bill, their summary, and the report on each, failed ones by name."""
+    told = _typed_answers(spark, d)
+    heads = lenient.answers(told, "id", "answer").select("id", lenient.bill(F.col("v")).alias("b"), lenient.summary(F.col("v")).alias("s"))
+    per = lenient.report(lenient.provisions(told, "id", "answer"), "id").join(heads, "id", "left")
+    good = F.col("error").isNull()
+    return per.select("id", "error", "provisions_parsed", "provisions_failed", "null_to_default", "type_coercions", "unknown_provision_types", F.size("warnings").alias("warnings"), F.when(good, F.col("b.identifier")).alias("identifier"), F.when(good, F.array_join(F.col("b.fiscal_years").cast("array<string>"), ",")).alias("years"), F.when(good, F.array_join("b.divisions", ",")).alias("divisions"), F.when(good, F.col("s.total_provisions")).alias("told"), F.when(good, F.col("s.by_type")["rider"] + F.col("s.by_type")["x"]).alias("riders"), F.when(good, F.col("s.total_budget_authority")).alias("told_authority"), F.when(good, F.array_join("s.flagged_issues", ",")).alias("issues"))
 
 
 @_query

@@ -185,14 +185,30 @@ def test_cpi(spark):
     assert got == {2024: (308.5, 4), 2026: (9.0, 4)}
 
 
+def _answer(*provisions, **more):
+    return json.dumps({"bill": {"identifier": "H.R. 1", "classification": "regular", "fiscal_years": [2024], "divisions": ["A"]}, "provisions": list(provisions), "summary": {"total_provisions": 0}} | more)
+
+
 def test_lenient(spark):
-    answer = 'Sure:\n```json\n{"provisions": [{"provision_type": "novel", "amount": {"value": {"kind": "specific", "dollars": "$1,234"}, "semantics": "x"}}, 5, {"provision_type": "rider", "availability": {"a": 1}}]}\n```'
-    rows = lenient.provisions(spark.createDataFrame([("k", answer), ("bad", "nothing")], "k string, t string"), "k", "t").cache()
-    got = {r.ord: r for r in rows.collect()}
-    assert (got[0].provision_type, got[0].llm_classification, got[0].amount.dollars, got[0].amount.coerced) == ("other", "novel", 1234, True)
-    assert got[1].failed and got[2].provision_type == "rider" and json.loads(got[2].availability) == {"a": 1}
-    report = lenient.report(rows, "k").first()
-    assert (report.provisions_parsed, report.provisions_failed, report.unknown_provision_types, report.type_coercions) == (2, 1, 1, 1)
+    given = {
+        "fence": 'Sure:\n```json\n' + _answer({"provision_type": "novel", "amount": {"dollars": "$1,234", "semantics": "x"}, "own": [1]}, 5, {"provision_type": "appropriation", "section": "SEC. 1", "availability": {"a": 1}}) + "\n```",
+        "cr": _answer({"provision_type": "cr_substitution", "new_amount": {"dollars": 5, "semantics": "new_budget_authority", "text_as_written": "$5"}, "old_amount": {"dollars": 7}, "confidence": "0.5"}),
+        "none": "nothing", "list": "[]", "bill": json.dumps({"summary": {}, "provisions": []}), "late": _answer(summary=3), "empty": _answer(),
+    }
+    rows = lenient.provisions(spark.createDataFrame(list(given.items()), "k string, t string"), "k", "t").cache()
+    got = {(r.k, r.ord): r for r in rows.collect()}
+    first, lost, third = (got["fence", i] for i in range(3))
+    assert (first.provision_type, first.llm_classification, first.amounts[0].dollars, first.metadata, first.type_coercions) == ("other", "novel", 1234, {"own": "[1]"}, 1)
+    assert lost.failed and lost.warning == "Provision 1: provision not an object" and lost.provision_type is None
+    assert (third.availability.kind, json.loads(third.availability.text), third.amount.dollars, third.amount.semantics, third.warning) == ("other", {"a": 1}, 0, "indefinite", "SEC SEC. 1: missing amount on appropriation")
+    swap = got["cr", 0]
+    assert (swap.new_amount.dollars, swap.new_amount.text_as_written, swap.old_amount.dollars, swap.amount, swap.confidence, swap.null_to_default) == (5, "$5", 7, None, 0.5, 2)
+    assert {k: got[k, None].error for k in ("none", "list", "bill", "late")} == {"none": "Answer is not JSON", "list": "Expected root object", "bill": "Missing 'bill'", "late": "summary not an object"}
+    report = {r.k: r for r in lenient.report(rows, "k").collect()}
+    assert "empty" not in report  # nothing to report
+    r = report["fence"]
+    assert (r.provisions_parsed, r.provisions_failed, r.unknown_provision_types, r.type_coercions, len(r.warnings)) == (2, 1, 1, 1, 2)
+    assert report["none"].error and report["none"].provisions_parsed == 0
 
 
 BILL = '<!DOCTYPE bill [<!ENTITY x "y">]><bill><form><legis-num>H.R. 1</legis-num></form><legis-body><section><enum>1.</enum><header>Short</header><text>Before <short-title>An Act</short-title>.</text></section><division><enum>A</enum><header>First</header><title><enum>I</enum><header>Gen</header><section><enum>1.</enum><text>A <quote>b</quote> c.</text></section><section><enum>2.</enum><text>More of it.</text></section></title><title><enum>II</enum><appropriations-small><header>Pay</header><text>For pay, $5.</text></appropriations-small></title><section><enum>9</enum><text>end</text></section></division><division><enum>B</enum><header>Sec</header><text>x</text></division><section><enum>3.</enum><text>After.</text></section></legis-body></bill>'
@@ -244,9 +260,6 @@ def test_small_helpers(spark, tmp_path):
     assert spark.range(1).select(congress_of(F.lit("BILLS-118hr1enr.xml")).alias("x")).first().x == 118
     got = spark.range(1).select(xml_context(F.lit("<a><header>Top</header><text>For  pay, $5.</text></a>"), F.lit("pay")).alias("x")).first().x
     assert got == "## Top\nFor pay, $5."
-    v = spark.createDataFrame([('{"limit": {"percentage": 5}, "earmarks": [{"recipient": "r"}], "references": 3}',)], "t string").select(F.parse_json("t").alias("v"))
-    row = v.select(lenient.transfer_limit(F.col("v")).alias("l"), lenient.nested(F.col("v"), "earmarks", "struct<recipient:string,location:string>").alias("e"), lenient.nested(F.col("v"), "references", "struct<x:string>").alias("r")).first()
-    assert (row.l.kind, row.l.value, row.e[0].recipient, row.r) == ("percentage", 5.0, "r", [])
     rows = spark.createDataFrame([("H.R. 1", 3, None, 0.5, 'a "b", c')], "identifier string, provision_index long, amount_status string, confidence double, raw_text string")
     sinks.write_csv(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
