@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import delta_pct, dollars, inflation_flag, is_budget_authority, real_delta_pct
 from ..functions.text import normalized_account
+from .containment import either
 
 GROUPS, ALIASES = "ord int, canonical string, member string", "ord int, canonical string, alias string"
 
@@ -105,14 +106,16 @@ def rescued_by_code(rows: DataFrame, base_codes: DataFrame, current_codes: DataF
 def relabelled_by_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     """OP-JOIN-08: an account on one side becomes *linked* where a link's label and its name contain one another.
 
-    ``links`` (source_label, target_label) holds accepted links whose ends lie in both compared sets; it is a user's
-    list, so it is broadcast only below Spark's own threshold and else joined as it is. Only the status changes.
+    ``links`` (source_label, target_label) holds accepted links whose ends lie in both compared sets. Names and labels meet
+    as ``containment.either`` says. Only the status changes.
     """
     orphan = F.col("status").isin("only in base", "only in current")
-    name = F.lower("account_name")
-    labels = links.select(F.explode(F.array(F.lower("source_label"), F.lower("target_label"))).alias("__l")).where("__l <> ''").distinct()
-    hit = rows.where(orphan).select("k_agency", "k_account", name.alias("__n")).join(labels, F.contains("__l", "__n") | F.contains("__n", "__l")).select("k_agency", "k_account").distinct().withColumn("__hit", F.lit(True))
-    return rows.join(hit, ["k_agency", "k_account"], "left").withColumn("status", F.when(F.col("__hit") & orphan, "linked").otherwise(F.col("status"))).drop("__hit")
+    rows = rows.withColumn("__n", F.when(orphan, F.lower("account_name")))
+    labels = links.select(F.explode(F.array(F.lower("source_label"), F.lower("target_label"))))
+    hit = either(rows.select("__n"), labels).select(F.col("name").alias("__n"), F.lit(True).alias("__hit")).distinct()
+    # an orphan without a name is within any label
+    named = F.coalesce("__hit", (F.col("__n") == "") & F.lit(not labels.where("col <> ''").isEmpty()))
+    return rows.join(hit, "__n", "left").withColumn("status", F.when(named, "linked").otherwise(F.col("status"))).drop("__hit", "__n")
 
 
 def cross_type_warning(base: DataFrame, current: DataFrame) -> str | None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import suggestion_hash
 from ..functions.money import is_budget_authority
 from ..functions.text import preposition_variant, prefix_expansion, us_abbreviation
+from .containment import either
 
 GENERIC_AGENCIES = 5  # an account under so many agencies says nothing
 
@@ -84,7 +85,9 @@ def merged(groups: list[tuple[str, list[str]]], new: list[tuple[str, list[str]]]
 
 def clusters(view: DataFrame, suggestions: DataFrame) -> DataFrame:
     """OP-JOIN-22: per suggestion the provisions of its agencies whose account and an example contain one another; two at least."""
-    agencies = suggestions.select("hash", "example_accounts", F.explode(F.array(F.lower("canonical"), F.lower("member"))).alias("k"))
-    rows = view.where("account_name <> ''").withColumn("k", F.lower("agency")).join(agencies, "k").withColumn("n", F.lower("account_name"))
-    near = rows.where(F.exists("example_accounts", lambda e: F.contains(F.col("n"), e) | F.contains(e, F.col("n"))))
-    return near.groupBy("hash").agg(F.count("*").alias("provisions"), F.array_sort(F.collect_set("agency")).alias("agencies")).where("provisions >= 2")
+    agencies = suggestions.select("hash", F.explode(F.array(F.lower("canonical"), F.lower("member"))).alias("k")).distinct()
+    examples = suggestions.select("hash", F.explode("example_accounts").alias("label"))
+    rows = view.where("account_name <> ''").select("agency", F.lower("agency").alias("k"), F.lower("account_name").alias("name"))
+    counted = rows.groupBy("agency", "k", "name").agg(F.count("*").alias("n")).join(agencies, "k")
+    wanted = either(counted.select("name"), examples.select("label")).join(examples, "label").select("hash", "name").distinct()
+    return counted.join(wanted, ["hash", "name"]).groupBy("hash").agg(F.sum("n").alias("provisions"), F.array_sort(F.collect_set("agency")).alias("agencies")).where("provisions >= 2")

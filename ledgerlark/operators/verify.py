@@ -6,7 +6,7 @@ Per bill: ``claims`` (key, provision_index, text_as_written, raw_text), ``source
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable, preview, spaceless
@@ -48,8 +48,24 @@ def accounted(checks: DataFrame, sources: DataFrame, refs: DataFrame, key: str =
     hit = refs.join(checks.where("matches > 0").select(key, F.col("text_as_written").alias("amount")).distinct(), [key, "amount"], "left_semi").select(key, "position")
     plain = checks.where("matches = 0 and status = 'verified'").select(key, "text_as_written").distinct().join(sources, key)
     placed = plain.select(key, "text_as_written", F.expr("octet_length(left(source, greatest(locate(text_as_written, source) - 1, 0)))").alias("at"))
-    near = placed.join(refs.select(key, "position"), key).groupBy(key, "text_as_written").agg(F.min_by("position", F.struct(F.abs(F.col("position") - F.col("at")), "position")).alias("position")).select(key, "position")
-    return hit.unionByName(near).distinct()
+    return hit.unionByName(nearest(placed, refs, key).select(key, "position")).distinct()
+
+
+def nearest(placed: DataFrame, refs: DataFrame, key: str = "bill_dir") -> DataFrame:
+    """OP-JOIN-18: (key, at, position) for each place ``at``: the nearest position of the same key, the first of equals.
+
+    An as-of merge: places and positions stand in one sorted run per key; the last position up to a place and the first
+    from it on are the only ones to compare. Keys without positions have no row.
+    """
+    wanted = placed.select(key, F.col("at").cast("long").alias("at")).distinct()
+    there = refs.join(wanted.select(key).distinct(), key, "left_semi").select(key, F.col("position").cast("long").alias("position")).distinct()
+    run = wanted.select(key, "at", F.lit(None).cast("long").alias("position"), F.col("at").alias("__o")).unionByName(there.select(key, F.lit(None).cast("long").alias("at"), "position", F.col("position").alias("__o")))
+    order = Window.partitionBy(key).orderBy("__o")
+    before = F.last("position", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.last("position", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("__o")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = run.withColumns({"__b": before, "__a": after}).where("at is not null")
+    near = F.when(F.col("__a").isNull() | (F.col("at") - F.col("__b") <= F.col("__a") - F.col("at")), F.col("__b")).otherwise(F.col("__a"))
+    return both.select(key, "at", near.alias("position")).where("position is not null")
 
 
 def completeness(refs: DataFrame, covered: DataFrame, keys: DataFrame, key: str = "bill_dir") -> DataFrame:

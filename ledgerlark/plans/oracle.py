@@ -67,7 +67,12 @@ words AS (SELECT bill_dir, unnest(regexp_extract_all(' ' || replace(source, ' ',
 refs AS (SELECT bill_dir, amount, count(*) AS n FROM words GROUP BY ALL),
 chk AS (SELECT c.bill_dir, c.provision_index, taw, coalesce(n, 0) AS m, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 OR contains(source, taw) THEN 'verified' ELSE 'not_found' END AS status
   FROM claims c JOIN docs d ON c.bill_dir = d.bill_dir LEFT JOIN refs r ON r.bill_dir = c.bill_dir AND r.amount = taw),
-cov AS (SELECT r.bill_dir, CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN (r.bill_dir, r.amount) IN (SELECT bill_dir, taw FROM chk WHERE m > 0) THEN n ELSE 0 END) AS BIGINT) AS acc FROM refs r GROUP BY 1)
+tokens AS (SELECT bill_dir, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT bill_dir, string_split_regex(source, '[ \n]') AS w FROM docs)),
+places AS (SELECT bill_dir, token, position FROM (SELECT *, CAST(sum(strlen(token) + 1) OVER (PARTITION BY bill_dir ORDER BY i) - strlen(token) - 1 AS BIGINT) AS position FROM tokens) WHERE regexp_full_match(token, '[A-Z][a-z]+')),
+plain AS (SELECT DISTINCT c.bill_dir, taw, strlen(substr(source, 1, greatest(instr(source, taw) - 1, 0))) AS spot FROM chk c JOIN docs d ON c.bill_dir = d.bill_dir WHERE m = 0 AND status = 'verified'),
+hits AS (SELECT bill_dir, position FROM places WHERE (bill_dir, token) IN (SELECT bill_dir, taw FROM chk WHERE m > 0)
+  UNION SELECT p.bill_dir, arg_min(q.position, (abs(q.position - spot), q.position)) FROM plain p JOIN places q ON p.bill_dir = q.bill_dir GROUP BY p.bill_dir, taw),
+cov AS (SELECT bill_dir, count(DISTINCT position) AS total, count(DISTINCT CASE WHEN (bill_dir, position) IN (SELECT bill_dir, position FROM hits) THEN position END) AS acc FROM places GROUP BY 1)
 """
 
 _RULES = [("department of defense", "defense"), ("energy and water", "energy_water"), ("science, and related agencies", "cjs"), ("homeland security", "homeland_security"), ("continuing appropriations", "continuing_resolution"), ("further continuing", "continuing_resolution"), ("other matters", "other")]

@@ -385,7 +385,7 @@ def verify_amounts(spark, d):
 def completeness(spark, d):
     claims, docs = _pairs(spark, d)
     refs = _refs(docs)
-    covered = verify.accounted(verify.amounts(claims, docs, refs).where("matches > 0"), docs, refs)
+    covered = verify.accounted(verify.amounts(claims, docs, refs), docs, refs)
     return verify.completeness(refs, covered, docs.select("bill_dir")).withColumn("completeness_pct", F.round("completeness_pct", 6))
 
 
@@ -393,7 +393,7 @@ def completeness(spark, d):
 def unaccounted(spark, d):
     claims, docs = _pairs(spark, d)
     refs = _refs(docs)
-    covered = verify.accounted(verify.amounts(claims, docs, refs).where("matches > 0"), docs, refs)
+    covered = verify.accounted(verify.amounts(claims, docs, refs), docs, refs)
     return verify.unaccounted(refs, covered).groupBy("bill_dir").agg(F.count("*").alias("n"))
 
 

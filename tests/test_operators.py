@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import accounts, classify, compare, entities, inflation, lenient, links, model, repair, reports, search, summary, text, verify
+from ledgerlark.operators import accounts, classify, compare, containment, entities, inflation, lenient, links, model, repair, reports, search, summary, text, verify
 from ledgerlark.sources import bills as source
 from ledgerlark.sources import xml
 
@@ -308,3 +308,30 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select max(rate) from rates").first()[0] == 25
+
+
+@pytest.mark.parametrize("sent_bytes", [1_000_000, 0])
+def test_containment(spark, sent_bytes):
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    names = [" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(80)] + ["", None, "aaaaaaaaaaaa", "aaaaaaaaaaaa"]
+    labels = words[:30] + [" ".join(r.choice(words) for _ in range(2)) for _ in range(30)] + ["", None, "a", "aa", "aaa", "a" * 30]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    got = containment.holding(frame(names), frame(labels), sent_bytes).collect()
+    full = [x for x in dict.fromkeys(names) if x], [x for x in dict.fromkeys(labels) if x]
+    assert sorted(map(tuple, got)) == sorted((n, p) for n in full[0] for p in full[1] if p in n)
+    both = containment.either(frame(names), frame(labels), sent_bytes).collect()
+    assert sorted(map(tuple, both)) == sorted((n, p) for n in full[0] for p in full[1] if p in n or n in p)
+
+
+def test_nearest(spark):
+    import random
+
+    r = random.Random(8)
+    refs = [(k, r.randint(0, 60)) for k in "ab" for _ in range(12)] + [("d", 5)]
+    places = [(k, at) for k in "abc" for at in range(0, 70, 3)] + [("a", 6)]
+    got = verify.nearest(spark.createDataFrame(places, "bill_dir string, at long"), spark.createDataFrame(refs, "bill_dir string, position long")).collect()
+    want = {(k, at): min((abs(p - at), p) for x, p in refs if x == k)[1] for k, at in places if k in "ab"}
+    assert {(g.bill_dir, g.at): g.position for g in got} == want and len(got) == len(want)
