@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import drop_stored, map_batches, stored
 from .components import components
 
 #: Bytes of a leaf's vectors, intervals that the driver looks at, vectors that the directions are found from,
@@ -106,7 +106,12 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return lab
 
 
-def label(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9) -> DataFrame:
+def _name(vector: Column, salt: int) -> Column:
+    """A 64-bit hash of a vector; the classes of equal names are checked by a second one."""
+    return F.xxhash64(vector) if salt == 0 else F.xxhash64(F.lit(salt), vector)
+
+
+def label(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, salt: int = 0) -> DataFrame:
     """Per vector: vec_id, n_links (other vectors linked directly), component_id (smallest reachable vec_id), kept.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing and are kept. Shorter
@@ -116,9 +121,13 @@ def label(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     fit = F.col("e").isNotNull() & F.exists("e", lambda x: x != 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.withColumn("node", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("e")))
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e")), "vectors")
-    about = classes.agg(F.count("*").alias("rows"), F.max(F.size("e")).alias("dims")).first()
+    rows = rows.withColumn("node", F.when(F.coalesce(fit, F.lit(False)), _name(F.col("e"), salt)))
+    second = _name(F.col("e"), ~salt)
+    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("e").alias("e"), (F.min(second) != F.max(second)).alias("clash")), "vectors")
+    about = classes.agg(F.count("*").alias("rows"), F.max(F.size("e")).alias("dims"), F.bool_or("clash").alias("clash")).first()
+    if about.clash:  # two vectors of one name: other names for all
+        drop_stored(classes)
+        return label(vectors, vec_id=vec_id, embedding=embedding, cosine=cosine, salt=salt + 1)
     if about.rows:
         counts, links = _join(classes, about.rows, about.dims, cosine)
         comps = components(links)

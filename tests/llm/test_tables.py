@@ -186,6 +186,29 @@ def test_vectors(spark, monkeypatch, leaf, spans):
     assert vectordup.label(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_name(spark, monkeypatch):
+    """Two vectors whose names collide are told apart by other names."""
+    real = vectordup._name
+    monkeypatch.setattr(vectordup, "_name", lambda v, salt: F.lit(5).cast("long") if salt == 0 else real(v, salt))
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.1]), (4, [1.0, 0.0])]
+    got = vectordup.label(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((str(x.vec_id), x.n_links, str(x.component_id)) for x in got) == brute_links(rows)
+
+
+def test_vectors_many_links(spark, monkeypatch):
+    """Clusters in 64 dimensions with thousands of links over many leaves: none is lost."""
+    monkeypatch.setattr(vectordup, "LEAF_BYTES", 64 * 4 * 64)
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(25, 64))
+    x = np.concatenate([c + r.normal(size=(24, 64)) * s for c, s in zip(centres, np.linspace(0.05, 0.5, 25), strict=True)] + [r.normal(size=(200, 64))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = ((u @ u.T) >= 0.9).sum(axis=1) - 1
+    got = {g.vec_id: g.n_links for g in vectordup.label(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert want.sum() > 4000 and got == dict(enumerate(want.tolist()))
+
+
 def test_grid_skips():
     lo = np.array([[float(i)] for i in range(64)])
     pairs = vectordup.joined_intervals(lo, lo + 0.5, 0.6)
