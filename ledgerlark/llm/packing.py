@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import slices, stored
 
+#: Texts tokenised at a time: their ids are held beside the encoder's memory of words.
+TEXTS = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
@@ -67,7 +69,7 @@ def pieces(docs: DataFrame, path: str, *, sequence: int = 2048, end: int = 1, do
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = tokens.memory(path, True), 0
-        for b in slices(batches, tokens.TEXTS):
+        for b in slices(batches, TEXTS):
             rows, kept, at = [], [], 0
             ids, counts = encoder.encode(b.column(1), end)
             data = ids.tobytes()
