@@ -63,6 +63,20 @@ def in_subcommittee(view: DataFrame, jurisdictions: DataFrame, slug: str) -> Dat
     return view.join(F.broadcast(wanted), (view.bill_dir == wanted.bill_dir) & (F.upper(view.division) == F.col("__d")), "left_semi")
 
 
+def without_metadata(bills: DataFrame) -> DataFrame:
+    """OP-FLT-08: bills that a subcommittee can't be looked up in, with the reason."""
+    reason = F.concat("identifier", F.lit(": --subcommittee requires bill metadata; enrich the folder first"))
+    return bills.where("meta is null").select("bill_dir", "identifier", reason.alias("error"))
+
+
+def of_subcommittee(view: DataFrame, bills: DataFrame, jurisdictions: DataFrame, slug: str) -> DataFrame:
+    """OP-FLT-08, as summaries and comparisons want it: an error names a bill without metadata."""
+    lacking = without_metadata(bills).orderBy("bill_dir").first()
+    if lacking is not None:
+        raise ValueError(lacking.error)
+    return in_subcommittee(view, jurisdictions, slug)
+
+
 def jurisdiction_of(slug: str) -> str:
     """OP-CLS-05: a slug's stored name."""
     name = slug.lower().replace("-", "_")

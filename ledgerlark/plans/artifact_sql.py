@@ -61,6 +61,9 @@ SQL |= {
       b AS (SELECT fas_code, min(title) AS title, 'discontinued' AS status, NULL, NULL, NULL, NULL FROM t WHERE k % 20 >= 10 AND fas_code NOT IN (SELECT fas_code FROM a) GROUP BY 1)
       SELECT *, split_part(fas_code, '-', 1) AS agency_code, split_part(fas_code, '-', 2) AS main_account, ['general', 'trust', 'special', 'deposit', 'own'][length(title) % 5 + 1] AS fund FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
     "registry_file": _on_bridge("SELECT fas_code, CAST(sum(coalesce(dollars, 0)) AS BIGINT) AS total_dollars, string_agg(DISTINCT CAST(fy AS VARCHAR), ',' ORDER BY CAST(fy AS VARCHAR)) AS years FROM mapped WHERE fas_code IS NOT NULL GROUP BY 1"),
+    "tas_file": _on_bridge(f"SELECT {_DIR} AS bill_dir, CASE WHEN fas_code IS NULL THEN 'unmatched' ELSE 'verified' END AS confidence, count(*) AS n, CAST(sum(provision_index) AS BIGINT) AS indices, count(DISTINCT fas_code) AS codes, CAST(coalesce(sum(dollars), 0) AS BIGINT) AS dollars FROM mapped WHERE bill_dir NOT LIKE '1995%' GROUP BY ALL"),
+    "missing_metadata": _on_bridge(f"SELECT {_DIR} AS bill_dir, identifier || ': --subcommittee requires bill metadata; enrich the folder first' AS error FROM provisions WHERE fy % 2 <> 0 GROUP BY ALL"),
+    "subcommittee_files": _on_bridge(f"SELECT {_DIR} AS bill_dir, division, count(*) AS n, CAST(sum(provision_index) AS BIGINT) AS indices FROM provisions WHERE fy % 2 = 0 AND division = 'B' GROUP BY ALL"),
     "rules_file": """SELECT CAST(n_regionkey AS INTEGER) AS ord, 'R' || n_regionkey AS canonical, n_name AS name, 'group' AS kind FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'R' || n_regionkey, 'R' || n_regionkey, 'group' FROM nation
       UNION ALL SELECT n_regionkey, 'R' || n_regionkey, n_name, 'alias' FROM nation""",
     "links_file": _VEC + _LINKS + """, chosen AS (SELECT * FROM link WHERE confidence = 'verified'), f AS (

@@ -236,11 +236,34 @@ def registry_file(spark, d):
     """OP-SRC-10: authorities written to their file and read back."""
     mapped = _mapped(spark, d)
     made = accounts.authorities(mapped, bridge.fas_accounts(spark, d)).select("fas_code", "agency_code", "fas_title", "agency_name", "total_dollars", "fiscal_years")
-    path = f"{shared.folder(spark)}/ledgerlark-bills/registry-{uuid.uuid4().hex}"
-    made.select(F.to_json(F.struct(F.array(F.struct(*made.columns)).alias("authorities"))).alias("value")).write.text(path)
-    from .. import schemas
+    file = made.agg(F.to_json(F.struct(F.collect_list(F.struct(*made.columns)).alias("authorities"))).alias("value"))
+    return sources.authorities(spark, _text(spark, file, "registry")).select("fas_code", "total_dollars", F.array_join("fiscal_years", ",").alias("years"))
 
-    return spark.read.schema(schemas.AUTHORITIES).json(path).select(F.inline("authorities")).select("fas_code", "total_dollars", F.array_join("fiscal_years", ",").alias("years"))
+
+@_query
+def tas_file(spark, d):
+    """OP-SRC-08: account codes written beside the bills and read back; a year's files are broken and left out."""
+    fields = F.struct("provision_index", "account_name", "agency", "dollars", "fas_code", "fas_title", "confidence", "method")
+    per = _mapped(spark, d).groupBy(_dir().alias("bill_dir")).agg(F.first("identifier").alias("identifier"), F.collect_list(fields).alias("mappings"))
+    text = F.to_json(F.struct(F.col("bill_dir"), F.col("identifier").alias("bill_identifier"), "mappings"))
+    root = f"{shared.folder(spark)}/ledgerlark-bills/{uuid.uuid4().hex}"
+    sinks.write_artifact(per.select("bill_dir", F.when(F.col("bill_dir").startswith("1995"), F.left(text, F.lit(50))).otherwise(text).alias("value")), root, "tas_mapping.json")
+    rows = sources.tas_mappings(spark, root)
+    return rows.groupBy("bill_dir", "confidence").agg(F.count("*").alias("n"), F.sum("provision_index").alias("indices"), F.count_distinct("fas_code").alias("codes"), F.coalesce(F.sum("dollars"), F.lit(0)).alias("dollars"))
+
+
+@_query
+def missing_metadata(spark, d):
+    """OP-FLT-08: the bills for which a subcommittee can't be asked."""
+    return search.without_metadata(_bills(spark, d)).select("bill_dir", "error")
+
+
+@_query
+def subcommittee_files(spark, d):
+    """OP-FLT-08, OP-JOIN-03: provisions of a subcommittee's divisions, by the metadata files of bills that have one."""
+    bills = _bills(spark, d).where("meta is not null")
+    rows = search.of_subcommittee(model.provisions(bills), bills, model.jurisdictions(bills).withColumn("jurisdiction", F.lower("jurisdiction")), "jb")
+    return rows.groupBy("bill_dir", "division").agg(F.count("*").alias("n"), F.sum("provision_index").alias("indices"))
 
 
 @_query

@@ -79,6 +79,11 @@ def _one(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def tas_mappings(spark: SparkSession, root: str) -> DataFrame:
+    """OP-SRC-08: the account codes of provisions from the bills' ``tas_mapping.json``, where there is one; the folder names the bill."""
+    return artifact(spark, root, "tas_mapping.json", schemas.TAS_MAPPING.removeprefix("bill_dir string, ")).select("bill_dir", "bill_identifier", F.inline("mappings"))
+
+
 def fas_reference(spark: SparkSession, path: str) -> DataFrame:
     """OP-SRC-09: accounts, active ones first, with their ``status``."""
     file = _one(spark, path, schemas.FAS_REFERENCE)

@@ -335,3 +335,12 @@ def test_nearest(spark):
     got = verify.nearest(spark.createDataFrame(places, "bill_dir string, at long"), spark.createDataFrame(refs, "bill_dir string, position long")).collect()
     want = {(k, at): min((abs(p - at), p) for x, p in refs if x == k)[1] for k, at in places if k in "ab"}
     assert {(g.bill_dir, g.at): g.position for g in got} == want and len(got) == len(want)
+
+
+def test_subcommittee_without_metadata(spark):
+    bills = spark.createDataFrame([("a", "H.R. 1", "x"), ("b", "H.R. 2", None)], "bill_dir string, identifier string, meta string")
+    view = spark.createDataFrame([("a", "B"), ("b", "B")], "bill_dir string, division string")
+    parts = spark.createDataFrame([("a", "b", "defense")], "bill_dir string, division string, jurisdiction string")
+    with pytest.raises(ValueError, match="H.R. 2: --subcommittee requires bill metadata"):
+        search.of_subcommittee(view, bills, parts, "defense")
+    assert [r.bill_dir for r in search.of_subcommittee(view, bills.where("meta is not null"), parts, "defense").collect()] == ["a"]
