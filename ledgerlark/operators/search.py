@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quality
@@ -91,3 +95,52 @@ def similar(vectors: DataFrame, query: list[float], view: DataFrame, top: int, c
     scored = rows.join(vectors, ["bill_dir", "provision_index"]).withColumn("__s", dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in query])))
     best = scored.orderBy(F.desc("__s"), "bill_dir", "provision_index").limit(top)
     return best.withColumn("similarity", F.round("__s", 3)).drop("__s", "vec")
+
+
+def similar_many(vectors: DataFrame, searches: DataFrame, top: int, block_bytes: int = 32_000_000) -> DataFrame:
+    """OP-SORT-04/05 for many vectors at once: source_dir, source_index, rank, bill_dir, provision_index, similarity.
+
+    ``searches`` (source_dir, source_index, vec) go to the tasks in blocks of at most ``block_bytes``; a task multiplies
+    its rows of ``vectors`` (bill_dir, provision_index, vec) by a block and keeps the ``top`` of each search, which a window
+    then merges. A vector doesn't find itself. Similarities count to 9 places, equal ones by key; null vectors and those of
+    another length than the block's first find nothing and aren't found.
+    """
+    known = searches.where("vec is not null").select("source_dir", "source_index", F.col("vec").cast("array<double>").alias("vec"))
+    held = known.agg(F.sum(F.size("vec") * 8 + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(held / block_bytes))
+    parts = [_nearest(vectors, known.where(F.pmod(F.xxhash64("source_dir", "source_index"), F.lit(blocks)) == k).collect(), top) for k in range(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = Window.partitionBy("source_dir", "source_index").orderBy(F.desc("similarity"), "bill_dir", "provision_index")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("source_dir", "source_index", "rank", "bill_dir", "provision_index", "similarity")
+
+
+def _nearest(vectors: DataFrame, block: list, top: int) -> DataFrame:
+    """The best of each partition for a block of searches."""
+    dims = len(block[0].vec) if block else 0
+    block = [r for r in block if len(r.vec) == dims]
+    sent = vectors.sparkSession.sparkContext.broadcast(([(r.source_dir, r.source_index) for r in block], np.array([r.vec for r in block]).reshape(len(block), dims)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, x = sent.value
+        best: list[list[tuple]] = [[] for _ in sources]  # (-similarity, bill_dir, provision_index), in order
+        least = np.full(len(sources), -np.inf)
+        step = max(1, 8_000_000 // max(len(sources), 1))  # scores at a time
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                scores = np.round(x @ np.array(part.column(2).to_pylist()).reshape(len(keys), dims).T, 9)
+                for i in np.flatnonzero((scores >= least[:, None]).any(axis=1)):
+                    new = [(-scores[i, j], *keys[j]) for j in np.flatnonzero(scores[i] >= least[i]) if keys[j] != sources[i]]
+                    best[i] = sorted(best[i] + new)[:top]
+                    if len(best[i]) == top:
+                        least[i] = -best[i][-1][0]
+        rows = [(*source, d, n, -s) for source, found in zip(sources, best, strict=True) for s, d, n in found]
+        names = ["source_dir", "source_index", "bill_dir", "provision_index", "similarity"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    fit = vectors.where(F.col("vec").isNotNull() & (F.size("vec") == dims)).select("bill_dir", F.col("provision_index").cast("long").alias("provision_index"), F.col("vec").cast("array<double>").alias("vec"))
+    return fit.mapInArrow(scan, "source_dir string, source_index long, bill_dir string, provision_index long, similarity double")

@@ -144,6 +144,9 @@ SQL: dict[str, str] = {
     "top_trends": _on_bridge("SELECT fas_code, fy, total_dollars FROM years WHERE fas_code IN (SELECT fas_code FROM years GROUP BY 1 ORDER BY sum(total_dollars) DESC, fas_code LIMIT 6) AND fy BETWEEN 1995 AND 2002 AND total_dollars > 0", _YEARS),
     "first_to_last": _on_bridge("SELECT *, round((last_dollars - first_dollars) / abs(first_dollars) * 100, 6) AS change_pct FROM (SELECT fas_code, arg_min(total_dollars, fy) AS first_dollars, arg_max(total_dollars, fy) AS last_dollars, min(fy) AS first_fy, max(fy) AS last_fy FROM years WHERE total_dollars <> 0 GROUP BY 1)", _YEARS),
     "similar_topn": _VEC + " SELECT CAST(e.label AS VARCHAR) AS bill_dir, e.vec_id AS provision_index, round(list_dot_product(e.v, me.v), 3) AS similarity FROM e, me WHERE e.vec_id <> 7 ORDER BY list_dot_product(e.v, me.v) DESC, 1, 2 LIMIT 20",
+    "similar_many": _VEC + """ SELECT source_dir, source_index, CAST(rank AS INTEGER) AS rank, bill_dir, provision_index, round(s, 6) AS similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY source_index ORDER BY s DESC, bill_dir, provision_index) AS rank FROM (
+      SELECT CAST(q.label AS VARCHAR) AS source_dir, q.vec_id AS source_index, CAST(e.label AS VARCHAR) AS bill_dir, e.vec_id AS provision_index, round(list_dot_product(e.v, q.v), 9) AS s FROM e, e q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 20""",
     "relate_tiers": _VEC + _RELATED + " SELECT tier, CAST(rank AS INTEGER) AS rank, CAST(label AS VARCHAR) AS bill_dir, vec_id AS provision_index, confidence, round(s, 6) AS similarity FROM ranked WHERE rank <= 10",
     "relate_timeline": _VEC + _RELATED + """ SELECT fy, CAST(sum(CASE WHEN timing = 'current_year' THEN dollars ELSE 0 END) AS BIGINT) AS current_year_ba, CAST(sum(CASE WHEN timing = 'advance' THEN dollars ELSE 0 END) AS BIGINT) AS advance_ba, CAST(sum(CASE WHEN timing = 'supplemental' THEN dollars ELSE 0 END) AS BIGINT) AS supplemental_ba, CAST(count(DISTINCT label) AS INTEGER) AS bills
       FROM (SELECT fy, timing, dollars, label FROM ranked WHERE tier = 'same_account' AND rank <= 10 UNION ALL SELECT fy, timing, dollars, label FROM me) WHERE dollars IS NOT NULL GROUP BY 1""",

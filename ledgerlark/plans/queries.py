@@ -308,6 +308,14 @@ def similar_topn(spark, d):
     return search.similar(_vectors(spark, d), list(me.embedding), _about(spark, d), 20, exclude=(str(me.label), 7)).select("bill_dir", "provision_index", "similarity")
 
 
+@_query
+def similar_many(spark, d):
+    """OP-SORT-04/05, SRCH-02: all ids divisible by 20 against all rows, 20 each."""
+    rows = _vectors(spark, d)
+    searches = rows.where("provision_index % 20 = 0").withColumnsRenamed({"bill_dir": "source_dir", "provision_index": "source_index"})
+    return search.similar_many(rows, searches, 20).withColumn("similarity", F.round("similarity", 6))
+
+
 @_query
 def relate_tiers(spark, d):
     rows = links.related(_vectors(spark, d), _about(spark, d), str(_source(spark, d).label), 7, floor=0.1, high=0.2, uncertain=0.15)

@@ -344,3 +344,21 @@ def test_subcommittee_without_metadata(spark):
     with pytest.raises(ValueError, match="H.R. 2: --subcommittee requires bill metadata"):
         search.of_subcommittee(view, bills, parts, "defense")
     assert [r.bill_dir for r in search.of_subcommittee(view, bills.where("meta is not null"), parts, "defense").collect()] == ["a"]
+
+
+@pytest.mark.parametrize("block_bytes", [32_000_000, 300])
+def test_similar_many(spark, block_bytes):
+    import random
+
+    r = random.Random(2)
+    rows = [("b%d" % (k % 3), k, [float(r.randint(-2, 2)) for _ in range(4)]) for k in range(90)] + [("b0", 500, None), ("b0", 501, [1.0])]
+    df = spark.createDataFrame(rows, "bill_dir string, provision_index long, vec array<double>")
+    asked = df.where("provision_index % 7 = 0 or provision_index = 500").withColumnsRenamed({"bill_dir": "source_dir", "provision_index": "source_index"})
+    got = [tuple(x) for x in search.similar_many(df, asked, 5, block_bytes).collect()]
+    want = []
+    for d, k, v in rows[:90]:
+        if k % 7 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), e, j) for e, j, w in rows[:90] if (e, j) != (d, k))[:5]
+            want += [(d, k, n, e, j, -s) for n, (s, e, j) in enumerate(near, 1)]
+    assert sorted(got) == sorted(want)
+    assert search.similar_many(df, asked.limit(0), 5).count() == 0
