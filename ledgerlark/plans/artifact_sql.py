@@ -52,7 +52,7 @@ SQL |= {
     "xml_chunks": _on_bridge("""SELECT bill_dir, CAST(row_number() OVER (PARTITION BY bill_dir ORDER BY division, p) AS INTEGER) AS chunk, CASE p WHEN 7 THEN 'Z' || division WHEN 6 THEN division || '.' ELSE division || '.-' || title || CASE p WHEN 4 THEN 'a' WHEN 5 THEN 'b' ELSE '' END END AS label,
       CASE p WHEN 7 THEN 'Z' || division ELSE division || '.' END AS division, title, stop - strlen(text) AS start, stop AS "end", strlen(text) // 4 AS estimated_tokens, text FROM marked WHERE p BETWEEN 3 AND 7 AND bill_dir NOT LIKE '1996%'""", _MARKED),
     "xml_accounts": _on_bridge("SELECT bill_dir, division || '.' AS division, 1 AS accounts FROM sizes WHERE bill_dir NOT LIKE '1996%' UNION ALL SELECT bill_dir, 'Z' || division, 0 FROM sizes WHERE bill_dir NOT LIKE '1996%'", _SIZES),
-    "xml_contexts": _on_bridge("SELECT bill_dir, CASE WHEN bill_dir LIKE '1996%' THEN '' ELSE arg_min(n, division) || '. For pay and rent.' END AS context FROM sizes GROUP BY 1", _SIZES),
+    "xml_contexts": _on_bridge("SELECT bill_dir, CASE WHEN bill_dir NOT LIKE '1996%' THEN arg_min(n, division) || '. For pay and rent.' END AS context FROM sizes GROUP BY 1", _SIZES),
     "vector_files": "SELECT CAST(label AS VARCHAR) AS bill_dir, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS provision_index, 'm' AS model, CAST(len(embedding) AS INTEGER) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, round(CASE WHEN list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS unit_length FROM embeddings",
     "account_reference": """WITH f AS (SELECT lpad(CAST(n_regionkey AS VARCHAR), 3, '0') AS agency_code, n_nationkey * 400 AS m, n_name, n_nationkey AS k FROM nation)
       SELECT agency_code || '-' || lpad(CAST(m AS VARCHAR), 4, '0') AS fas_code, n_name AS fas_title, agency_code, CASE WHEN k % 5 < 4 THEN 'active' ELSE 'discontinued' END AS status, agency_code = '001' AS mine, agency_code = '001' AND k % 3 <> 0 AND m < 4000 AS general FROM f""",
