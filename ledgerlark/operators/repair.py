@@ -5,13 +5,17 @@ Bytes throughout, so that the invariant ``source[start:end] == text`` holds for
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shortest target, prefix lengths, substring offsets and lengths, and the length that is good enough.
-LEAST_TARGET, PREFIX, OFFSETS, SUBSTRING, ENOUGH = 150, (15, 80), 40, (15, 60), 40
+#: Shortest target, shortest piece, longest prefix, last substring offset, longest substring, and the length
+#: that is good enough.
+LEAST_TARGET, GRAM, PREFIX, OFFSETS, SUBSTRING, ENOUGH = 150, 15, 80, 40, 60, 40
+FEW = 64  # more places than these are searched by bytes
 _PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "—": "-", "–": "-", "‒": "-"}
 
 
@@ -45,74 +49,120 @@ def _span(source: bytes, start: int, length: int) -> tuple[int, int]:
     return start, end
 
 
-def _longest(raw: bytes, source: bytes, offset: int, least: int, most: int) -> tuple[int, int]:
-    """Length and place of the longest piece of ``raw`` from ``offset`` that the source holds. A piece is held if every
-    shorter one is, so the length is found by halving."""
-    lo, hi = 0, min(most, len(raw) - offset)
-    if hi < least or source.find(raw[offset : offset + least]) < 0:
-        return 0, -1
-    lo = least
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if source.find(raw[offset : offset + mid]) >= 0 else (lo, mid - 1)
-    while lo > least and not _boundary(raw, offset + lo):
-        lo -= 1
-    return (lo, source.find(raw[offset : offset + lo])) if _boundary(raw, offset + lo) else (0, -1)
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place on."""
+    n = max(len(data) - GRAM + 1, 0)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    eight = np.zeros(n + GRAM - 8, dtype=np.uint64)
+    for k in range(8):
+        eight |= data[k : k + len(eight)].astype(np.uint64) << np.uint64(8 * k)
+    return eight[:n] * np.uint64(0x9E3779B97F4A7C15) + eight[GRAM - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Source:
+    """A source and an index of it: the places of its runs of ``GRAM`` bytes in order of their hash, so that an excerpt
+    meets only places that share a run with it. Takes about 16 bytes a byte of the source. The index, the normalised
+    text and that text's index are built when a claim first needs them."""
+
+    def __init__(self, source: bytes) -> None:
+        self.bytes, self.data = source, np.frombuffer(source, dtype=np.uint8)
+
+    @cached_property
+    def _index(self) -> tuple[np.ndarray, np.ndarray]:
+        grams = _grams(self.data)
+        order = np.argsort(grams, kind="stable")
+        return grams[order], order
+
+    @cached_property
+    def normalised(self) -> tuple[Source, np.ndarray]:
+        plain, places = position_map(self.bytes)
+        return Source(plain), places
+
+    def places(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Of each hash the places where it begins, rising."""
+        keys, order = self._index
+        return [order[a:b] for a, b in zip(np.searchsorted(keys, grams), np.searchsorted(keys, grams, "right"), strict=True)]
+
+    def first(self, raw: bytes) -> int:
+        """The first place of ``raw``, or -1."""
+        if len(raw) < GRAM:
+            return self.bytes.find(raw)
+        at = self.places(_grams(np.frombuffer(raw[:GRAM], dtype=np.uint8)))[0]
+        if len(at) > FEW:
+            return self.bytes.find(raw, int(at[0]))
+        return next((int(p) for p in at if self.bytes.startswith(raw, int(p))), -1)
+
+    def longest(self, raw: bytes, offset: int, places: np.ndarray, most: int) -> tuple[int, int]:
+        """Length and first place of the longest piece of ``raw`` from ``offset`` that the source holds, ``GRAM`` bytes at
+        least and up to ``most``, ended between characters; ``places`` are those of its first ``GRAM`` bytes."""
+        firsts = []
+        for k, byte in enumerate(raw[offset : offset + most]):
+            places = places[places + k < len(self.data)]
+            places = places[self.data[places + k] == byte]
+            if not len(places):
+                break
+            firsts.append(int(places[0]))
+        length = len(firsts)
+        while length > GRAM and not _boundary(raw, offset + length):
+            length -= 1
+        return (length, firsts[length - 1]) if length >= GRAM and _boundary(raw, offset + length) else (0, -1)
 
 
-def locate(raw: bytes, source: bytes, mapped: tuple[bytes, np.ndarray]) -> tuple[str, int, int]:
+def locate(raw: bytes, source: Source) -> tuple[str, int, int]:
     """OP-REP-01: tier, start, end: exact, repaired_prefix, repaired_substring, repaired_normalized, else unverified."""
-    at = source.find(raw)
+    at = source.first(raw)
     if at >= 0:
         return "exact", at, at + len(raw)
     target = max(len(raw), LEAST_TARGET)  # so it may be longer than the excerpt (T-22)
-    length, at = _longest(raw, source, 0, *PREFIX)
-    if length:
-        return "repaired_prefix", *_span(source, at, target)
+    found = source.places(_grams(np.frombuffer(raw[: OFFSETS + GRAM], dtype=np.uint8)))  # of each offset that has a run
     best = (0, -1, 0)
-    for offset in range(min(OFFSETS, max(len(raw) - SUBSTRING[0], 0)) + 1):
-        if _boundary(raw, offset):
-            length, at = _longest(raw, source, offset, *SUBSTRING)
-            if length > best[0]:
-                best = (length, at, offset)
-            if best[0] >= ENOUGH:
-                break
+    for offset, places in enumerate(found):
+        if not len(places) or not _boundary(raw, offset):
+            continue
+        if offset == 0:
+            length, at = source.longest(raw, 0, places, PREFIX)
+            if length:
+                return "repaired_prefix", *_span(source.bytes, at, target)
+        length, at = source.longest(raw, offset, places, SUBSTRING)
+        if length > best[0]:
+            best = (length, at, offset)
+        if best[0] >= ENOUGH:
+            break
     if best[0]:
-        return "repaired_substring", *_span(source, max(best[1] - best[2], 0), target)
-    plain, places = mapped
+        return "repaired_substring", *_span(source.bytes, max(best[1] - best[2], 0), target)
+    plain, places = source.normalised
     wanted = position_map(raw)[0].strip()
-    at = plain.find(wanted) if wanted else -1
+    at = plain.first(wanted) if wanted else -1
     if at >= 0:
         start, end = int(places[at]), int(places[at + len(wanted)])
-        return "repaired_normalized", *_span(source, start, max(target, end - start))
+        return "repaired_normalized", *_span(source.bytes, start, max(target, end - start))
     return "unverified", -1, -1
 
 
-def repaired(claims: DataFrame, sources: DataFrame, key: str = "bill_dir") -> DataFrame:
+def repaired(claims: DataFrame, sources: DataFrame, key: str = "bill_dir", claims_per_task: int = 4096) -> DataFrame:
     """OP-REP-01/03: per provision tier, start, end and text (the source's own, the excerpt where nothing was found).
 
-    Empty excerpts are exact without a span. Claims meet their source in a cogroup per bill, so a source is mapped once;
-    each claim costs a bounded number of searches. A bill is one group, as its text is what all its claims need.
+    Empty excerpts are exact without a span; claims without a source are unverified. A bill's claims are dealt into parts
+    of about ``claims_per_task``, and each part meets its own copy of the source in a cogroup and indexes it once.
     """
     kind = claims.schema[key].dataType.simpleString()
 
-    def per_bill(c: pa.Table, s: pa.Table) -> pa.Table:
-        source = (s.column("source")[0].as_py() or "").encode() if s.num_rows else b""
-        mapped, rows = None, []
+    def per_part(c: pa.Table, s: pa.Table) -> pa.Table:
+        source, rows = Source((s.column("source")[0].as_py() or "").encode() if s.num_rows else b""), []
         for i, raw in zip(c.column("provision_index").to_pylist(), c.column("raw_text").to_pylist(), strict=True):
             raw = (raw or "").encode()
-            if not raw.strip():
-                rows.append((i, "exact", -1, -1, raw.decode()))
-                continue
-            if mapped is None:
-                mapped = position_map(source)
-            tier, start, end = locate(raw, source, mapped)
-            rows.append((i, tier, start, end, source[start:end].decode() if start >= 0 else raw.decode()))
+            tier, start, end = locate(raw, source) if raw.strip() else ("exact", -1, -1)
+            rows.append((i, tier, start, end, (source.bytes[start:end] if start >= 0 else raw).decode()))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table([c.column(key), *[pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[key, "provision_index", "match_tier", "start", "end", "text"])
 
-    left = claims.select(key, F.col("provision_index").cast("long").alias("provision_index"), "raw_text").groupBy(key)
-    out = left.cogroup(sources.select(F.col(key).alias("__key"), "source").groupBy("__key")).applyInArrow(per_bill, f"{key} {kind}, provision_index long, match_tier string, start long, end long, text string")
+    parts = claims.groupBy(F.col(key).alias("__bill")).agg(F.ceil(F.count("*") / claims_per_task).cast("int").alias("__parts"))
+    same = F.col("__bill").eqNullSafe(F.col("__key"))
+    left = claims.select(F.col(key).alias("__key"), key, F.col("provision_index").cast("long").alias("provision_index"), "raw_text").join(parts, same)
+    left = left.withColumn("__part", F.pmod(F.xxhash64("provision_index", "raw_text"), F.col("__parts")).cast("int")).drop("__bill", "__parts")
+    right = sources.select(F.col(key).alias("__key"), "source").join(parts, same).select("__key", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "source")
+    out = left.groupBy("__key", "__part").cogroup(right.groupBy("__key", "__part")).applyInArrow(per_part, f"{key} {kind}, provision_index long, match_tier string, start long, end long, text string")
     return out.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("start", "end")})
 
 

@@ -126,6 +126,13 @@ SQL |= {
     "extracted_chunks": "SELECT n_name AS bill_dir, CASE WHEN length(n_name) % 2 = 0 THEN CAST(length(n_name) AS VARCHAR) END AS answer, CASE WHEN length(n_name) % 2 = 1 THEN 'odd' END AS error FROM nation",
     "repaired_spans": "SELECT ['exact', 'repaired_prefix', 'unverified'][doc_id % 3 + 1] AS match_tier, CASE WHEN doc_id % 3 < 2 THEN true END AS holds, count(*) AS n FROM documents WHERE length(text) >= 400 GROUP BY ALL",
     "nearest_amounts": _on_bridge("SELECT bill_dir, pos + strlen(before) AS position FROM placed WHERE division = 'B'", _SIZES),
+    "repaired_tiers": """WITH numbered AS (SELECT l_orderkey AS bill_dir, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, * FROM lineitem),
+      rows_ AS (SELECT bill_dir, n, (bill_dir + n) % 5 AS k, 'SEC. ' || n || '. For part ' || l_partkey || ' of ' || l_suppkey || ', $' || CAST(round(l_extendedprice * 100) AS BIGINT) || ', available until spent.' AS s FROM numbered),
+      docs AS (SELECT bill_dir, string_agg(s, chr(10) ORDER BY n) AS source FROM rows_ GROUP BY 1),
+      claimed AS (SELECT *, sum(strlen(s) + 1) OVER (PARTITION BY bill_dir ORDER BY n) - strlen(s) - 1 AS pos, CASE k WHEN 0 THEN s WHEN 1 THEN s || ' (as amended)' WHEN 2 THEN 'zzzzzzzzzz' || s WHEN 3 THEN replace(s, ' ', '  ') ELSE reverse(s) END AS raw FROM rows_ JOIN docs USING (bill_dir)),
+      spans AS (SELECT *, CAST(CASE WHEN k < 4 THEN greatest(pos - CASE WHEN k = 2 THEN 10 ELSE 0 END, 0) END AS BIGINT) AS a FROM claimed),
+      ends AS (SELECT *, CASE WHEN k = 0 THEN a + strlen(raw) WHEN k < 4 THEN least(strlen(source), a + greatest(strlen(raw), 150)) END AS b FROM spans)
+      SELECT bill_dir, n AS provision_index, ['exact', 'repaired_prefix', 'repaired_substring', 'repaired_normalized', 'unverified'][k + 1] AS match_tier, a AS "start", b AS "end", CASE WHEN k < 4 THEN substring(source, a + 1, b - a) ELSE raw END AS text, CASE WHEN k < 4 THEN true END AS holds FROM ends""",
     "repaired_report": """WITH d AS (SELECT doc_id, doc_id % 3 AS k FROM documents WHERE length(text) >= 400)
       SELECT coalesce(CAST(doc_id AS VARCHAR), 'TOTAL') AS bill_dir, count(*) AS total, count(*) FILTER (k = 0) AS exact, count(*) FILTER (k = 1) AS repaired_prefix, count(*) FILTER (k = 2) AS unverified, round(count(*) FILTER (k < 2) / count(*) * 100, 6) AS traceable_pct FROM d GROUP BY ROLLUP (doc_id)""",
     "bill_chunks": _on_bridge("""SELECT bill_dir, label, division, title, start, stop AS "end", (stop - start) // 4 AS estimated_tokens FROM (

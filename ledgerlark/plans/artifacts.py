@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as texts_
@@ -597,6 +597,22 @@ def repaired_spans(spark, d):
     return rows.join(held, ["bill_dir", "provision_index"], "left").groupBy("match_tier", "holds").agg(F.count("*").alias("n"))
 
 
+@_query
+def repaired_tiers(spark, d):
+    """OP-REP-01 to 04: an order is a bill of one section a line; each section is claimed as it stands, with another end,
+    with another start, with other blanks, or backwards."""
+    lines = bridge.table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*bridge.ROW_ORDER)))
+    money = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    section = F.concat(F.lit("SEC. "), F.col("n").cast("string"), F.lit(". For part "), F.col("l_partkey").cast("string"), F.lit(" of "), F.col("l_suppkey").cast("string"), F.lit(", $"), money, F.lit(", available until spent."))
+    rows = lines.select(F.col("l_orderkey").alias("bill_dir"), F.col("n").cast("long").alias("provision_index"), section.alias("s"))
+    k = (F.col("bill_dir") + F.col("provision_index")) % 5
+    raw = F.when(k == 0, F.col("s")).when(k == 1, F.concat("s", F.lit(" (as amended)"))).when(k == 2, F.concat(F.lit("zzzzzzzzzz"), "s")).when(k == 3, F.replace("s", F.lit(" "), F.lit("  "))).otherwise(F.reverse("s"))
+    docs = rows.groupBy("bill_dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("provision_index", "s"))), lambda e: e["s"]), "\n").alias("source"))
+    done = repair.repaired(rows.select("bill_dir", "provision_index", raw.alias("raw_text")), docs)
+    held = repair.span_holds(done, docs)
+    return done.join(held, ["bill_dir", "provision_index"], "left")
+
+
 @_query
 def nearest_amounts(spark, d):
     """OP-JOIN-18: an amount found only in the plain text accounts for the nearest one of the index."""

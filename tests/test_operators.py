@@ -1,5 +1,7 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,44 @@ def test_verify_and_repair(spark):
     assert {r.bill_dir: r.total for r in repair.report(fixed).collect()} == {"k": 6, "TOTAL": 6}
 
 
+def _held(raw, source, offset, most):
+    """By trying every length: the longest held piece, cut to whole characters."""
+    size = max((n for n in range(15, min(most, len(raw) - offset) + 1) if raw[offset : offset + n] in source), default=0)
+    while size > 15 and offset + size < len(raw) and raw[offset + size] & 0xC0 == 0x80:
+        size -= 1
+    whole = size and not (offset + size < len(raw) and raw[offset + size] & 0xC0 == 0x80)
+    return (size, source.find(raw[offset : offset + size])) if whole else (0, -1)
+
+
+def test_repair_index():
+    """Every piece and place is the one that trying all lengths finds, with repeats and characters of several bytes."""
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab ", "é", "the sum of ", "—", "$5", "\n", "x" * 20]) for _ in range(rng.randint(0, 60)))
+        raw = "".join(rng.choice([text[i : i + rng.randint(1, 40)], "é", "qq "]) for i in (rng.randint(0, len(text)) for _ in range(4)))
+        source, raw = repair.Source(text.encode()), raw.encode()
+        assert source.first(raw) == text.encode().find(raw)
+        for offset, places in enumerate(source.places(repair._grams(np.frombuffer(raw, dtype=np.uint8)))):
+            assert source.longest(raw, offset, places, 60) == _held(raw, text.encode(), offset, 60)
+        tier, start, end = repair.locate(raw, source)
+        assert tier == "unverified" or text.encode()[start:end].decode() is not None
+    many = repair.Source(b"spaces and more " * 200 + b"spaces and less")  # more places than are tried one by one
+    assert many.first(b"spaces and less") == 3200 and many.first(b"spaces and none") == -1
+    assert repair.Source(b"").first(b"abc") == -1 and repair.locate(b"abc" * 9, repair.Source(b""))[0] == "unverified"
+
+
+def test_repair_parts(spark):
+    """Claims of one bill dealt into parts give what one part gives; bills without a source or a key have rows too."""
+    source = " ".join(f"For item {i} the sum of ${i}." for i in range(200))
+    rows = [("k", i, f"For item {i} the sum of ${i}." if i % 2 else f"zzzz For item {i} the sum") for i in range(120)] + [("gone", 0, "For item 1"), (None, 1, None), ("k", 7, None)]
+    claims = spark.createDataFrame(rows, "bill_dir string, provision_index long, raw_text string")
+    docs = spark.createDataFrame([("k", source), ("unclaimed", "x")], "bill_dir string, source string")
+    one, dealt = (sorted(map(tuple, repair.repaired(claims, docs, claims_per_task=n).collect()), key=repr) for n in (10**6, 7))
+    assert one == dealt and len(one) == len(rows)
+    assert ("gone", 0, "unverified", None, None, "For item 1") in one and (None, 1, "exact", None, None, "") in one
+    assert repair.repaired(claims.limit(0), docs).collect() == []
+
+
 def test_cpi(spark):
     rows = [(f"{y}-{m:02}", 300.0 + m) for y, m in [(2023, 10), (2023, 11), (2023, 12), (2024, 1), (2025, 10), (2025, 12)]]
     got = {r.fy: (r.cpi, r.months) for r in inflation.fiscal_year_cpi(spark.createDataFrame(rows, "ym string, value double"), spark.createDataFrame([(2026, 9.0, 4)], "fy int, value double, months int")).collect()}
