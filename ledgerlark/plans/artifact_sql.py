@@ -126,6 +126,7 @@ SQL |= {
     "extracted_chunks": "SELECT n_name AS bill_dir, CASE WHEN length(n_name) % 2 = 0 THEN CAST(length(n_name) AS VARCHAR) END AS answer, CASE WHEN length(n_name) % 2 = 1 THEN 'odd' END AS error FROM nation",
     "repaired_spans": "SELECT ['exact', 'repaired_prefix', 'unverified'][doc_id % 3 + 1] AS match_tier, CASE WHEN doc_id % 3 < 2 THEN true END AS holds, count(*) AS n FROM documents WHERE length(text) >= 400 GROUP BY ALL",
     "nearest_amounts": _on_bridge("SELECT bill_dir, pos + strlen(before) AS position FROM placed WHERE division = 'B'", _SIZES),
+    "token_rate_stream": f"SELECT * FROM ({SQL['token_rate']}) WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 FROM events) - 3600000",
     "repaired_tiers": """WITH numbered AS (SELECT l_orderkey AS bill_dir, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS n, * FROM lineitem),
       rows_ AS (SELECT bill_dir, n, (bill_dir + n) % 5 AS k, 'SEC. ' || n || '. For part ' || l_partkey || ' of ' || l_suppkey || ', $' || CAST(round(l_extendedprice * 100) AS BIGINT) || ', available until spent.' AS s FROM numbered),
       docs AS (SELECT bill_dir, string_agg(s, chr(10) ORDER BY n) AS source FROM rows_ GROUP BY 1),

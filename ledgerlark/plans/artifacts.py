@@ -13,6 +13,7 @@ from ..operators import accounts, classify, compare, entities, lenient, links, m
 from ..operators import text as texts
 from ..sources import bills as sources
 from ..sources import fastbook, shared, sinks, xml
+from ..streaming import token_rate as token_rates
 from . import bridge
 from .queries import BASE_FY, CURRENT_FY, _about, _candidates, _compared, _mapped, _pairs, _query, _vectors, _view, _year
 
@@ -613,6 +614,21 @@ def repaired_tiers(spark, d):
     return done.join(held, ["bill_dir", "provision_index"], "left")
 
 
+@_query
+def token_rate_stream(spark, d):
+    """OP-WIN-07 over the events as a stream: rates of all events that the watermark has passed."""
+    store, mine = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    had, root = spark.conf.get(store, None), f"{shared.folder(spark)}/ledgerlark-stream/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(bridge.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # a pattern, so that a single file will do
+    spark.conf.set(store, mine)
+    try:
+        rates = token_rates.event_rate(events, seconds=36_000, late="1 hour")
+        rates.writeStream.format("parquet").option("path", f"{root}/rates").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if had is None else spark.conf.set(store, had)
+    return spark.read.parquet(f"{root}/rates").select("user_id", "ts", "rate")
+
+
 @_query
 def nearest_amounts(spark, d):
     """OP-JOIN-18: an amount found only in the plain text accounts for the nearest one of the index."""
