@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from .common import mix64, space_words, stored, utf8
 MASS, BLOCK_BYTES = (1000.0, 4.0), 8_000_000  # masses of contexts of one and of two words, by held-out likelihood on sf0.1
 _PLACE = 44  # bits of a hash that are sent beside its bucket
 _CELL = struct.Struct("<BI")
+_MARKS = [b" end", b" start"]  # beside the words, which hold no blanks
 _START, _END = np.uint64(0x5BD1E995C3A5C85C), np.uint64(0x9AE16A3B2F90404F)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -43,7 +45,7 @@ class BlockGrams:
     """The words, bigrams and trigrams of some texts, with each token's place among them; words and longer n-grams also
     ordered by bucket, in an order that depends on the texts' content only."""
 
-    def __init__(self, texts: list[bytes | None], training: np.ndarray, buckets: int) -> None:
+    def __init__(self, texts: list[bytes | None], training: np.ndarray, buckets: int, word_bits: int = 64) -> None:
         known: dict[bytes, int] = {}
         put = known.setdefault
         ids = [[put(w, len(known)) for w in space_words(t)] for t in texts]
@@ -51,7 +53,7 @@ class BlockGrams:
         self.width = len(known) + 2
         self.sizes = np.fromiter((len(x) + 1 for x in ids), dtype=np.int64, count=len(texts))
         flat = np.fromiter((i for x in ids for i in (self.start, *x, self.end)), dtype=np.int64, count=int(self.sizes.sum()) + len(texts))
-        hashes = np.concatenate([np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), dtype=np.uint64, count=len(known)), [_END, _START]])
+        hashes = np.concatenate([np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), dtype=np.uint64, count=len(known)) >> np.uint64(64 - word_bits), [_END, _START]])
         at = np.flatnonzero(flat != self.start)
         self.tokens, counted = flat[at], np.repeat(training, self.sizes)
         counts = np.bincount(self.tokens[counted], minlength=self.width)
@@ -63,14 +65,19 @@ class BlockGrams:
         head, last = np.divmod(self.triples, self.width)
         trigram = mix64(bigram[head] * np.uint64(0xC2B2AE3D27D4EB4F) + mix64(hashes[last] + np.uint64(1)))
         gram_counts = np.concatenate([np.bincount(self.pair_at[counted], minlength=len(self.pairs)), np.bincount(self.triple_at[counted[self.later]], minlength=len(self.triples))])
-        self.words = self._ordered(hashes, counts.astype(np.uint32), buckets)
+        names = [*known, *_MARKS]
+        self.words = self._ordered(hashes, counts.astype(np.uint32), buckets, names)
+        self.names = [names[i] for i in self.words[0].tolist()]
         self.grams = self._ordered(np.concatenate([bigram, trigram]), gram_counts.astype(np.uint32), buckets)
 
     @staticmethod
-    def _ordered(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order, bucket bounds, and places in the bucket and counts in that order; buckets are ranges of mixed hashes."""
+    def _ordered(hashes: np.ndarray, counts: np.ndarray, buckets: int, names: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order, bucket bounds, and places in the bucket and counts in that order; buckets are ranges of mixed hashes.
+        Equal hashes of one block are in the order of ``names``, or without them all get the same total."""
         mixed = mix64(hashes)
         order = np.argsort(mixed)
+        if names is not None and (np.diff(mixed[order]) == 0).any():
+            order = np.array(sorted(order.tolist(), key=lambda i: (mixed[i], names[i])))
         bucket, place = _placed(mixed[order], buckets)
         return order, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)), place, counts[order]
 
@@ -129,13 +136,15 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass: tuple[float, float] = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass: tuple[float, float] = MASS, block_bytes: int = BLOCK_BYTES, word_bits: int = 64) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Learns from all documents that aren't held out. Null and empty texts are one end token; repeated rows get a row each
     and count as often as they occur; a null doc_id isn't held out; an empty table gives no rows, and without training
-    texts every token has probability 1. Other columns are not read. N-grams are told apart by their bucket and 44 bits of a
-    hash: as buckets grow in number with the corpus, about one in ten million shares its count with another.
+    texts every token has probability 1. Other columns are not read. Words are sent and counted as they are, so n_known,
+    train_tokens and base_score are exact. Bigrams and trigrams are told apart by their bucket and 44 bits of a hash, which
+    reaches ``score`` alone: as buckets grow in number with the corpus, about one in ten million shares its count with
+    another. ``word_bits`` shortens the words' hashes, to test that.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) + 64 * F.count("*")).alias("n")).first().n or 1
@@ -144,29 +153,35 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
     def count(t: pa.Table) -> pa.Table:
-        grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~t.column("held_out").to_numpy().astype(bool), buckets)
+        grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~t.column("held_out").to_numpy().astype(bool), buckets, word_bits)
         some = np.flatnonzero(np.diff(grams.words[1]) + np.diff(grams.grams[1]))  # a row only for buckets that get something
         kinds = []
-        for _, bounds, hashes, counts in (grams.words, grams.grams):
+        for _, bounds, places, counts in (grams.words, grams.grams):
             cut = list(zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True))
-            kinds += [pa.array([_packed(hashes[a:b]) for a, b in cut], pa.binary()), pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in cut], pa.binary())]
+            sent = [zlib.compress(b"\n".join(grams.names[a:b]), 1) if counts is grams.words[3] else _packed(places[a:b]) for a, b in cut]
+            kinds += [pa.array(sent, pa.binary()), pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in cut], pa.binary())]
         return pa.table([pa.array(np.full(len(some), t.column("block")[0].as_py()), pa.int32()), pa.array(some, pa.int32()), *kinds], names=["block", "bucket", "words", "word_counts", "grams", "gram_counts"])
 
     def total(t: pa.Table) -> pa.Table:
         answers = {}
         for kind in ("word", "gram"):
-            hashes = [_unpacked(b) for b in t.column(kind + "s").to_pylist()]
+            sent = t.column(kind + "s").to_pylist()
             counts = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint32) for b in t.column(kind + "_counts").to_pylist()])
-            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.bincount(at, counts, minlength=len(distinct)).astype(np.uint32 if counts.sum() < 2**32 else np.uint64).astype(np.uint64)
             if kind == "word":
-                bucket, place = _placed(mix64(np.array([_START])), buckets)
-                words = (distinct != place[0]) | (t.column("bucket")[0].as_py() != int(bucket[0]))
+                each = [names.split(b"\n") if names else [] for names in map(zlib.decompress, sent)]
+                coded = pa.array([w for names in each for w in names], pa.binary()).dictionary_encode()
+                distinct, at = coded.dictionary, coded.indices.to_numpy()
+            else:
+                each = [_unpacked(b) for b in sent]
+                distinct, at = np.unique(np.concatenate(each), return_inverse=True)
+            sums = np.bincount(at, counts, minlength=len(distinct)).astype(np.uint64)
+            if kind == "word":
+                words = pc.not_equal(distinct, pa.scalar(_MARKS[1], pa.binary())).to_numpy(zero_copy_only=False)
                 stats = int(sums[words].sum()), int((sums[words] > 0).sum())
-            ends = np.cumsum([len(h) for h in hashes])
+            ends = np.cumsum([len(h) for h in each])
             mine = sums[at]
             narrow = mine.astype(np.uint32) if len(mine) == 0 or mine.max() < 2**32 else mine
-            answers[kind] = [zlib.compress(narrow[a:b].tobytes(), 1) for a, b in zip(ends - [len(h) for h in hashes], ends, strict=True)]
+            answers[kind] = [zlib.compress(narrow[a:b].tobytes(), 1) for a, b in zip(ends - [len(h) for h in each], ends, strict=True)]
             answers[kind + "_bytes"] = narrow.dtype.itemsize
         n = t.num_rows
         ints = lambda x, k: pa.array([*x, None if k is None else k], pa.int64())
@@ -179,7 +194,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mass:
 
     def judge(t: pa.Table, found: pa.Table) -> pa.Table:
         out = t.column("held_out")
-        grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~out.to_numpy().astype(bool), buckets)
+        grams = BlockGrams(utf8(t.column("text").combine_chunks()), ~out.to_numpy().astype(bool), buckets, word_bits)
         rows = sorted(found.to_pylist(), key=lambda r: r["bucket"])
         totals = []
         for name, wide, (order, *_) in (("word_totals", "a", grams.words), ("gram_totals", "b", grams.grams)):

@@ -272,6 +272,14 @@ def test_language_model(spark, block_bytes):
     assert langmodel.score(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8_000_000, 3000])
+def test_language_model_with_equal_hashes(spark, block_bytes):
+    """Words whose hashes are equal keep their own counts: n_known, train_tokens and base_score don't change."""
+    rows = rows_with_edges(5)
+    exact, short = (sorted(tuple(map(str, r[:5])) + (round(r[5], 9),) for r in langmodel.score(table(spark, rows), block_bytes=block_bytes, word_bits=bits).collect()) for bits in (64, 3))
+    assert exact == short and len(exact) == len(rows)
+
+
 def test_automaton_sums_to_one():
     """From every state the next token's probabilities sum to one, with one class for all unknown words: texts that go on
     from each state with each word are traversed with the counts of the first three."""
