@@ -23,6 +23,8 @@ from .common import slices, stored
 #: Texts tokenised at a time: their ids are held beside the encoder's memory of words.
 TEXTS = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+#: Words whose ids a worker remembers, some 70 MB.
+WORDS = 300_000
 
 
 class Tournament:
@@ -68,7 +70,8 @@ def pieces(docs: DataFrame, path: str, *, sequence: int = 2048, end: int = 1, do
     """The pieces of all documents, in order, without their places yet; with ``keep_ids`` also their ids (unsigned 32-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = tokens.memory(path, True), 0
+        encoder, n = tokens.memory(path, True, WORDS), 0
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         for b in slices(batches, TEXTS):
             rows, kept, at = [], [], 0
             ids, counts = encoder.encode(b.column(1), end)

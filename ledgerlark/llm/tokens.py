@@ -5,7 +5,7 @@ those it has inside the text. Arrow cuts all texts of a batch and finds their di
 isn't encoded again, and numpy lays the pieces' ids out in the texts' order. A plain word goes straight to the
 vocabulary's BPE model, as it is one pre-token; any other piece goes through the whole tokenizer, and so does a text
 whose runs of white space matter to the vocabulary or that holds a control string. The memory is emptied at ``MOST``
-entries and never changes a result.
+entries, or as many as its user allows, and never changes a result.
 """
 
 from __future__ import annotations
@@ -51,13 +51,13 @@ def vocabulary(name: str) -> str:
 class WordMemory(dict):
     """Pieces of texts to their ids (little-endian unsigned 32-bit). ``spaced``: white space matters to the vocabulary."""
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, most: int | None = None) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.letters = Tokenizer.from_file(path), spaced, _byte_letters()
-        self.model, self[""] = self.tokenizer.model, b""
+        self.model, self.most, self[""] = self.tokenizer.model, most, b""
 
     def whole(self, text: str) -> bytes:
         """By the tokenizer alone."""
@@ -94,7 +94,7 @@ class WordMemory(dict):
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, each text's followed by ``end``, and how many ids each has with it. Null texts are empty."""
-        if len(self) > MOST:
+        if len(self) > (self.most or MOST):
             self.clear()
             self[""] = b""
         gc.disable()  # the memory holds no cycles, but many objects to look at
@@ -123,8 +123,9 @@ class WordMemory(dict):
         return np.insert(ids, where, put), counts + 1
 
 
-def memory(path: str, spaced: bool) -> WordMemory:
+def memory(path: str, spaced: bool, most: int | None = None) -> WordMemory:
     """This process's encoder for a file, kept from task to task."""
     if path not in _MEMORY:
-        _MEMORY[path] = WordMemory(path, spaced)
+        _MEMORY[path] = WordMemory(path, spaced, most)
+    _MEMORY[path].most = most
     return _MEMORY[path]
