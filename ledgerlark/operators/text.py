@@ -25,8 +25,9 @@ def amounts(text: bytes, pattern: re.Pattern[bytes] = AMOUNT) -> list[tuple[int,
     for m in pattern.finditer(text):
         shown = m.group().rstrip(b",.:;")
         digits = re.sub(rb"\D", b"", shown)
-        if digits and int(digits) < 2**63:
-            out.append((m.start(), shown.decode(), int(digits)))
+        value = digits.lstrip(b"0") or b"0"
+        if digits and len(value) <= 19 and int(value) < 2**63:  # Python refuses to read thousands of digits
+            out.append((m.start(), shown.decode(), int(value)))
     return out
 
 
