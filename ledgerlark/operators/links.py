@@ -78,9 +78,9 @@ def suggest(pairs: DataFrame, about: DataFrame, model: str, *, scope: str = "all
     return out.withColumn("hash", link_hash(F.col("source_dir"), F.col("source_index"), F.col("target_dir"), F.col("target_index"), model))
 
 
-def with_accepted(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
-    """OP-JOIN-15."""
-    return candidates.join(accepted.select("hash").distinct().withColumn("already_accepted", F.lit(True)), "hash", "left").fillna(False, ["already_accepted"])
+def with_accepted(candidates: DataFrame, accepted: DataFrame, flag: str = "already_accepted") -> DataFrame:
+    """OP-JOIN-15: a flag per candidate. Hashes are short, so links may share one; each candidate stays one row."""
+    return candidates.join(accepted.select("hash").distinct().withColumn(flag, F.lit(True)), "hash", "left").fillna(False, [flag])
 
 
 def accept(accepted: DataFrame, candidates: DataFrame, hashes: list[str] | None = None, *, auto: bool = False, note: str | None = None) -> DataFrame:

@@ -11,3 +11,10 @@ def test_sums_and_digits_beyond_64_bits(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: (r.n, r.total) for r in queries.QUERIES["text_index"](spark, str(tmp_path)).collect()}
     assert found == {1: (3, str(2 * big + 7)), 2: (1, "5"), 4: (1, "8")}
+
+
+def test_links_that_share_a_hash(spark, tmp_path, monkeypatch):
+    rows = [("3", 1, "4", 2, 0.5, "verified", "bb"), ("3", 5, "6", 7, 0.5, "verified", "bb"), ("1", 1, "2", 2, 0.5, "verified", "aa"), ("3", 8, "9", 9, 0.4, "high", "cc")]
+    found = spark.createDataFrame(rows, "source_dir string, source_index long, target_dir string, target_index long, similarity double, confidence string, hash string")
+    monkeypatch.setattr(artifacts, "_candidates", lambda *_: found)
+    assert {(r.already_accepted, r.kept): r.n for r in queries.QUERIES["links_file"](spark, str(tmp_path)).collect()} == {(True, True): 2, (True, False): 1, (False, False): 1}
