@@ -18,3 +18,23 @@ def test_links_that_share_a_hash(spark, tmp_path, monkeypatch):
     found = spark.createDataFrame(rows, "source_dir string, source_index long, target_dir string, target_index long, similarity double, confidence string, hash string")
     monkeypatch.setattr(artifacts, "_candidates", lambda *_: found)
     assert {(r.already_accepted, r.kept): r.n for r in queries.QUERIES["links_file"](spark, str(tmp_path)).collect()} == {(True, True): 2, (True, False): 1, (False, False): 1}
+
+
+def test_positions_follow_orders_over_ranges(spark, tmp_path):
+    """The same numbers as one window a bill gives, with orders that share a key, lines without a part and many ranges."""
+    from datetime import datetime
+
+    t = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t([(0, "R")], "r_regionkey int, r_name string", "region")
+    t([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int", "nation")
+    t([(1, "s", 0, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", "supplier")
+    t([(1, "p", "b", "t", 1, 0.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", "part")
+    orders = [(k, datetime(1996 + k % 2, 1, 1), f"{k % 3}-P") for k in range(300)] + [(5, datetime(1997, 1, 1), "2-P")]
+    t(orders, "o_orderkey long, o_orderdate timestamp, o_orderpriority string", "orders")
+    lines = [(k, 1 if (k + n) % 5 else 9, 1, n, 1.0, float(n), 0.0, 0.0, "N", "O", datetime(1996, 1, 1)) for k in range(300) for n in range(1, 1 + k % 4)]
+    t(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp", "lineitem")
+    got = sorted((r.bill_dir, r.provision_index, r.line) for r in queries._view(spark, str(tmp_path)).collect())
+    bills: dict = {}
+    for k, day, priority in orders:
+        bills.setdefault(f"{day.year}-{priority}", []).extend((x[0], x[3]) for x in lines if x[0] == k and x[1] == 1)
+    assert got == sorted((b, i, n) for b, rows in bills.items() for i, (_, n) in enumerate(sorted(rows)))
