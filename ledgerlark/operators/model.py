@@ -19,8 +19,9 @@ def _text(c: Column) -> Column:
 
 
 def provisions(bills: DataFrame) -> DataFrame:
-    """From ``sources.bills``: one row per provision."""
-    rows = bills.select("bill_dir", "identifier", "congress", "classification", "fiscal_years", F.posexplode("provisions").alias("provision_index", "p"))
+    """From ``sources.bills`` or ``sources.listed``: one row per provision. A part's provisions count from its ``first_index``."""
+    first = F.col("first_index") if "first_index" in bills.columns else F.lit(0)
+    rows = bills.select("bill_dir", "identifier", "congress", "classification", "fiscal_years", first.alias("first"), F.posexplode("provisions").alias("pos", "p")).withColumn("provision_index", F.col("first") + F.col("pos"))
     kind = F.col("p.provision_type")
     of = lambda c, *kinds: F.when(kind.isin(*kinds), F.col(f"p.{c}"))
     amount = F.when(kind == "cr_substitution", F.col("p.new_amount")).when(kind.isin("appropriation", "rescission", "limitation", "directed_spending", "mandatory_spending_extension"), F.col("p.amount"))
@@ -79,7 +80,8 @@ def timings(bills: DataFrame) -> DataFrame:
 
 
 def checks(bills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bill_dir, provision_index, ordinal, status) of amounts and (…, match_tier) of texts, from the sidecar."""
+    """(bill_dir, provision_index, ordinal, status) of amounts and (…, match_tier) of texts, from the sidecar; ``ordinal`` counts
+    within a file, and a provision's checks lie in one."""
     amounts = bills.select("bill_dir", F.posexplode("verification.amount_checks").alias("ordinal", "c")).select("bill_dir", "c.provision_index", "ordinal", "c.status")
     texts = bills.select("bill_dir", F.posexplode("verification.raw_text_checks").alias("ordinal", "c")).select("bill_dir", "c.provision_index", "ordinal", "c.match_tier")
     return amounts, texts

@@ -14,28 +14,71 @@ def directory(path: Column | None = None) -> Column:
 
 
 def artifact(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """OP-SRC-02/07/08: all files of a name below ``root``; files that don't parse are left out, as if absent."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+    """OP-SRC-02/07/08: all files of a name below ``root``, packed ones and further parts (``sinks.write_artifact``) too;
+    files that don't parse are left out, as if absent."""
+    stem, _, suffix = name.partition(".")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{stem}{{,.part-*}}.{suffix}{{,.gz}}").text(root, wholetext=True)
     # parsed by an expression, as the JSON source can't tell broken files where few columns are read
     parsed = files.select(directory().alias("bill_dir"), F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
     return parsed.where("j is not null and j._corrupt is null").select("j.*", "bill_dir").drop("_corrupt")
 
 
+def _parts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Rows of ``artifact`` a file. Each part repeats the bill's heads, holds a stretch of its lists, and says how many ``parts`` there are."""
+    return artifact(spark, root, name, f"{schema}, parts int").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _head(parts: DataFrame, *columns: Column) -> DataFrame:
+    """A row per bill of which all parts were read: what every part repeats."""
+    return parts.groupBy("bill_dir").agg(*columns, F.count("*").alias("__n"), F.max("parts").alias("__parts")).where("__n = __parts").drop("__n", "__parts")
+
+
 def extractions(spark: SparkSession, root: str) -> DataFrame:
-    """OP-SRC-01: one row per directory that holds an ``extraction.json``."""
-    return artifact(spark, root, "extraction.json", schemas.EXTRACTION).where("bill is not null and provisions is not null")
+    """OP-SRC-01: one row per ``extraction.json``, or per part of one, whose provisions count from ``first_index``."""
+    found = _parts(spark, root, "extraction.json", f"{schemas.EXTRACTION}, first_index bigint").where("bill is not null and provisions is not null")
+    return found.withColumn("first_index", F.coalesce("first_index", F.lit(0)))
 
 
-def bills(spark: SparkSession, root: str) -> DataFrame:
-    """OP-SRC-01/SORT-01: bills with their optional sidecars, by identifier."""
-    found = extractions(spark, root).select("bill_dir", "schema_version", "bill.*", "provisions", "summary", "chunk_map")
-    meta = artifact(spark, root, "bill_meta.json", schemas.BILL_META).select("bill_dir", F.struct("congress", "bill_nature", "subcommittees", "provision_timing", "canonical_accounts", "extraction_sha256", F.col("fiscal_years").alias("meta_fiscal_years")).alias("meta"))
-    checks = artifact(spark, root, "verification.json", schemas.VERIFICATION).select("bill_dir", F.struct("amount_checks", "raw_text_checks", "completeness", F.col("summary").alias("counts")).alias("verification"))
+def verifications(spark: SparkSession, root: str) -> DataFrame:
+    """OP-SRC-07: (bill_dir, verification), a row a file: what ``model.checks`` reads."""
+    return _parts(spark, root, "verification.json", schemas.VERIFICATION).select("bill_dir", "parts", F.struct("amount_checks", "raw_text_checks", "completeness", F.col("summary").alias("counts")).alias("verification"))
+
+
+def metadata(spark: SparkSession, root: str) -> DataFrame:
+    """OP-SRC-07: (bill_dir, meta), a row a file: what ``model.timings`` and ``model.jurisdictions`` read."""
+    return _parts(spark, root, "bill_meta.json", schemas.BILL_META).select("bill_dir", "parts", F.struct("congress", "bill_nature", "subcommittees", "provision_timing", "canonical_accounts", "extraction_sha256", F.col("fiscal_years").alias("meta_fiscal_years")).alias("meta"))
+
+
+def _joined(found: DataFrame, meta: DataFrame, checks: DataFrame) -> DataFrame:
     joined = found.join(meta, "bill_dir", "left").join(checks, "bill_dir", "left")
     congress = F.coalesce("meta.congress", F.split("bill_dir", "-").getItem(0).try_cast("int"))  # OP-PRJ-12
     return joined.withColumn("congress", congress).orderBy("identifier", "bill_dir")
 
 
+def heads(spark: SparkSession, root: str) -> DataFrame:
+    """OP-SRC-01/SORT-01: bills with the heads of their optional sidecars, by identifier. What a bill lists (its provisions,
+    checks and timings) is only counted here and never in one row; ``listed``, ``verifications`` and ``metadata`` read it by parts."""
+    found = _head(extractions(spark, root), F.first("schema_version").alias("schema_version"), F.first("bill").alias("bill"), F.sum(F.size("provisions")).cast("int").alias("n_provisions"), F.first("summary").alias("summary"))
+    meta = _head(metadata(spark, root), F.first(F.struct("meta.congress", "meta.bill_nature", "meta.extraction_sha256", "meta.meta_fiscal_years")).alias("meta"))
+    checks = _head(verifications(spark, root), F.first(F.struct("verification.completeness", "verification.counts")).alias("verification"))
+    return _joined(found.select("bill_dir", "schema_version", "bill.*", "n_provisions", "summary"), meta, checks)
+
+
+def bills(spark: SparkSession, root: str) -> DataFrame:
+    """OP-SRC-01/SORT-01: bills that fit a row, with all they list and their optional sidecars, by identifier. For bills in
+    several parts see ``heads``."""
+    alone = lambda rows: rows.where("parts = 1").drop("parts")
+    found = alone(extractions(spark, root)).select("bill_dir", "schema_version", "bill.*", "provisions", "summary", "chunk_map")
+    return _joined(found, alone(metadata(spark, root)), alone(verifications(spark, root)))
+
+
+def listed(spark: SparkSession, root: str, of: DataFrame) -> DataFrame:
+    """What ``model.provisions`` reads: (identifier, classification, fiscal_years, provisions, first_index) a file, with the
+    congress, of the bills in ``of``. A bill is one short row, so ``of`` is broadcast rather than files shuffled."""
+    found = extractions(spark, root).select("bill_dir", "bill.identifier", "bill.classification", "bill.fiscal_years", "provisions", "first_index")
+    return found.join(F.broadcast(of.select("bill_dir", "congress")), "bill_dir")
+
+
 def sources(spark: SparkSession, root: str) -> DataFrame:
     """OP-SRC-03/04/05: bill texts to read: XML before plain text of the same stem; with an enrolled version only that."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "BILLS-*.{xml,txt}").load(root).select("path", "length")

@@ -50,22 +50,31 @@ def write_table(rows: DataFrame, path: str, partition: str | None = None) -> Non
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def part_name(name: str, part: int) -> str:
+    """What a further part of an artifact is called; the first has the plain name."""
+    stem, _, suffix = name.partition(".")
+    return name if part == 0 else f"{stem}.part-{part:06d}.{suffix}"
+
+
 def write_artifact(rows: DataFrame, root: str, name: str) -> None:
     """OP-SNK-06: from (bill_dir, value), a value per bill, the file ``name`` in each bill's folder below ``root``.
 
-    Spark's committed writes put the values out; the driver only renames a file per bill, in any of Hadoop's file systems.
+    A bill too large for one value comes as several, with their number ``part`` from 0; each becomes a file of its own,
+    packed where ``name`` ends in .gz. Spark's committed writes put the values out; the driver only renames files, in any of
+    Hadoop's file systems.
     """
     spark, staged = rows.sparkSession, f"{root}/_{uuid.uuid4().hex}"
-    rows.select("bill_dir", "value").write.partitionBy("bill_dir").text(staged)
+    parted = rows if "part" in rows.columns else rows.withColumn("part", F.lit(0))
+    parted.select("bill_dir", "part", "value").write.partitionBy("bill_dir", "part").option("compression", "gzip" if name.endswith(".gz") else "none").text(staged)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in files.globStatus(path(f"{staged}/bill_dir=*")):
-        at = folder.getPath()
-        to = path(f"{root}/{at.getName().removeprefix('bill_dir=')}")
+        to = path(f"{root}/{folder.getPath().getName().removeprefix('bill_dir=')}")
         files.mkdirs(to)
-        (part,) = files.globStatus(path(at, "part-*"))
-        files.delete(path(to, name), False)
-        files.rename(part.getPath(), path(to, name))
+        for found in files.globStatus(path(folder.getPath(), "part=*/part-*")):
+            own = part_name(name, int(found.getPath().getParent().getName().removeprefix("part=")))
+            files.delete(path(to, own), False)
+            files.rename(found.getPath(), path(to, own))
     files.delete(path(staged), True)
 
 

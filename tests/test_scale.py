@@ -20,6 +20,32 @@ def test_links_that_share_a_hash(spark, tmp_path, monkeypatch):
     assert {(r.already_accepted, r.kept): r.n for r in queries.QUERIES["links_file"](spark, str(tmp_path)).collect()} == {(True, True): 2, (True, False): 1, (False, False): 1}
 
 
+def test_bills_in_several_files(spark, monkeypatch):
+    """A bill of more provisions than a file takes has the same artifacts as one of a single file."""
+    d = "/root/testdata/sf0.001"
+    names = ["artifact_bills", "artifact_provisions", "artifact_sidecars", "artifact_summary", "subcommittee_files"]
+    rows = lambda: [sorted(map(str, queries.QUERIES[n](spark, d).collect())) for n in names]
+    monkeypatch.setattr(artifacts, "_ROOTS", {})
+    whole = rows()
+    monkeypatch.setattr(artifacts, "_ROOTS", {})
+    monkeypatch.setattr(artifacts, "PART", 50)
+    assert rows() == whole
+    root = artifacts._written(spark, d, "extraction.json")
+    parts = artifacts.sources.extractions(spark, root).select("bill_dir", F.size("provisions").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] == 50 and parts.count() > parts.select("bill_dir").distinct().count()
+
+
+def test_a_bill_that_lacks_a_part_is_absent(spark, tmp_path):
+    for folder, held in (("b1", [0, 1]), ("b2", [0])):
+        (tmp_path / folder).mkdir()
+        for k in held:
+            (tmp_path / folder / artifacts.sinks.part_name("extraction.json", k)).write_text('{"bill":{"identifier":"H.R. 1"},"parts":2,"first_index":%d,"provisions":[{"provision_type":"rider"}]}' % k)
+    found = artifacts.sources.heads(spark, str(tmp_path))
+    assert [(r.bill_dir, r.n_provisions) for r in found.collect()] == [("b1", 2)]
+    listed = artifacts.model.provisions(artifacts.sources.listed(spark, str(tmp_path), found)).select("bill_dir", "provision_index").collect()
+    assert sorted(map(tuple, listed)) == [("b1", 0), ("b1", 1)]
+
+
 def test_positions_follow_orders_over_ranges(spark, tmp_path):
     """The same numbers as one window a bill gives, with orders that share a key, lines without a part and many ranges."""
     from datetime import datetime
