@@ -5,6 +5,7 @@ Bytes throughout, so that the invariant ``source[start:end] == text`` holds for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -16,11 +17,20 @@ from pyspark.sql import functions as F
 #: that is good enough.
 LEAST_TARGET, GRAM, PREFIX, OFFSETS, SUBSTRING, ENOUGH = 150, 15, 80, 40, 60, 40
 FEW = 64  # more places than these are searched by bytes
+SHORT = 4096  # a source of fewer bytes is searched as it is, which takes less than its index
 _PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "—": "-", "–": "-", "‒": "-"}
+_BLANK = np.array([chr(c).isspace() for c in range(128)])
 
 
 def position_map(source: bytes) -> tuple[bytes, np.ndarray]:
     """OP-REP-02: the normalised text, and for each of its bytes the byte of the source where its character begins."""
+    if source.isascii():
+        data = np.frombuffer(source, dtype=np.uint8)
+        blank = _BLANK[data]
+        more = np.zeros(len(data), dtype=bool)
+        more[1:] = blank[1:] & blank[:-1]
+        kept = np.flatnonzero(~more)
+        return np.where(blank, np.uint8(32), data)[kept].tobytes(), np.append(kept, len(data))
     out, at, pos, blank = bytearray(), [], 0, False
     for c in source.decode("utf-8", "surrogateescape"):
         size = len(c.encode("utf-8", "surrogateescape"))
@@ -61,7 +71,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 class Source:
-    """A source and an index of it: the places of its runs of ``GRAM`` bytes in order of their hash, so that an excerpt
+    """A source and, unless it is short, an index of it: the places of its runs of ``GRAM`` bytes in order of their hash, so that an excerpt
     meets only places that share a run with it. Takes about 16 bytes a byte of the source. The index, the normalised
     text and that text's index are built when a claim first needs them."""
 
@@ -86,16 +96,36 @@ class Source:
 
     def first(self, raw: bytes) -> int:
         """The first place of ``raw``, or -1."""
-        if len(raw) < GRAM:
+        if len(raw) < GRAM or len(self.bytes) < SHORT:
             return self.bytes.find(raw)
         at = self.places(_grams(np.frombuffer(raw[:GRAM], dtype=np.uint8)))[0]
         if len(at) > FEW:
             return self.bytes.find(raw, int(at[0]))
         return next((int(p) for p in at if self.bytes.startswith(raw, int(p))), -1)
 
-    def longest(self, raw: bytes, offset: int, places: np.ndarray, most: int) -> tuple[int, int]:
+    def starts(self, raw: bytes) -> Iterator[tuple[int, np.ndarray | None]]:
+        """The offsets up to ``OFFSETS`` at which ``raw`` has a run of the source, with its places where there is an index."""
+        head = raw[: OFFSETS + GRAM]
+        if len(self.bytes) < SHORT:
+            yield from ((k, None) for k in range(len(head) - GRAM + 1) if head[k : k + GRAM] in self.bytes)
+        else:
+            yield from ((k, found) for k, found in enumerate(self.places(_grams(np.frombuffer(head, dtype=np.uint8)))) if len(found))
+
+    def _longest(self, raw: bytes, offset: int, most: int) -> tuple[int, int]:
+        """``longest`` by halving: what holds a piece holds all that the piece begins with."""
+        length, most = GRAM, min(most, len(raw) - offset)
+        while length < most:
+            half = (length + most + 1) // 2
+            length, most = (half, most) if raw[offset : offset + half] in self.bytes else (length, half - 1)
+        while length > GRAM and not _boundary(raw, offset + length):
+            length -= 1
+        return (length, self.bytes.find(raw[offset : offset + length])) if _boundary(raw, offset + length) else (0, -1)
+
+    def longest(self, raw: bytes, offset: int, places: np.ndarray | None, most: int) -> tuple[int, int]:
         """Length and first place of the longest piece of ``raw`` from ``offset`` that the source holds, ``GRAM`` bytes at
-        least and up to ``most``, ended between characters; ``places`` are those of its first ``GRAM`` bytes."""
+        least and up to ``most``, ended between characters; ``places`` are those of its first ``GRAM`` bytes, by ``starts``."""
+        if places is None:
+            return self._longest(raw, offset, most)
         firsts = []
         for k, byte in enumerate(raw[offset : offset + most]):
             places = places[places + k < len(self.data)]
@@ -115,10 +145,9 @@ def locate(raw: bytes, source: Source) -> tuple[str, int, int]:
     if at >= 0:
         return "exact", at, at + len(raw)
     target = max(len(raw), LEAST_TARGET)  # so it may be longer than the excerpt (T-22)
-    found = source.places(_grams(np.frombuffer(raw[: OFFSETS + GRAM], dtype=np.uint8)))  # of each offset that has a run
     best = (0, -1, 0)
-    for offset, places in enumerate(found):
-        if not len(places) or not _boundary(raw, offset):
+    for offset, places in source.starts(raw):
+        if not _boundary(raw, offset):
             continue
         if offset == 0:
             length, at = source.longest(raw, 0, places, PREFIX)
@@ -144,25 +173,33 @@ def repaired(claims: DataFrame, sources: DataFrame, key: str = "bill_dir", claim
     """OP-REP-01/03: per provision tier, start, end and text (the source's own, the excerpt where nothing was found).
 
     Empty excerpts are exact without a span; claims without a source are unverified. A bill's claims are dealt into parts
-    of about ``claims_per_task``, and each part meets its own copy of the source in a cogroup and indexes it once.
+    of about ``claims_per_task``; a row holds a part's claims and the source, and many rows go to Python at once, so short
+    bills cost no group each.
     """
     kind = claims.schema[key].dataType.simpleString()
 
-    def per_part(c: pa.Table, s: pa.Table) -> pa.Table:
-        source, rows = Source((s.column("source")[0].as_py() or "").encode() if s.num_rows else b""), []
-        for i, raw in zip(c.column("provision_index").to_pylist(), c.column("raw_text").to_pylist(), strict=True):
-            raw = (raw or "").encode()
-            tier, start, end = locate(raw, source) if raw.strip() else ("exact", -1, -1)
-            rows.append((i, tier, start, end, (source.bytes[start:end] if start >= 0 else raw).decode()))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.table([c.column(key), *[pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[key, "provision_index", "match_tier", "start", "end", "text"])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed, sources_ = b.column("claims"), b.column("source").cast(pa.large_binary())
+            flat, ends = listed.flatten(), np.cumsum(listed.value_lengths().to_numpy()).tolist()
+            raws, rows, at = flat.field("raw_text").cast(pa.large_binary()).to_pylist(), [], 0
+            for i, end in enumerate(ends):
+                source = Source(sources_[i].as_py() or b"")
+                for raw in raws[at:end]:
+                    raw = raw or b""
+                    tier, start, stop = locate(raw, source) if raw.strip() else ("exact", -1, -1)
+                    rows.append((i, tier, start, stop, source.bytes[start:stop] if start >= 0 else raw))
+                at = end
+            owner, tiers, starts, stops, texts = zip(*rows, strict=True) if rows else [()] * 5
+            cols = [b.column("__key").take(pa.array(owner, pa.int64())), flat.field("provision_index"), pa.array(tiers, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "provision_index", "match_tier", "start", "end", "text"])
 
     parts = claims.groupBy(F.col(key).alias("__bill")).agg(F.ceil(F.count("*") / claims_per_task).cast("int").alias("__parts"))
     same = F.col("__bill").eqNullSafe(F.col("__key"))
-    left = claims.select(F.col(key).alias("__key"), key, F.col("provision_index").cast("long").alias("provision_index"), "raw_text").join(parts, same)
-    left = left.withColumn("__part", F.pmod(F.xxhash64("provision_index", "raw_text"), F.col("__parts")).cast("int")).drop("__bill", "__parts")
-    right = sources.select(F.col(key).alias("__key"), "source").join(parts, same).select("__key", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "source")
-    out = left.groupBy("__key", "__part").cogroup(right.groupBy("__key", "__part")).applyInArrow(per_part, f"{key} {kind}, provision_index long, match_tier string, start long, end long, text string")
+    left = claims.select(F.col(key).alias("__key"), F.col("provision_index").cast("long").alias("provision_index"), "raw_text").join(parts, same)
+    dealt = left.groupBy("__key", F.pmod(F.xxhash64("provision_index", "raw_text"), F.col("__parts")).alias("__part")).agg(F.collect_list(F.struct("provision_index", "raw_text")).alias("claims"))
+    whole = sources.groupBy(F.col(key).alias("__bill")).agg(F.first("source").alias("source"))
+    out = dealt.join(whole, same, "left").select("__key", "claims", "source").mapInArrow(find, f"{key} {kind}, provision_index long, match_tier string, start long, end long, text string")
     return out.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("start", "end")})
 
 

@@ -64,3 +64,19 @@ def test_positions_follow_orders_over_ranges(spark, tmp_path):
     for k, day, priority in orders:
         bills.setdefault(f"{day.year}-{priority}", []).extend((x[0], x[3]) for x in lines if x[0] == k and x[1] == 1)
     assert got == sorted((b, i, n) for b, rows in bills.items() for i, (_, n) in enumerate(sorted(rows)))
+
+
+def test_short_sources_are_searched_without_an_index(spark, monkeypatch):
+    """With the same results as by the index; bills share a task's calls instead of each being a group."""
+    from ledgerlark.operators import repair
+
+    text = "SEC. 1. For pay — “and” rent,  available until spent.\nSEC. 2. For ünïts  of 12,345 and more, until the end of the year.\n" * 2
+    raws = [text[a : a + n] for a in range(0, 90, 7) for n in (3, 14, 15, 40, 120)]
+    raws += [r + " zz" for r in raws] + ["zzzz" + r for r in raws] + [r.replace(" ", "  ") for r in raws] + [r[::-1] for r in raws]
+    short = [repair.locate(r.encode(), repair.Source(text.encode())) for r in raws]
+    monkeypatch.setattr(repair, "SHORT", 0)
+    assert short == [repair.locate(r.encode(), repair.Source(text.encode())) for r in raws] and len({t for t, *_ in short}) == 5
+    claims = spark.createDataFrame([("a", 1, text[:50]), ("b", 2, None), (None, 3, text[:50])], "bill_dir string, provision_index long, raw_text string")
+    done = repair.repaired(claims, spark.createDataFrame([("a", text), (None, text)], "bill_dir string, source string"))
+    assert sorted((r.provision_index, r.match_tier, r.start) for r in done.collect()) == [(1, "exact", 0), (2, "exact", None), (3, "exact", 0)]
+    assert "CoGroup" not in done._jdf.queryExecution().toString()
