@@ -84,9 +84,14 @@ def _member(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant")
 
 
+def _string_at(v: Column, path: str) -> Column:
+    """The text in that place; null for anything else, as of all JSON texts alone are read as bytes."""
+    return F.try_variant_get(v, path, "binary").cast("string")
+
+
 def string(v: Column) -> Column:
     """A text; null for anything else."""
-    return F.when(_shape(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return _string_at(v, "$")
 
 
 def whole(v: Column) -> Column:
@@ -118,21 +123,32 @@ def _dollars(v: Column) -> Column:
 def amount(v: Column) -> Column:
     """OP-JSON-03: kind, dollars, semantics and text; null if there is no amount. Such sums have no dollars; a text loses its
     marks, and what is no whole number then is 0."""
-    kind = string(F.coalesce(_member(v, "kind"), _member(v, "value.kind")))
-    number = _dollars(v)
-    bare = F.regexp_replace(string(number), "[,$]", "")
-    parsed = F.when(_shape(number) == "STRING", F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("bigint"))).otherwise(F.when(_shape(number) == "BIGINT", F.try_variant_get(number, "$", "bigint")))
-    given = _shape(number).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    such = F.coalesce(kind == "such_sums", F.lit(False))
-    there = _object(v) & (such | (given & F.coalesce(kind != "none", F.lit(True))))
-    read = F.struct(F.when(such, "such_sums").otherwise("specific").alias("kind"), F.when(~such, F.coalesce(parsed, F.lit(0))).alias("dollars"), F.coalesce(string(_member(v, "semantics")), F.lit("other")).alias("semantics"), F.coalesce(string(_member(v, "text_as_written")), F.lit("")).alias("text_as_written"))
-    return F.when(there, read)
+    return paid(v)["a"]
 
 
 def bent(v: Column) -> Column:
     """Whether an amount's number was a text."""
-    kind = F.coalesce(string(F.coalesce(_member(v, "kind"), _member(v, "value.kind"))), F.lit(""))
-    return _object(v) & (_shape(_dollars(v)) == "STRING") & ~kind.isin("such_sums", "none")
+    return F.coalesce(paid(v)["bent"], F.lit(False))
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(_string_at(v, "$.kind"), F.when(_member(v, "kind").isNull(), _string_at(v, "$.value.kind")))
+
+
+def paid(v: Column) -> Column:
+    """``amount`` as ``a``, and ``bent``; what has no number is neither. Kind, number, its text and its shape are read once."""
+    told = F.struct(_kind(v).alias("kind"), _dollars(v).alias("number"))
+    shaped = _once(told, lambda t: F.struct(t["kind"].alias("kind"), t["number"].alias("number"), string(t["number"]).alias("text"), _shape(t["number"]).alias("shape")))
+
+    def read(t: Column) -> Column:
+        bare = F.regexp_replace(t["text"], "[,$]", "")
+        parsed = F.when(t["shape"] == "STRING", F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("bigint"))).when(t["shape"] == "BIGINT", F.try_variant_get(t["number"], "$", "bigint"))
+        such, kind = F.coalesce(t["kind"] == "such_sums", F.lit(False)), F.coalesce(t["kind"], F.lit(""))
+        there = such | (t["shape"].rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)") & (kind != "none"))  # only objects have either
+        a = F.struct(F.when(such, "such_sums").otherwise("specific").alias("kind"), F.when(~such, F.coalesce(parsed, F.lit(0))).alias("dollars"), F.coalesce(_string_at(v, "$.semantics"), F.lit("other")).alias("semantics"), F.coalesce(_string_at(v, "$.text_as_written"), F.lit("")).alias("text_as_written"))
+        return F.struct(F.when(there, a).alias("a"), ((t["shape"] == "STRING") & ~kind.isin("such_sums", "none")).alias("bent"))
+
+    return F.when(v.isNotNull(), _once(shaped, read))
 
 
 def availability(v: Column) -> Column:
@@ -226,34 +242,35 @@ def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False) -> Da
     read = answers(rows, key, text, chunks)
     listed = F.coalesce(F.try_variant_get("v", "$.provisions", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     each = read.select(key, "error", F.posexplode_outer(F.when(F.col("error").isNull(), listed)).alias("ord", "p")).where("error is not null or ord is not null")
-    # every field once: its shape, its text (other values as JSON) and the value itself
-    field = lambda _, x: F.struct(_shape(x).alias("shape"), F.coalesce(string(x), F.to_json(x)).alias("text"), x.alias("v"))
-    each = each.select(key, "error", "ord", F.transform_values(F.try_variant_get("p", "$", "map<string,variant>"), field).alias("f"))
-    value = lambda n: F.col("f")[n]["v"]
-    shape = lambda n: F.coalesce(F.col("f")[n]["shape"], F.lit("VOID"))
-    text_of = lambda n: F.when(shape(n) == "STRING", F.col("f")[n]["text"])
-    failed, named = F.col("f").isNull(), F.coalesce(text_of("provision_type"), F.lit(""))
+    # what is told by texts is read at once; other fields where they are needed, each from its place
+    names = lambda table: dict.fromkeys(n if isinstance(n, str) else n[0] for v in table.values() for n in v)
+    known = dict.fromkeys(("provision_type", "section", "raw_text", "division", "title", "recipient", "location", "requesting_member", "confidence")) | names(_TOLD) | names(_TEXT)
+    each = each.select(key, "error", "ord", "p", F.try_variant_get("p", "$", f"struct<{','.join(f'{n}:binary' for n in known)}>").alias("t"))
+    value = lambda n: F.try_variant_get("p", f"$.{n}", "variant")
+    text_of = lambda n: F.col("t")[n].cast("string")
+    void = lambda n: F.col("t")[n].isNull() & (value(n).isNull() | F.is_variant_null(value(n)))
+    failed, named = F.col("t").isNull(), F.coalesce(text_of("provision_type"), F.lit(""))
     known = F.when(named.isin(*(t for t in TYPES if t != "other")), named).otherwise("other")
-    money = F.transform(F.array(*(value(n) for n in ("amount", "new_amount", "old_amount"))), lambda v: F.struct(amount(v).alias("a"), bent(v).alias("bent")))
-    each = each.select(key, "error", "ord", "f", failed.alias("failed"), named.alias("named"), F.when(~failed, known).alias("kind"), F.when(~failed, money).alias("money"))
-    paid = dict(zip(("amount", "new_amount", "old_amount"), (F.col("money")[i] for i in range(3)), strict=True))
+    amounts = {n: [*_of(_AMOUNTS, n), *(["other"] if n == "amount" else [])] for n in ("amount", "new_amount", "old_amount")}
+    money = F.transform(F.array(*(F.when(known.isin(*kinds), value(n)) for n, kinds in amounts.items())), paid)
+    each = each.select(key, "error", "ord", "p", "t", failed.alias("failed"), named.alias("named"), F.when(~failed, known).alias("kind"), F.when(~failed, money).alias("money"))
+    sums = dict(zip(("amount", "new_amount", "old_amount"), (F.col("money")[i] for i in range(3)), strict=True))
     of = lambda kinds, c: F.when(F.col("kind").isin(*kinds), c)
     good = ~F.col("failed")
 
     out = {n: F.when(good, F.coalesce(text_of(n), F.lit(""))) for n in ("section", "raw_text")} | {n: text_of(n) for n in ("division", "title")}
     out["confidence"] = F.when(good, _once(value("confidence"), share))
     out |= {"notes": F.when(good, strings(value("notes"))), "cross_references": F.when(good, F.transform(members(value("cross_references"), _object), reference))}
-    names = lambda table: dict.fromkeys(n if isinstance(n, str) else n[0] for v in table.values() for n in v)
     for n in names(_TOLD) | names(_TEXT):
-        expected = F.when(shape(n) == "VOID", "").otherwise(F.col("f")[n]["text"])
+        expected = F.coalesce(text_of(n), F.when(void(n), "").otherwise(F.to_json(value(n))))
         out[n] = F.coalesce(*(of(kinds, c) for kinds, c in ((_of(_TOLD, n), expected), (_of(_TEXT, n), text_of(n))) if kinds))
     out |= {n: of(_of(_TEXTS, n), strings(value(n))) for n in names(_TEXTS)}
     zero = lambda meaning: F.struct(F.lit("specific").alias("kind"), F.lit(0).cast("bigint").alias("dollars"), F.lit(meaning).alias("semantics"), F.lit("").alias("text_as_written"))
     for n in names(_AMOUNTS):
         meant = {k: m for k, v in _AMOUNTS.items() for f, m in v if f == n}
         default = reduce(lambda c, k: c.when(F.col("kind") == k, zero(meant[k])), [k for k in meant if meant[k]], F.when(F.lit(False), F.lit(None).cast(_AMOUNT)))
-        out[n] = of(meant, F.coalesce(paid[n]["a"], default))
-    out["amounts"] = of(["other"], F.array_compact(F.array(paid["amount"]["a"])))
+        out[n] = of(meant, F.coalesce(sums[n]["a"], default))
+    out["amounts"] = of(["other"], F.array_compact(F.array(sums["amount"]["a"])))
     out["fiscal_year"] = of(["appropriation"], _once(value("fiscal_year"), whole))
     out["reference_year"] = of(["continuing_resolution_baseline"], F.coalesce(_once(value("reference_year"), whole), F.lit(0)))
     out["availability"] = of(["appropriation"], _once(value("availability"), availability))
@@ -262,12 +279,12 @@ def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False) -> Da
     own = {n: text_of(n) for n in ("recipient", "location", "requesting_member")}
     out["earmark"] = of(["directed_spending"], F.struct(*((c if n == "requesting_member" else F.coalesce(c, F.lit(""))).alias(n) for n, c in own.items())))
     out["limit"] = of(["transfer_authority"], _once(value("limit"), transfer_limit))
-    out["metadata"] = of(["other"], F.transform_values(F.map_filter("f", lambda k, _: ~k.isin(*_COMMON)), lambda _, x: F.to_json(x["v"])))
+    out["metadata"] = of(["other"], F.transform_values(F.map_filter(F.try_variant_get("p", "$", "map<string,variant>"), lambda k, _: ~k.isin(*_COMMON)), lambda _, x: F.to_json(x)))
 
-    missing = [of(_of(_TOLD, n), shape(n) == "VOID") for n in names(_TOLD)]
-    coerced = [of(_of(_TOLD, n), ~shape(n).isin("VOID", "STRING")) for n in names(_TOLD)]
-    coerced += [of([*_of(_AMOUNTS, n), *(["other"] if n == "amount" else [])], paid[n]["bent"]) for n in names(_AMOUNTS)] + [good & (shape("confidence") == "STRING")]
-    lost = of(_WARNED, paid["amount"]["a"].isNull())
+    missing = [of(_of(_TOLD, n), void(n)) for n in names(_TOLD)]
+    coerced = [of(_of(_TOLD, n), F.col("t")[n].isNull() & ~void(n)) for n in names(_TOLD)]
+    coerced += [of(amounts[n], sums[n]["bent"]) for n in names(_AMOUNTS)] + [good & F.col("t")["confidence"].isNotNull()]
+    lost = of(_WARNED, sums["amount"]["a"].isNull())
     warning = F.when(F.col("error").isNull() & F.col("failed"), F.concat(F.lit("Provision "), F.col("ord").cast("string"), F.lit(": provision not an object"))).when(lost, F.concat(F.lit("SEC "), F.coalesce(text_of("section"), F.lit("")), F.lit(": missing amount on "), F.col("kind")))
     error = F.coalesce("error", F.when(F.col("failed"), F.lit("provision not an object")))
     return each.select(key, "ord", "failed", error.alias("error"), F.col("kind").alias("provision_type"), of(["other"], F.col("named")).alias("llm_classification"), *(c.alias(n) for n, c in out.items()), _total(missing).alias("null_to_default"), _total(coerced).alias("type_coercions"), warning.alias("warning"))

@@ -80,3 +80,16 @@ def test_short_sources_are_searched_without_an_index(spark, monkeypatch):
     done = repair.repaired(claims, spark.createDataFrame([("a", text), (None, text)], "bill_dir string, source string"))
     assert sorted((r.provision_index, r.match_tier, r.start) for r in done.collect()) == [(1, "exact", 0), (2, "exact", None), (3, "exact", 0)]
     assert "CoGroup" not in done._jdf.queryExecution().toString()
+
+
+def test_answers_are_read_by_places_and_only_for_their_type(spark):
+    """Texts are told from other values without inferring the schema of either; amounts that a type lacks aren't read."""
+    from ledgerlark.operators import lenient
+
+    one = '{"provision_type":"%s","account_name":%s,"confidence":"0.5","amount":{"dollars":"$1,2"},"old_amount":{"dollars":"7"}}'
+    told = [one % x for x in (("appropriation", "1000.0"), ("appropriation", "null"), ("cr_substitution", "{}"), ("x", "true"))]
+    rows = lenient.provisions(spark.createDataFrame([("k", '{"provisions":[%s,3]}' % ",".join(told))], "id string, answer string"), "id", "answer", chunks=True)
+    plan = rows.select("id", "account_name", "type_coercions", "null_to_default")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map<string,struct" not in plan and plan.lower().count("schema_of_variant") + plan.count("schemaOfVariant") < 6
+    found = [(r.account_name, r.type_coercions, r.null_to_default, r.failed) for r in rows.orderBy("ord").collect()]
+    assert found == [("1000", 3, 1, False), ("", 2, 2, False), (None, 2, 2, False), (None, 2, 1, False), (None, 0, 0, True)]
