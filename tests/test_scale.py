@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.plans import artifacts, queries
+from ledgerlark.plans import artifacts, bridge, queries
 
 
 def test_sums_and_digits_beyond_64_bits(spark, tmp_path):
@@ -66,6 +66,28 @@ def test_positions_follow_orders_over_ranges(spark, tmp_path):
     assert got == sorted((b, i, n) for b, rows in bills.items() for i, (_, n) in enumerate(sorted(rows)))
 
 
+def test_the_view_shuffles_lines_twice_and_no_names(spark, monkeypatch):
+    """By part and by order; places come by broadcast, or by a shuffle of numbers where suppliers are many, with equal rows."""
+    d, plans = "/root/testdata/sf0.001", []
+    keep = bridge._kept
+    monkeypatch.setattr(bridge, "_kept", lambda rows, root: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows, root))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = sorted(map(str, bridge._numbered(spark, d).collect()))
+        moved = [x for x in plans[-1].splitlines() if "Exchange hashpartitioning(" in x]
+        assert sum("l_partkey" in x or "l_suppkey" in x or "l_orderkey" in x for x in moved) == 2 and not any("n_name" in x for x in moved)
+        monkeypatch.setattr(bridge, "BROADCAST_SEATS", 0)
+        assert sorted(map(str, bridge._numbered(spark, d).collect())) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_of_bills_are_made_without_sorting_provisions(spark):
+    _, marked = artifacts._bill_texts(queries._view(spark, "/root/testdata/sf0.001"))
+    steps = [x for x in marked._jdf.queryExecution().executedPlan().toString().splitlines() if x.strip()]
+    assert "FileScan parquet" in steps[-1] and not any("Sort" in x for x in steps[-4:])  # up to the first shuffle
+
+
 def test_short_sources_are_searched_without_an_index(spark, monkeypatch):
     """With the same results as by the index; bills share a task's calls instead of each being a group."""
     from ledgerlark.operators import repair
