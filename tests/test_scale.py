@@ -88,6 +88,20 @@ def test_texts_of_bills_are_made_without_sorting_provisions(spark):
     assert "FileScan parquet" in steps[-1] and not any("Sort" in x for x in steps[-4:])  # up to the first shuffle
 
 
+def test_suggestions_read_the_view_once(spark):
+    """Accounts and agencies are kept, and neither suggestions nor their clusters read the view again."""
+    from ledgerlark.operators import entities
+
+    view = spark.range(8).selectExpr("'appropriation' as provision_type", "'new_budget_authority' as semantics", "'' as detail_level", "'fund ' || (id % 2) as account_name", "'Agency ' || (id div 4) as agency", "array(cast(2000 + id div 4 as int)) as fiscal_years", "id as dollars").hint("rebalance")
+    found = entities.suggest(view)
+    done = entities.clusters(view, found)
+    for rows in (found, done):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan and "Relation" in plan
+    assert [(r.canonical, r.member, r.orphan_pairs_resolved) for r in found.collect()] == [("Agency 0", "Agency 1", 2)]
+    assert [(r.provisions, r.agencies) for r in done.collect()] == [(8, ["Agency 0", "Agency 1"])]
+
+
 def test_short_sources_are_searched_without_an_index(spark, monkeypatch):
     """With the same results as by the index; bills share a task's calls instead of each being a group."""
     from ledgerlark.operators import repair
