@@ -82,6 +82,30 @@ def test_the_view_shuffles_lines_twice_and_no_names(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_the_view_shuffles_no_text_of_lines_and_counts_parts(spark, tmp_path, monkeypatch):
+    """What is shuffled of a line is numbers; keys of parts that repeat or lack give the rows that the plain joins give."""
+    d, plans = "/root/testdata/sf0.001", []
+    part = spark.read.parquet(f"{d}/part.parquet")
+    for name in ("region", "nation", "supplier", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{d}/{name}.parquet")
+    keep = bridge._kept
+    monkeypatch.setattr(bridge, "_kept", lambda rows, root: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows, root))
+    bridge._numbered(spark, d)
+    lines = plans[-1].splitlines()
+    for k, x in enumerate(lines):
+        if "Exchange hashpartitioning(l_orderkey" in x or "Exchange hashpartitioning(l_partkey" in x:
+            assert "marks" in lines[k + 1] and "p_name" not in lines[k + 1] and "o_orderpriority" not in lines[k + 1]
+    t = lambda n: spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+    for odd in (part.where("p_partkey % 3 <> 1"), part.where("p_partkey % 3 <> 1").unionByName(part.where("p_partkey % 50 = 3").withColumn("p_size", F.lit(7)))):
+        odd.write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(odd, F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        key = ["o_orderpriority", "l_linenumber", "p_size"]
+        wanted = sorted(map(tuple, rows.groupBy(*key).agg(F.count("*").alias("n")).collect()))
+        got = bridge._numbered(spark, str(tmp_path))
+        assert sorted(map(tuple, got.groupBy(*key).agg(F.count("*").alias("n")).collect())) == wanted
+        assert got.groupBy("fy", "o_orderpriority").agg(F.count_distinct("position").alias("n"), F.max("position").alias("m"), F.count("*").alias("c")).where("n <> c or m <> c - 1").isEmpty()
+
+
 def test_texts_of_bills_are_made_without_sorting_provisions(spark):
     _, marked = artifacts._bill_texts(queries._view(spark, "/root/testdata/sf0.001"))
     steps = [x for x in marked._jdf.queryExecution().executedPlan().toString().splitlines() if x.strip()]
