@@ -49,15 +49,19 @@ class Criteria:
 def evidence(amount_checks: DataFrame, text_checks: DataFrame) -> DataFrame:
     """OP-JOIN-01: amount_status and match_tier of each checked provision; of several checks the last holds."""
     found = F.when(F.col("status") == "verified", "found").when(F.col("status") == "ambiguous", "found_multiple").when(F.col("status") == "not_found", "not_found")
-    key = ["bill_dir", "provision_index"]
-    amounts = amount_checks.select(*key, "ordinal", found.alias("s")).where("s is not null").groupBy(*key).agg(F.max_by("s", "ordinal").alias("amount_status"))
-    texts = text_checks.groupBy(*key).agg(F.max_by("match_tier", "ordinal").alias("match_tier"))
-    return amounts.join(texts, key, "full_outer")
+    key, none = ["bill_dir", "provision_index"], F.lit(None)
+    amounts = amount_checks.select(*key, found.alias("s"), F.col("ordinal").alias("a"), none.cast("string").alias("match_tier"), none.cast("int").alias("t")).where("s is not null")
+    texts = text_checks.select(*key, none.cast("string").alias("s"), none.cast("int").alias("a"), "match_tier", F.col("ordinal").alias("t"))
+    return amounts.unionByName(texts).groupBy(*key).agg(F.max_by("s", "a").alias("amount_status"), F.max_by("match_tier", "t").alias("match_tier"))
 
 
 def search(view: DataFrame, criteria: Criteria, supported: DataFrame) -> DataFrame:
-    """OP-SRCH-01: matching provisions with amount_status, match_tier and quality."""
-    joined = criteria.apply(view).drop("amount_status", "match_tier").join(supported, ["bill_dir", "provision_index"], "left")
+    """OP-SRCH-01: matching provisions with amount_status, match_tier and quality. Where the criteria choose bills, the support
+    of no other bill is brought together."""
+    rows = criteria.apply(view).drop("amount_status", "match_tier")
+    if criteria.bill is not None or criteria.fiscal_year is not None:
+        supported = supported.join(F.broadcast(rows.select("bill_dir").distinct()), "bill_dir", "left_semi")
+    joined = rows.join(supported, ["bill_dir", "provision_index"], "left")
     return joined.withColumn("quality", quality(F.col("amount_status"), F.col("match_tier")))
 
 

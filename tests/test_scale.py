@@ -106,6 +106,21 @@ def test_the_view_shuffles_no_text_of_lines_and_counts_parts(spark, tmp_path, mo
         assert got.groupBy("fy", "o_orderpriority").agg(F.count_distinct("position").alias("n"), F.max("position").alias("m"), F.count("*").alias("c")).where("n <> c or m <> c - 1").isEmpty()
 
 
+def test_support_is_brought_together_for_found_bills_alone(spark):
+    """With the same rows; checks are joined with their bills before they are shuffled."""
+    from ledgerlark.operators import search
+
+    view = queries._view(spark, "/root/testdata/sf0.001")
+    checks = spark.createDataFrame([("b", 1, 0, "verified"), ("b", 1, 1, "x"), ("b", 2, 0, None), ("c", 4, 0, "ambiguous")], "bill_dir string, provision_index long, ordinal int, status string")
+    tiers = spark.createDataFrame([("b", 1, 0, "exact"), ("b", 1, 1, None), ("b", 3, 0, "exact")], "bill_dir string, provision_index long, ordinal int, match_tier string")
+    assert sorted(map(tuple, search.evidence(checks, tiers).collect()), key=str) == [("b", 1, "found", None), ("b", 3, None, "exact"), ("c", 4, "found_multiple", None)]
+    found = search.search(view, search.Criteria(provision_type="rescission", fiscal_year=1998), search.evidence(*bridge.checks(view)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and plan.index("max_by") < plan.index("Union") < plan.index("Join LeftSemi")
+    mine = view.where("provision_type = 'rescission' and fy = 1998")
+    assert found.count() == mine.count() and found.where("match_tier is not null").count() == mine.where("tier is not null").count()
+
+
 def test_texts_of_bills_are_made_without_sorting_provisions(spark):
     _, marked = artifacts._bill_texts(queries._view(spark, "/root/testdata/sf0.001"))
     steps = [x for x in marked._jdf.queryExecution().executedPlan().toString().splitlines() if x.strip()]
