@@ -18,8 +18,9 @@ def artifact(spark: SparkSession, root: str, name: str, schema: str) -> DataFram
     files that don't parse are left out, as if absent."""
     stem, _, suffix = name.partition(".")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{stem}{{,.part-*}}.{suffix}{{,.gz}}").text(root, wholetext=True)
-    # parsed by an expression, as the JSON source can't tell broken files where few columns are read
-    parsed = files.select(directory().alias("bill_dir"), F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    # parsed by an expression, as the JSON source can't tell broken files where few columns are read; a list of one is
+    # exploded, as a filter on a plain column would parse each file once more
+    parsed = files.select(directory().alias("bill_dir"), F.explode(F.array(F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))).alias("j"))
     return parsed.where("j is not null and j._corrupt is null").select("j.*", "bill_dir").drop("_corrupt")
 
 
@@ -29,8 +30,9 @@ def _parts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
 
 
 def _head(parts: DataFrame, *columns: Column) -> DataFrame:
-    """A row per bill of which all parts were read: what every part repeats."""
-    return parts.groupBy("bill_dir").agg(*columns, F.count("*").alias("__n"), F.max("parts").alias("__parts")).where("__n = __parts").drop("__n", "__parts")
+    """A row per bill of which all parts were read: what every part repeats. Only what is in ``parts`` is shuffled and then
+    sorted by bill; without that shuffle, tasks would sort whole parts with all they list."""
+    return parts.repartition("bill_dir").groupBy("bill_dir").agg(*columns, F.count("*").alias("__n"), F.max("parts").alias("__parts")).where("__n = __parts").drop("__n", "__parts")
 
 
 def extractions(spark: SparkSession, root: str) -> DataFrame:
@@ -58,9 +60,12 @@ def _joined(found: DataFrame, meta: DataFrame, checks: DataFrame) -> DataFrame:
 def heads(spark: SparkSession, root: str) -> DataFrame:
     """OP-SRC-01/SORT-01: bills with the heads of their optional sidecars, by identifier. What a bill lists (its provisions,
     checks and timings) is only counted here and never in one row; ``listed``, ``verifications`` and ``metadata`` read it by parts."""
-    found = _head(extractions(spark, root), F.first("schema_version").alias("schema_version"), F.first("bill").alias("bill"), F.sum(F.size("provisions")).cast("int").alias("n_provisions"), F.first("summary").alias("summary"))
-    meta = _head(metadata(spark, root), F.first(F.struct("meta.congress", "meta.bill_nature", "meta.extraction_sha256", "meta.meta_fiscal_years")).alias("meta"))
-    checks = _head(verifications(spark, root), F.first(F.struct("verification.completeness", "verification.counts")).alias("verification"))
+    parts = extractions(spark, root).select("bill_dir", "parts", "schema_version", "bill", F.size("provisions").alias("n"), "summary")
+    found = _head(parts, F.first("schema_version").alias("schema_version"), F.first("bill").alias("bill"), F.sum("n").cast("int").alias("n_provisions"), F.first("summary").alias("summary"))
+    about = F.struct("meta.congress", "meta.bill_nature", "meta.extraction_sha256", "meta.meta_fiscal_years").alias("meta")
+    meta = _head(metadata(spark, root).select("bill_dir", "parts", about), F.first("meta").alias("meta"))
+    counts = F.struct("verification.completeness", "verification.counts").alias("verification")
+    checks = _head(verifications(spark, root).select("bill_dir", "parts", counts), F.first("verification").alias("verification"))
     return _joined(found.select("bill_dir", "schema_version", "bill.*", "n_provisions", "summary"), meta, checks)
 
 

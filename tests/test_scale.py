@@ -35,6 +35,36 @@ def test_bills_in_several_files(spark, monkeypatch):
     assert parts.agg(F.max("n")).first()[0] == 50 and parts.count() > parts.select("bill_dir").distinct().count()
 
 
+def test_heads_of_bills_are_made_without_sorting_what_they_list(spark, tmp_path):
+    """A part is parsed once, and only its head is shuffled and sorted; lists are put together as texts."""
+    (tmp_path / "b1").mkdir()
+    (tmp_path / "b1" / "extraction.json").write_text('{"bill":{"identifier":"H.R. 1"},"provisions":[]}')
+    lines = artifacts.sources.heads(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [k for k, x in enumerate(lines) if "FileScan text" in x]
+    for k in scans:
+        steps = [x.split("(")[0] for x in lines[max(i for i in range(k) if "Exchange hashpartitioning(bill_dir" in lines[i]) : k]]
+        assert len(steps) > 2 and not any("Sort" in x for x in steps)
+    assert len(scans) == 3 and sum(x.count("from_json(") for x in lines) == 3
+    view = queries._view(spark, "/root/testdata/sf0.001").withColumn("part", F.lit(0))
+    for made in (artifacts._extractions, artifacts._checked, artifacts._meta):
+        plan = made(view, view)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("StructsToJson" in x[:250] for x in plan.split("collect_list(")[1:])
+
+
+def test_artifacts_in_a_shared_folder_are_written_without_a_process_a_file(spark, tmp_path):
+    """Hadoop would leave a checksum beside each file that it writes, and runs chmod for it; folders are called as by Spark."""
+    rows = spark.createDataFrame([("a/b", 0, "x é"), ("a/b", 1, "y"), (None, 0, None), ("c", 0, "z")], "bill_dir string, part int, value string")
+    artifacts.sinks.write_artifact(rows, f"file://{tmp_path}", "n.json.gz")
+    artifacts.sinks.write_artifact(rows.where("part = 0").drop("part"), f"file://{tmp_path}", "n.txt")
+    names = ["__HIVE_DEFAULT_PARTITION__/n.json.gz", "__HIVE_DEFAULT_PARTITION__/n.txt", "a%2Fb/n.json.gz", "a%2Fb/n.part-000001.json.gz", "a%2Fb/n.txt", "c/n.json.gz", "c/n.txt"]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == names
+    assert (tmp_path / "a%2Fb" / "n.txt").read_bytes() == "x é\n".encode()
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").text(str(tmp_path), wholetext=True)
+    assert sorted(r.value for r in read.collect()) == ["x é\n", "y\n", "z\n"]
+    artifacts.sinks.write_artifact(rows, str(tmp_path / "other"), "n.json.gz")
+    assert sorted(str(p.relative_to(tmp_path / "other")) for p in (tmp_path / "other").rglob("*.gz")) == [n for n in names if n.endswith(".gz")]
+
+
 def test_a_bill_that_lacks_a_part_is_absent(spark, tmp_path):
     for folder, held in (("b1", [0, 1]), ("b2", [0])):
         (tmp_path / folder).mkdir()
