@@ -18,10 +18,8 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def provisions(bills: DataFrame) -> DataFrame:
-    """From ``sources.bills`` or ``sources.listed``: one row per provision. A part's provisions count from its ``first_index``."""
-    first = F.col("first_index") if "first_index" in bills.columns else F.lit(0)
-    rows = bills.select("bill_dir", "identifier", "congress", "classification", "fiscal_years", first.alias("first"), F.posexplode("provisions").alias("pos", "p")).withColumn("provision_index", F.col("first") + F.col("pos"))
+def fields() -> list[Column]:
+    """The accessor columns of a provision ``p`` with its ``provision_index``."""
     kind = F.col("p.provision_type")
     of = lambda c, *kinds: F.when(kind.isin(*kinds), F.col(f"p.{c}"))
     amount = F.when(kind == "cr_substitution", F.col("p.new_amount")).when(kind.isin("appropriation", "rescission", "limitation", "directed_spending", "mandatory_spending_extension"), F.col("p.amount"))
@@ -33,12 +31,7 @@ def provisions(bills: DataFrame) -> DataFrame:
         .when(kind == "cr_substitution", F.concat_ws(" ", "p.reference_act", "p.reference_section"))
         .when(kind == "appropriation", F.col("p.program"))
     )
-    return rows.select(
-        "bill_dir",
-        "identifier",
-        "congress",
-        "classification",
-        "fiscal_years",
+    return [
         F.col("provision_index").cast("long").alias("provision_index"),
         kind.alias("provision_type"),
         _text(F.col("p.section")).alias("section"),
@@ -60,7 +53,14 @@ def provisions(bills: DataFrame) -> DataFrame:
         _text(of("availability", "appropriation")).alias("availability"),
         F.coalesce("p.earmarks", F.array().cast("array<struct<recipient:string,location:string,requesting_member:string>>")).alias("earmarks"),
         F.col("p.earmark").alias("earmark"),
-    )
+    ]
+
+
+def provisions(bills: DataFrame) -> DataFrame:
+    """From ``sources.bills`` or ``sources.listed``: one row per provision. A part's provisions count from its ``first_index``."""
+    first = F.col("first_index") if "first_index" in bills.columns else F.lit(0)
+    rows = bills.select("bill_dir", "identifier", "congress", "classification", "fiscal_years", first.alias("first"), F.posexplode("provisions").alias("pos", "p")).withColumn("provision_index", F.col("first") + F.col("pos"))
+    return rows.select("bill_dir", "identifier", "congress", "classification", "fiscal_years", *fields())
 
 
 def embedding_text(view: DataFrame) -> DataFrame:

@@ -57,11 +57,25 @@ def _joined(found: DataFrame, meta: DataFrame, checks: DataFrame) -> DataFrame:
     return joined.withColumn("congress", congress).orderBy("identifier", "bill_dir")
 
 
-def heads(spark: SparkSession, root: str) -> DataFrame:
+def extracted(spark: SparkSession, root: str) -> DataFrame:
+    """A row a provision (``provision_index``, ``p``) of all ``extractions``, to be kept where both bills and provisions are asked
+    for, as a part is then parsed once. A part's ``head`` stands on its first row; a part that lists none is a row without an index."""
+    head = F.struct("parts", "schema_version", "bill", "summary")  # not of the list, which each row would carry
+    rows = extractions(spark, root).select("bill_dir", head.alias("head"), "first_index", F.posexplode_outer("provisions").alias("pos", "p"))
+    return rows.select("bill_dir", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")).alias("head"), (F.col("first_index") + F.col("pos")).alias("provision_index"), "p")
+
+
+def heads(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:
     """OP-SRC-01/SORT-01: bills with the heads of their optional sidecars, by identifier. What a bill lists (its provisions,
-    checks and timings) is only counted here and never in one row; ``listed``, ``verifications`` and ``metadata`` read it by parts."""
-    parts = extractions(spark, root).select("bill_dir", "parts", "schema_version", "bill", F.size("provisions").alias("n"), "summary")
-    found = _head(parts, F.first("schema_version").alias("schema_version"), F.first("bill").alias("bill"), F.sum("n").cast("int").alias("n_provisions"), F.first("summary").alias("summary"))
+    checks and timings) is only counted here and never in one row; ``listed``, ``verifications`` and ``metadata`` read it by parts.
+    ``rows``: what ``extracted`` read, if it was kept."""
+    columns = [F.first(c).alias(c) for c in ("schema_version", "bill", "summary")]
+    if rows is None:
+        parts = extractions(spark, root).select("bill_dir", "parts", "schema_version", "bill", F.size("provisions").alias("n"), "summary")
+        found = _head(parts, *columns, F.sum("n").cast("int").alias("n_provisions"))
+    else:
+        counted = rows.groupBy("bill_dir").agg(F.count("provision_index").cast("int").alias("n_provisions"))
+        found = _head(rows.where("head is not null").select("bill_dir", "head.*"), *columns).join(counted, "bill_dir")
     about = F.struct("meta.congress", "meta.bill_nature", "meta.extraction_sha256", "meta.meta_fiscal_years").alias("meta")
     meta = _head(metadata(spark, root).select("bill_dir", "parts", about), F.first("meta").alias("meta"))
     counts = F.struct("verification.completeness", "verification.counts").alias("verification")
@@ -84,6 +98,12 @@ def listed(spark: SparkSession, root: str, of: DataFrame) -> DataFrame:
     return found.join(F.broadcast(of.select("bill_dir", "congress")), "bill_dir")
 
 
+def of_bills(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """As ``model.provisions`` of ``listed``, from rows of ``extracted`` with the accessor columns."""
+    about = of.select("bill_dir", "identifier", "congress", "classification", "fiscal_years")
+    return rows.where("provision_index is not null").drop("head").join(F.broadcast(about), "bill_dir")
+
+
 def sources(spark: SparkSession, root: str) -> DataFrame:
     """OP-SRC-03/04/05: bill texts to read: XML before plain text of the same stem; with an enrolled version only that."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "BILLS-*.{xml,txt}").load(root).select("path", "length")

@@ -198,3 +198,30 @@ def test_answers_are_read_by_places_and_only_for_their_type(spark):
     assert "map<string,struct" not in plan and plan.lower().count("schema_of_variant") + plan.count("schemaOfVariant") < 6
     found = [(r.account_name, r.type_coercions, r.null_to_default, r.failed) for r in rows.orderBy("ord").collect()]
     assert found == [("1000", 3, 1, False), ("", 2, 2, False), (None, 2, 2, False), (None, 2, 1, False), (None, 0, 0, True)]
+
+
+def test_parts_are_parsed_once_for_bills_and_provisions(spark, tmp_path, monkeypatch):
+    """What is kept is small columns; neither bills nor provisions read the JSON of extractions again, and no row carries its part's list."""
+    from ledgerlark.sources import shared
+
+    d, plans = "/root/testdata/sf0.001", []
+    keep = shared.kept
+    monkeypatch.setattr(shared, "kept", lambda rows, name: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or keep(rows, name))
+    for name in ("artifact_provisions", "artifact_summary", "subcommittee_files"):
+        for held in ("_ROOTS", "_READ", "_HEADS"):
+            monkeypatch.setattr(artifacts, held, {})
+        plans.clear()
+        plans.append(queries.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString())
+        assert sum(p.count("raw_text,StringType") > 0 for p in plans) == 1, name  # the schema of extractions
+    read = artifacts.sources.extracted(spark, artifacts._written(spark, d, "extraction.json"))
+    listing = next(x for x in read._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode(provisions" in x)
+    assert ", [], true, [pos" not in listing  # the list is dropped where rows are made of it
+    (tmp_path / "b1").mkdir()
+    for k, listed in ((0, "[]"), (1, '[{"provision_type":"rider"},null]')):
+        (tmp_path / "b1" / artifacts.sinks.part_name("extraction.json", k)).write_text('{"bill":{"identifier":"H.R. 1"},"parts":2,"first_index":%d,"provisions":%s}' % (4 * k, listed))
+    rows = keep(artifacts.sources.extracted(spark, str(tmp_path)).select("bill_dir", "head", *artifacts.model.fields()), "x")
+    bills = artifacts.sources.heads(spark, str(tmp_path), rows)
+    plain = artifacts.sources.heads(spark, str(tmp_path))
+    assert [r.n_provisions for r in bills.collect()] == [2] and sorted(map(str, bills.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    whole = artifacts.model.provisions(artifacts.sources.listed(spark, str(tmp_path), plain))
+    assert sorted(map(str, artifacts.sources.of_bills(rows, bills).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
