@@ -66,13 +66,21 @@ def _shape(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
+def _object_at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "struct<__:binary>").isNotNull()
+
+
+def _array_at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "array<binary>").isNotNull()
+
+
 def _object(v: Column) -> Column:
-    """Whether it is an object; a cast is cheaper than the shape of all that is inside."""
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    """Whether it is an object; a cast to a field that isn't looked at copies nothing of what is inside."""
+    return _object_at(v, "$")
 
 
 def _array(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    return _array_at(v, "$")
 
 
 def _once(v: Column, read) -> Column:  # noqa: ANN001
@@ -112,7 +120,8 @@ def members(v: Column, keep) -> Column:  # noqa: ANN001
 
 
 def strings(v: Column) -> Column:
-    return F.transform(members(v, lambda x: _shape(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    texts = F.coalesce(F.try_variant_get(v, "$", "array<binary>"), F.array().cast("array<binary>"))
+    return F.transform(F.array_compact(texts), lambda x: x.cast("string"))
 
 
 def _dollars(v: Column) -> Column:
@@ -176,16 +185,21 @@ def _empty(v: Column) -> Column:
     return F.coalesce(string(v), F.lit(""))
 
 
+def _text_at(v: Column, name: str) -> Column:
+    """A field's text, from its place; empty for anything else."""
+    return F.coalesce(_string_at(v, f"$.{name}"), F.lit("")).alias(name)
+
+
 def earmark(v: Column) -> Column:
-    return F.struct(_empty(_member(v, "recipient")).alias("recipient"), _empty(_member(v, "location")).alias("location"), string(_member(v, "requesting_member")).alias("requesting_member"))
+    return F.struct(_text_at(v, "recipient"), _text_at(v, "location"), _string_at(v, "$.requesting_member").alias("requesting_member"))
 
 
 def proviso(v: Column) -> Column:
-    return F.struct(_empty(_member(v, "proviso_type")).alias("proviso_type"), _empty(_member(v, "description")).alias("description"), amount(_member(v, "amount")).alias("amount"), strings(_member(v, "references")).alias("references"), _empty(_member(v, "raw_text")).alias("raw_text"))
+    return F.struct(_text_at(v, "proviso_type"), _text_at(v, "description"), amount(_member(v, "amount")).alias("amount"), strings(_member(v, "references")).alias("references"), _text_at(v, "raw_text"))
 
 
 def reference(v: Column) -> Column:
-    return F.struct(_empty(_member(v, "ref_type")).alias("ref_type"), _empty(_member(v, "target")).alias("target"), string(_member(v, "description")).alias("description"))
+    return F.struct(_text_at(v, "ref_type"), _text_at(v, "target"), _string_at(v, "$.description").alias("description"))
 
 
 # Whole answers
@@ -201,12 +215,12 @@ def answers(rows: DataFrame, key: str, text: str, chunks: bool = False) -> DataF
     part = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
     error = F.when(v.isNull(), "Answer is not JSON")
     if chunks:
-        error = error.when(~_array(part("provisions")) & ~_array(v), "Missing 'provisions' array")
+        error = error.when(~_array_at(v, "$.provisions") & ~_array(v), "Missing 'provisions' array")
     else:
         error = error.when(~_object(v), "Expected root object")
         for name in ("bill", "summary"):
-            error = error.when(part(name).isNull(), f"Missing '{name}'").when(~_object(part(name)), f"{name} not an object")
-        error = error.when(~_array(part("provisions")), "Missing 'provisions' array")
+            error = error.when(part(name).isNull(), f"Missing '{name}'").when(~_object_at(v, f"$.{name}"), f"{name} not an object")
+        error = error.when(~_array_at(v, "$.provisions"), "Missing 'provisions' array")
     return read.select(key, "v", error.alias("error"))
 
 
@@ -233,19 +247,23 @@ def _total(counts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (F.coalesce(c.cast("int"), F.lit(0)) for c in counts))
 
 
-def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False) -> DataFrame:
+def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False, heads=None) -> DataFrame:  # noqa: ANN001
     """OP-JSON-01 to 06: one row per provision of each answer, ``ord`` from 0, with the fields of its type; others are null.
+    ``heads`` of an answer, from its variant, come as a column of its first row, so that the answer isn't parsed again for them.
 
     Unknown types are *other* and keep their name and leftover fields (``metadata``, values as JSON). An element that is no
     object, and an answer that can't be read (``ord`` null), is ``failed`` with its ``error``.
     """
     read = answers(rows, key, text, chunks)
     listed = F.coalesce(F.try_variant_get("v", "$.provisions", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    each = read.select(key, "error", F.posexplode_outer(F.when(F.col("error").isNull(), listed)).alias("ord", "p")).where("error is not null or ord is not null")
+    also = ["heads"] if heads else []
+    read = read.select(key, "error", F.when(F.col("error").isNull(), listed).alias("listed"), *(heads(F.col("v")).alias(c) for c in also))  # apart, so before rows are made
+    each = read.select(key, "error", F.posexplode_outer("listed").alias("ord", "p"), *also).where("error is not null or ord is not null")
+    each = each.withColumns({c: F.when(F.coalesce("ord", F.lit(0)) == 0, F.col(c)) for c in also}) if also else each
     # what is told by texts is read at once; other fields where they are needed, each from its place
     names = lambda table: dict.fromkeys(n if isinstance(n, str) else n[0] for v in table.values() for n in v)
     known = dict.fromkeys(("provision_type", "section", "raw_text", "division", "title", "recipient", "location", "requesting_member", "confidence")) | names(_TOLD) | names(_TEXT)
-    each = each.select(key, "error", "ord", "p", F.try_variant_get("p", "$", f"struct<{','.join(f'{n}:binary' for n in known)}>").alias("t"))
+    each = each.select(key, "error", "ord", "p", *also, F.try_variant_get("p", "$", f"struct<{','.join(f'{n}:binary' for n in known)}>").alias("t"))
     value = lambda n: F.try_variant_get("p", f"$.{n}", "variant")
     text_of = lambda n: F.col("t")[n].cast("string")
     void = lambda n: F.col("t")[n].isNull() & (value(n).isNull() | F.is_variant_null(value(n)))
@@ -253,7 +271,7 @@ def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False) -> Da
     known = F.when(named.isin(*(t for t in TYPES if t != "other")), named).otherwise("other")
     amounts = {n: [*_of(_AMOUNTS, n), *(["other"] if n == "amount" else [])] for n in ("amount", "new_amount", "old_amount")}
     money = F.transform(F.array(*(F.when(known.isin(*kinds), value(n)) for n, kinds in amounts.items())), paid)
-    each = each.select(key, "error", "ord", "p", "t", failed.alias("failed"), named.alias("named"), F.when(~failed, known).alias("kind"), F.when(~failed, money).alias("money"))
+    each = each.select(key, "error", "ord", "p", *also, "t", failed.alias("failed"), named.alias("named"), F.when(~failed, known).alias("kind"), F.when(~failed, money).alias("money"))
     sums = dict(zip(("amount", "new_amount", "old_amount"), (F.col("money")[i] for i in range(3)), strict=True))
     of = lambda kinds, c: F.when(F.col("kind").isin(*kinds), c)
     good = ~F.col("failed")
@@ -287,12 +305,14 @@ def provisions(rows: DataFrame, key: str, text: str, chunks: bool = False) -> Da
     lost = of(_WARNED, sums["amount"]["a"].isNull())
     warning = F.when(F.col("error").isNull() & F.col("failed"), F.concat(F.lit("Provision "), F.col("ord").cast("string"), F.lit(": provision not an object"))).when(lost, F.concat(F.lit("SEC "), F.coalesce(text_of("section"), F.lit("")), F.lit(": missing amount on "), F.col("kind")))
     error = F.coalesce("error", F.when(F.col("failed"), F.lit("provision not an object")))
-    return each.select(key, "ord", "failed", error.alias("error"), F.col("kind").alias("provision_type"), of(["other"], F.col("named")).alias("llm_classification"), *(c.alias(n) for n, c in out.items()), _total(missing).alias("null_to_default"), _total(coerced).alias("type_coercions"), warning.alias("warning"))
+    return each.select(key, "ord", "failed", error.alias("error"), F.col("kind").alias("provision_type"), of(["other"], F.col("named")).alias("llm_classification"), *(c.alias(n) for n, c in out.items()), _total(missing).alias("null_to_default"), _total(coerced).alias("type_coercions"), warning.alias("warning"), *also)
 
 
 def report(parsed: DataFrame, key: str) -> DataFrame:
-    """OP-AGG-18: counts per answer, with its error if it can't be read; sums over answers are the merged report."""
+    """OP-AGG-18: counts per answer, with its error if it can't be read, and its ``heads`` if they were read; sums over answers
+    are the merged report."""
     inside = F.col("ord").isNotNull()
+    also = [F.first("heads", ignorenulls=True).alias("heads")] if "heads" in parsed.columns else []
     return parsed.groupBy(key).agg(
         F.max(F.when(~inside, F.col("error"))).alias("error"),
         F.count_if(~F.col("failed")).alias("provisions_parsed"),
@@ -301,6 +321,7 @@ def report(parsed: DataFrame, key: str) -> DataFrame:
         F.sum("type_coercions").alias("type_coercions"),
         F.count_if(F.col("llm_classification").isNotNull()).alias("unknown_provision_types"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("ord", "warning")))), lambda w: w["warning"]).alias("warnings"),
+        *also,
     )
 
 

@@ -225,3 +225,16 @@ def test_parts_are_parsed_once_for_bills_and_provisions(spark, tmp_path, monkeyp
     assert [r.n_provisions for r in bills.collect()] == [2] and sorted(map(str, bills.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     whole = artifacts.model.provisions(artifacts.sources.listed(spark, str(tmp_path), plain))
     assert sorted(map(str, artifacts.sources.of_bills(rows, bills).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_answers_are_parsed_once_and_told_apart_without_copies(spark):
+    """Also for what an answer says of its bill; objects, lists and texts are told as the shape of all that is inside would tell them."""
+    from ledgerlark.operators import lenient
+
+    plan = queries.QUERIES["lenient_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan and "map<string,variant>" not in plan
+    told = ["{}", '{"__":1,"a":[1]}', "[]", '["a",null,1,{"b":2},["c"],"é",""]', '"t"', "1", "1.5", "true", "null"]
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select(F.try_parse_json("t").alias("v"))
+    shape = F.schema_of_variant("v")
+    found = rows.select(lenient._object(F.col("v")) == shape.startswith("OBJECT"), lenient._array(F.col("v")) == shape.startswith("ARRAY"), lenient.strings(F.col("v"))).collect()
+    assert all(a and b for a, b, _ in found) and [x for *_, x in found] == [[], [], [], ["a", "é", ""], [], [], [], [], []]
