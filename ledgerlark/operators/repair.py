@@ -194,9 +194,10 @@ def repaired(claims: DataFrame, sources: DataFrame, key: str = "bill_dir", claim
             cols = [b.column("__key").take(pa.array(owner, pa.int64())), flat.field("provision_index"), pa.array(tiers, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "provision_index", "match_tier", "start", "end", "text"])
 
-    parts = claims.groupBy(F.col(key).alias("__bill")).agg(F.ceil(F.count("*") / claims_per_task).cast("int").alias("__parts"))
+    # only bills of several parts are told, of which there are no more than parts; so claims aren't shuffled to be dealt
+    parts = claims.groupBy(F.col(key).alias("__bill")).agg(F.ceil(F.count("*") / claims_per_task).cast("int").alias("__parts")).where("__parts > 1")
     same = F.col("__bill").eqNullSafe(F.col("__key"))
-    left = claims.select(F.col(key).alias("__key"), F.col("provision_index").cast("long").alias("provision_index"), "raw_text").join(parts, same)
+    left = claims.select(F.col(key).alias("__key"), F.col("provision_index").cast("long").alias("provision_index"), "raw_text").join(F.broadcast(parts), same, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
     dealt = left.groupBy("__key", F.pmod(F.xxhash64("provision_index", "raw_text"), F.col("__parts")).alias("__part")).agg(F.collect_list(F.struct("provision_index", "raw_text")).alias("claims"))
     whole = sources.groupBy(F.col(key).alias("__bill")).agg(F.first("source").alias("source"))
     out = dealt.join(whole, same, "left").select("__key", "claims", "source").mapInArrow(find, f"{key} {kind}, provision_index long, match_tier string, start long, end long, text string")
@@ -210,6 +211,13 @@ def report(rows: DataFrame, key: str = "bill_dir") -> DataFrame:
     return rolled.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(key).cast("string")).alias(key), "total", *tiers, ((F.col("total") - F.col("unverified")) / F.col("total") * 100).alias("traceable_pct"))
 
 
+def with_holds(rows: DataFrame, sources: DataFrame, key: str = "bill_dir") -> DataFrame:
+    """OP-REP-04: the rows with ``holds``, whether the source's bytes of the span are the text; null without a span or a source."""
+    cut = F.substring(F.encode("source", "UTF-8"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    both = rows.join(sources.select(key, "source"), key, "left")
+    return both.withColumn("holds", F.when(F.col("start").isNotNull(), cut == F.encode("text", "UTF-8"))).drop("source")
+
+
 def span_holds(rows: DataFrame, sources: DataFrame, key: str = "bill_dir") -> DataFrame:
     """OP-REP-04: whether the source's bytes of each span are the text."""
     both = rows.where("start is not null").join(sources, key)

@@ -238,3 +238,24 @@ def test_answers_are_parsed_once_and_told_apart_without_copies(spark):
     shape = F.schema_of_variant("v")
     found = rows.select(lenient._object(F.col("v")) == shape.startswith("OBJECT"), lenient._array(F.col("v")) == shape.startswith("ARRAY"), lenient.strings(F.col("v"))).collect()
     assert all(a and b for a, b, _ in found) and [x for *_, x in found] == [[], [], [], ["a", "é", ""], [], [], [], [], []]
+
+
+def test_repaired_tiers_shuffle_lines_once(spark, monkeypatch):
+    """And as numbers; claims aren't shuffled to be dealt, nor what was repaired to get its holds, which are those of ``span_holds``."""
+    from ledgerlark.operators import repair
+
+    plans, keep = [], bridge._kept
+    monkeypatch.setattr(bridge, "_kept", lambda rows, root: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows, root))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.append(queries.QUERIES["repaired_tiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [p.count("Exchange hashpartitioning(") for p in plans] == [1, 7] and "Window" not in "".join(plans)
+    many = spark.createDataFrame([(b, i, "é two"[: 2 + i % 4]) for b in ("a", None) for i in range(20)], "bill_dir string, provision_index long, raw_text string")
+    held = spark.createDataFrame([("a", "one é two" * 3), (None, "é tw")], "bill_dir string, source string")
+    assert sorted(map(str, repair.repaired(many, held, claims_per_task=3).collect())) == sorted(map(str, repair.repaired(many, held).collect()))
+    docs = spark.createDataFrame([("a", "one é two"), ("b", None), (None, "x")], "bill_dir string, source string")
+    rows = spark.createDataFrame([("a", 1, 4, 6, "é"), ("a", 2, 4, 6, "e"), ("a", 3, None, None, "z"), ("b", 4, 0, 1, "x"), (None, 5, 0, 1, "x"), ("c", 6, 0, 1, "x")], "bill_dir string, provision_index long, start long, end long, text string")
+    plain = rows.join(repair.span_holds(rows, docs), ["bill_dir", "provision_index"], "left")
+    assert sorted(map(str, repair.with_holds(rows, docs).select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
